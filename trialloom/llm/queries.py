@@ -10,12 +10,19 @@ from pyspark.sql import functions as F
 from trialloom.llm.embedding_dedup import near_duplicate_vectors
 from trialloom.llm.exact_topk import exact_top_k
 from trialloom.llm.sharding import shard_documents
+from trialloom.llm.simhash import simhash_components
+from trialloom.llm.warc import archive_pages
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = archive_pages(_read(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_documents(_read(spark, sf_dir, "documents"), shards=8)
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
@@ -25,18 +32,31 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(_read(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(_read(spark, sf_dir, "documents"), width=4, bits=4)
+
+
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _read(spark, sf_dir, "embeddings")
     return exact_top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc": op2_warc,
     "op3_sharding": op3_sharding,
     "op5_embedding_dedup": op5_embedding_dedup,
+    "op9_simhash": op9_simhash,
     "op10_exact_top_k": op10_exact_top_k,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_warc": """
+        WITH p AS (
+          SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+        m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS kept FROM p)
+        SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+          CASE WHEN kept = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+          CASE WHEN kept <> page_id THEN kept END AS refers_to FROM m""",
     "op10_exact_top_k": """
         WITH v AS (
           SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
