@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trialloom.llm.common import crc_of_id
 from trialloom.llm.embedding_dedup import near_duplicate_vectors
 from trialloom.llm.exact_topk import exact_top_k
+from trialloom.llm.quality import score_quality
+from trialloom.llm.secrets import find_secrets
 from trialloom.llm.sharding import shard_documents
 from trialloom.llm.simhash import simhash_components
 from trialloom.llm.warc import archive_pages
@@ -32,6 +35,23 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(_read(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = crc_of_id(F.col("doc_id")) % 5 == 0
+    scored = score_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), ~held)
+    return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(_read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secret_spans")
+    count = lambda kind: F.size(F.filter("secret_spans", lambda s: s.kind == kind)).cast("long")
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+    base = F.filter("secret_spans", lambda s: s.kind != "random")
+    return found.select(
+        "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
+        F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("secret_spans")).alias("spans"),
+    )
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_read(spark, sf_dir, "documents"), width=4, bits=4)
 
@@ -45,6 +65,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op3_sharding": op3_sharding,
     "op5_embedding_dedup": op5_embedding_dedup,
+    "op7_quality": op7_quality,
+    "op8_secrets": op8_secrets,
     "op9_simhash": op9_simhash,
     "op10_exact_top_k": op10_exact_top_k,
 }

@@ -9,8 +9,8 @@ from trialloom.llm.common import Scratch
 
 #: Bits by which a round of the histogram refines a key.
 ROUND_BITS = 12
-#: Rows that one task sorts for a slice of a shard; more are dealt to more tasks.
-SLICE_ROWS = 50_000
+#: A slice of a shard with more than so many rows, and than DEAL_SLICES mean slices, is dealt to more tasks.
+DEAL_ROWS, DEAL_SLICES = 500, 4
 
 
 class Splitters:
@@ -120,14 +120,15 @@ def shard_documents(docs: DataFrame, shards: int = 8, tolerance: float = 0.001,
     coarse = F.shiftright("h", 64 - ROUND_BITS).cast("int")
     sliced = lambda df: df.withColumn("shard", cut.shard("h", "g")).withColumn("slice", coarse)
     counts = scratch.table(sliced(narrow).groupBy("shard", "slice").agg(F.count("*").alias("n")), "slices")
+    deal = max(DEAL_ROWS, DEAL_SLICES * counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] >> ROUND_BITS)
     # at most 4096 slices and one more for each splitter
-    deals = F.broadcast(counts.where(F.col("n") > SLICE_ROWS).select("shard", "slice", F.ceil(F.col("n") / SLICE_ROWS).cast("int").alias("deals")))
+    deals = F.broadcast(counts.where(F.col("n") > deal).select("shard", "slice", F.ceil(F.col("n") / deal).cast("int").alias("deals")))
     dealt = lambda df: sliced(df).join(deals, ["shard", "slice"], "left").withColumn("deal", F.pmod("g", F.coalesce("deals", F.lit(1))).cast("int"))
     pieces = dealt(narrow).groupBy("shard", "slice", "deal").agg(F.count("*").alias("n"))
     pieces = scratch.table(pieces, "pieces")
     before = Window.partitionBy("shard").orderBy("slice", "deal").rowsBetween(Window.unboundedPreceding, -1)
     first = scratch.table(pieces.select("shard", "slice", "deal", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")), "first")
     within = Window.partitionBy("shard", "slice", "deal").orderBy("h", "g")
-    # pieces: slices and rows / SLICE_ROWS more, joined after the exchange on its own keys
+    # pieces: slices and at most 4096 / DEAL_SLICES more, joined after the exchange on its own keys
     numbered = dealt(hashed).withColumn("place", F.row_number().over(within)).join(first, ["shard", "slice", "deal"])
     return numbered.select(*keep, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("place") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
