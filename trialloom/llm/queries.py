@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trialloom.llm.common import crc_of_id
 from trialloom.llm.embedding_dedup import near_duplicate_vectors
 from trialloom.llm.exact_topk import exact_top_k
+from trialloom.llm.packing import place_pieces, tokenised_pieces
 from trialloom.llm.quality import score_quality
 from trialloom.llm.secrets import find_secrets
 from trialloom.llm.sharding import shard_documents
@@ -17,6 +18,13 @@ from trialloom.llm.simhash import simhash_components
 from trialloom.llm.warc import archive_pages
 
 
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    """Place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -31,6 +39,12 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = tokenised_pieces(_read(spark, sf_dir, "documents"), tokenizer_file(), capacity=2048)
+    digest = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return place_pieces(digest, capacity=2048, order=("doc_id", "piece", "ids_crc32"))
+
+
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(_read(spark, sf_dir, "embeddings"), threshold=0.9)
 
@@ -64,6 +78,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op3_sharding": op3_sharding,
+    "op4_packing": op4_packing,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op7_quality": op7_quality,
     "op8_secrets": op8_secrets,
