@@ -111,26 +111,18 @@ class Plan:
 def make_plan(histogram: np.ndarray, capacity: int) -> Plan:
     """Pack a histogram of lengths (index 0 unused).
 
-    Fitted repeats are rounded in falling order, each as far as pieces are left;
+    Fitted repeats are rounded down, in falling order and as far as pieces are left;
     what remains is packed best-fit decreasing, all bins of equal contents at once.
     """
     left, plan = histogram.copy(), Plan(capacity)
     patterns = length_patterns(np.flatnonzero(histogram[1:]) + 1, capacity)
     x = fit_repeats(patterns, histogram.astype(float))
     for p in np.argsort(-x, kind="stable"):
-        if x[p] < 0.05:
+        if x[p] < 1:
             break
         lengths = [int(v) for v in patterns[p] if v]
         most = min(left[v] // lengths.count(v) for v in lengths)
-        repeats = int(min(most, max(1, round(x[p]))))
-        if repeats > 0:
-            plan.add(lengths, repeats)
-            for v in lengths:
-                left[v] -= repeats
-    # exact fills that rounding left over
-    for p in np.argsort(-x, kind="stable"):
-        lengths = [int(v) for v in patterns[p] if v]
-        repeats = int(min(left[v] // lengths.count(v) for v in lengths))
+        repeats = int(min(most, np.floor(x[p])))
         if repeats > 0:
             plan.add(lengths, repeats)
             for v in lengths:
