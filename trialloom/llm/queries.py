@@ -13,6 +13,7 @@ from trialloom.llm.exact_topk import exact_top_k
 from trialloom.llm.packing import place_pieces, tokenised_pieces
 from trialloom.llm.quality import score_quality
 from trialloom.llm.secrets import find_secrets
+from trialloom.llm.sentencepiece_codec import decode_documents, encode_documents
 from trialloom.llm.sharding import shard_documents
 from trialloom.llm.simhash import simhash_components
 from trialloom.llm.warc import archive_pages
@@ -29,6 +30,13 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_file("piece_bpe_32k.model")
+    decoded = decode_documents(encode_documents(_read(spark, sf_dir, "documents"), model), model)
+    words = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.crc32(words.cast("binary")).alias("ids_crc32"), F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = archive_pages(_read(spark, sf_dir, "pages"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -76,6 +84,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_warc": op2_warc,
     "op3_sharding": op3_sharding,
     "op4_packing": op4_packing,
