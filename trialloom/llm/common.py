@@ -109,7 +109,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def uniform(*parts) -> np.ndarray:
     """Numbers in (0, 1) that depend on the given integers alone."""
-    h = np.uint64(0x243F6A8885A308D3)
+    h = np.array([0x243F6A8885A308D3], np.uint64)
     for p in parts:
         p = p.astype(np.uint64) if isinstance(p, np.ndarray) else np.array([p % 2**64], np.uint64)
         h = mix64(p + h * np.uint64(0x9E3779B97F4A7C15))

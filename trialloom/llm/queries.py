@@ -11,6 +11,7 @@ from trialloom.llm.common import crc_of_id
 from trialloom.llm.embedding_dedup import near_duplicate_vectors
 from trialloom.llm.exact_topk import exact_top_k
 from trialloom.llm.packing import place_pieces, tokenised_pieces
+from trialloom.llm.pitman_yor import score_texts
 from trialloom.llm.quality import score_quality
 from trialloom.llm.secrets import find_secrets
 from trialloom.llm.sentencepiece_codec import decode_documents, encode_documents
@@ -57,6 +58,12 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(_read(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(crc_of_id(F.col("doc_id")) % 10 == 0, F.lit(False))
+    scored = score_texts(_read(spark, sf_dir, "documents"), ~held)
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = crc_of_id(F.col("doc_id")) % 5 == 0
     scored = score_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), ~held)
@@ -89,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op4_packing": op4_packing,
     "op5_embedding_dedup": op5_embedding_dedup,
+    "op6_lm_score": op6_lm_score,
     "op7_quality": op7_quality,
     "op8_secrets": op8_secrets,
     "op9_simhash": op9_simhash,
