@@ -198,3 +198,23 @@ def score_quality(docs: DataFrame, labels: DataFrame, use: Column, threshold: fl
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return stats.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, score double, predicted int")
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, use: Column, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score is ``threshold`` or more, with all their columns.
+
+    Model, scores and edge cases are those of ``score_quality``; only the
+    statistics of labelled documents are gathered to fit the model, and rows are
+    judged one by one without an exchange. The labels may be few or many.
+    """
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & use).select("doc_id").distinct()
+    model = fit_quality(document_statistics(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(known, "doc_id", "left_semi")), labels, use)
+
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            for s in range(0, batch.num_rows, 512):
+                part = batch.slice(s, 512)
+                yield part.filter(pa.array(model.score(statistics(part.column(at))) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

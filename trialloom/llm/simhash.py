@@ -215,3 +215,14 @@ def simhash_components(docs: DataFrame, width: int = 4, bits: int = 4, id_col: s
     parts = connected_components(links, "rep", "root", scratch)
     known = scratch.table(groups.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "known")
     return prints.join(known, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 4, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of linked documents (see ``simhash_components``), with all its columns.
+
+    The row with the group's smallest id stays; of rows repeated with that id one
+    does. Rows with a null id cannot be named as anyone's copy and stay.
+    """
+    groups = simhash_components(docs, width, bits, id_col, text_col)
+    stays = groups.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    return docs.join(stays, id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
