@@ -1,10 +1,4 @@
-"""Queries over the driver's tables and their SQL, by name."""
+"""All queries over the driver's tables and their SQL, by name."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from trialloom.plans import evaluation, preference  # noqa: F401
+from trialloom.plans.base import ORACLE_SQL, QUERIES  # noqa: F401
