@@ -126,7 +126,7 @@ def judge_prompts(spark, sf_dir):
     return read(spark, sf_dir, "benchmark").select("item_id", ev.judge_prompt(F.col("text"), F.col("item_id").cast("string"), answer).alias("prompt"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 4 = 3 THEN 0.0 ELSE least(greatest(round(value - 5), 0), 10) END::DOUBLE AS score,
+@query("""SELECT event_id, CASE WHEN event_id % 4 = 3 THEN 0.0 ELSE least(greatest(round(value - 5), 0), 10) + 0.0 END::DOUBLE AS score,
   CASE event_id % 4 WHEN 0 THEN event_type WHEN 1 THEN 'why ' || event_type WHEN 2 THEN event_type ELSE '' END AS feedback FROM events""")
 def parse_judgement(spark, sf_dir):
     score = F.round(F.col("value") - 5).cast("long")
