@@ -7,16 +7,28 @@ are too long before heavier operators.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from trialloom.functions.text import clip, clip_within, filled, strip
 from trialloom.operators.preference import balanced_batches, comparison_pairs, merge_pairs, rank_prompt  # noqa: F401
 
-BY_RUN = Window.partitionBy("run_id").orderBy("seq")
-SO_FAR = BY_RUN.rowsBetween(Window.unboundedPreceding, 0)
-EARLIER = BY_RUN.rowsBetween(Window.unboundedPreceding, -1)
-WHOLE = Window.partitionBy("run_id")
+
+def by_run() -> WindowSpec:
+    return Window.partitionBy("run_id").orderBy("seq")
+
+
+def so_far() -> WindowSpec:
+    return by_run().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def earlier() -> WindowSpec:
+    return by_run().rowsBetween(Window.unboundedPreceding, -1)
+
+
+def whole() -> WindowSpec:
+    return Window.partitionBy("run_id")
+
 
 # Labels of roles in a conversation's text.
 ROLE_LABELS = {"user": "User", "assistant": "Assistant", "agent": "Agent", "system": "System", "function": "Function", "developer": "Developer"}
@@ -38,27 +50,27 @@ def with_agent_step(df: DataFrame, agent_roles=("agent",), broad: bool = True) -
     """Add is_agent, agent_step (1-based, null for others) and the run's n_steps."""
     out = df.withColumn("is_agent", is_agent(df, agent_roles, broad))
     n = F.col("is_agent").cast("int")
-    return out.withColumn("agent_step", F.when(F.col("is_agent"), F.sum(n).over(SO_FAR))).withColumn("n_steps", F.sum(n).over(WHOLE))
+    return out.withColumn("agent_step", F.when(F.col("is_agent"), F.sum(n).over(so_far()))).withColumn("n_steps", F.sum(n).over(whole()))
 
 
 def prefix_through_step(df: DataFrame, step: int | Column, agent_roles=("agent",), broad: bool = True) -> DataFrame:
     """Messages up to and including the step-th agent message; all if there are fewer."""
     if isinstance(step, int) and step < 1:
         raise ValueError("step must be at least 1")
-    before = F.coalesce(F.sum(is_agent(df, agent_roles, broad).cast("int")).over(EARLIER), F.lit(0))
+    before = F.coalesce(F.sum(is_agent(df, agent_roles, broad).cast("int")).over(earlier()), F.lit(0))
     return df.withColumn("_a", before).where(F.col("_a") < step).drop("_a")
 
 
 def prefix_before_step(df: DataFrame, step: int | Column, agent_roles=("agent",), broad: bool = True) -> DataFrame:
     """Messages before the step-th agent message."""
-    upto = F.sum(is_agent(df, agent_roles, broad).cast("int")).over(SO_FAR)
+    upto = F.sum(is_agent(df, agent_roles, broad).cast("int")).over(so_far())
     last = F.greatest((F.lit(step) if isinstance(step, int) else step) - 1, F.lit(0))
     return df.withColumn("_a", upto).where(F.col("_a") <= last).drop("_a")
 
 
 def strip_last_agent(df: DataFrame, agent_roles=("agent",)) -> DataFrame:
     """Messages without each run's last agent message."""
-    last = F.max(F.when(is_agent(df, agent_roles, False), F.col("seq"))).over(WHOLE)
+    last = F.max(F.when(is_agent(df, agent_roles, False), F.col("seq"))).over(whole())
     return df.withColumn("_l", last).where(F.col("_l").isNull() | (F.col("seq") != F.col("_l"))).drop("_l")
 
 
@@ -81,9 +93,9 @@ def flatten_conversation(df: DataFrame, system: str | None = None, drop_system:
     after the last user message join the last user block, numbered; ``system`` goes in front of it."""
     role = F.lower("role")
     out = df.withColumn("is_agent", is_agent(df, agent_roles, broad)).withColumn("is_reply", F.coalesce(role == "assistant", F.lit(False)) & ~F.col("is_agent"))
-    out = out.withColumn("block", F.sum(F.col("is_reply").cast("int")).over(SO_FAR)).withColumn("last_user", F.max(F.when(role == "user", F.col("seq"))).over(WHOLE))
+    out = out.withColumn("block", F.sum(F.col("is_reply").cast("int")).over(so_far())).withColumn("last_user", F.max(F.when(role == "user", F.col("seq"))).over(whole()))
     after = F.col("is_agent") & F.coalesce(F.col("seq") > F.col("last_user"), F.lit(False))
-    out = out.withColumn("late", F.when(after, F.sum(after.cast("int")).over(SO_FAR)))
+    out = out.withColumn("late", F.when(after, F.sum(after.cast("int")).over(so_far())))
     content = F.coalesce("content", F.lit(""))
     official = role.isin("system", "developer")
     own = ~F.col("is_agent") & ~F.col("is_reply") & (F.lit(not drop_system) | ~F.coalesce(official, F.lit(False)))
@@ -97,7 +109,7 @@ def flatten_conversation(df: DataFrame, system: str | None = None, drop_system:
         F.max(F.when(F.col("is_reply"), content)).alias("reply"), F.max(F.when(F.col("is_reply"), name)).alias("reply_name"),
     )
     # what the run's agents said late, and the last block with a user message
-    blocks = blocks.withColumn("late", F.max("late").over(WHOLE)).withColumn("target", F.max(F.when(F.col("user").isNotNull(), F.col("block"))).over(WHOLE)).withColumn("end", F.max("block").over(WHOLE))
+    blocks = blocks.withColumn("late", F.max("late").over(whole())).withColumn("target", F.max(F.when(F.col("user").isNotNull(), F.col("block"))).over(whole())).withColumn("end", F.max("block").over(whole()))
     extra = F.col("late").isNotNull() if not system else F.lit(True)
     here = (F.col("block") == F.coalesce("target", "end")) & extra
     body = F.when(here, F.concat_ws("\n\n", "user", "late")).otherwise(F.col("user"))
@@ -212,7 +224,7 @@ def agent_findings(df: DataFrame, last: int | None = None, sentences: int | None
     marked = df.where(is_agent(df, agent_roles, False)).withColumn("_t", text).where("_t is not null")
     if last is not None:
         marked = marked.withColumn("_r", F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("seq")))).where(F.col("_r") <= last)
-    marked = marked.withColumn("_i", F.row_number().over(BY_RUN))
+    marked = marked.withColumn("_i", F.row_number().over(by_run()))
     name = F.coalesce(F.concat(F.lit(" ("), filled("name"), F.lit(")")), F.lit("")) if "name" in df.columns else F.lit("")
     line = F.concat(F.lit("["), F.col("_i").cast("string"), F.lit("]"), name, F.lit(" "), "_t")
     return marked.groupBy("run_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", line.alias("x")))), lambda s: s.x), "\n").alias("findings"))
@@ -251,13 +263,13 @@ def step_prompts(df: DataFrame, keys: DataFrame, agent_roles=("agent",)) -> Data
 
     Histories are gathered once a run into arrays; a step's prefix is a filter of the run's array, so
     text is copied only into the prompts themselves. ``keys``: (run_id, step, text)."""
-    marked = with_agent_step(df, agent_roles, True).withColumn("upto", F.sum(F.col("is_agent").cast("int")).over(SO_FAR))
+    marked = with_agent_step(df, agent_roles, True).withColumn("upto", F.sum(F.col("is_agent").cast("int")).over(so_far()))
     role = F.lower(F.coalesce("role", F.lit("")))
     tag = F.when(role.isin("system", "developer"), "USER_SYSTEM").otherwise("USER")
     text = F.coalesce("content", F.lit(""))
     item = F.when(F.col("is_agent"), F.col("content")).when(role == "assistant", strip(text)).otherwise(F.concat(F.lit("<"), tag, F.lit(">"), text, F.lit("</"), tag, F.lit(">")))
     kind = F.when(F.col("is_agent"), 2).when(role == "assistant", 1).otherwise(0)
-    marked = marked.withColumn("user_before", F.max(F.when(role == "user", F.col("seq"))).over(SO_FAR))
+    marked = marked.withColumn("user_before", F.max(F.when(role == "user", F.col("seq"))).over(so_far()))
     runs = marked.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("seq", "upto", kind.alias("kind"), item.alias("text"), (role == "user").alias("is_user")))).alias("h"), F.max("n_steps").alias("n_steps"))
     steps = runs.where("n_steps > 0").withColumn("step", F.explode(F.sequence(F.lit(1), F.col("n_steps").cast("int"))))
     steps = steps.withColumn("p", F.filter("h", lambda m: m.upto < F.col("step")))
