@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trialloom.functions.text import col, strip
+from trialloom.functions.text import SPACE, col, strip
 
 # Query keys that only track, and characters that are replaced in page texts.
 TRACKING_KEYS = ("fbclid", "gclid", "mc_cid", "mc_eid", "ref", "ref_src", "source")
@@ -55,17 +55,16 @@ def count_skipped(results: DataFrame, history: DataFrame, by: str = "query_id",
 
 def content_signature(c: Column | str) -> Column:
     """SHA-256 of the first 2000 characters of the text with white space collapsed."""
-    compact = strip(F.regexp_replace(col(c), r"(?U)\s+", " "))
+    compact = strip(F.regexp_replace(col(c), f"{SPACE}+", " "))
     return F.sha2(F.substring(compact, 1, 2000), 256)
 
 
 def dedupe_content(pages: DataFrame, text: str, order: str) -> DataFrame:
-    """The first page of each content signature, with the signature.
+    """The first page of each content signature, with the signature. ``order`` must tell pages apart.
 
-    Only signatures and order are ranked; texts follow by a join of the survivors."""
-    marked = pages.withColumn("signature", content_signature(F.coalesce(text, F.lit(""))))
-    first = marked.groupBy("signature").agg(F.min(order).alias(order))
-    return marked.join(first, ["signature", order], "left_semi")
+    Only signatures and order are ranked, once; whole pages follow by a join with the survivors."""
+    first = pages.groupBy(content_signature(F.coalesce(text, F.lit(""))).alias("signature")).agg(F.min(order).alias(order))
+    return pages.join(first, order)
 
 
 @F.pandas_udf(T.StringType())
@@ -78,7 +77,7 @@ def html_to_text(c: Column | str) -> Column:
     t = F.regexp_replace(col(c), r"[\x{10000}-\x{1FFFF}]", "")
     for a, b in SPECIAL_CHARACTERS.items():
         t = F.replace(t, F.lit(a), F.lit(b))
-    return strip(F.regexp_replace(_unescape(F.regexp_replace(t, "<[^>]+>", " ")), r"(?U)\s+", " "))
+    return strip(F.regexp_replace(_unescape(F.regexp_replace(t, "<[^>]+>", " ")), f"{SPACE}+", " "))
 
 
 _ANCHOR = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)')[^>]*>(.*?)</a>""", re.IGNORECASE | re.DOTALL)

@@ -70,17 +70,30 @@ def nested_groups(grouped: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-def rank_prompt(query: Column, key: Column, tags: Column | None = None) -> Column:
-    """Query and key in tags, placeholders for missing text, text that is wrapped already kept."""
-    q, k = filled(query), filled(key)
+def query_block(query: Column) -> Column:
+    """A query in its tags, a placeholder for missing text; wrapped text is kept."""
+    q = F.coalesce(filled(query), F.lit("[missing query context]"))
+    return F.when(q.startswith("<query>") & q.contains("</query>"), q).otherwise(F.concat(F.lit("<query>\n"), q, F.lit("\n</query>")))
+
+
+def key_block(key: Column, tags: Column | None = None) -> Column:
+    """A key in its tags, with a line of its tags if it has some; wrapped text is kept as it is."""
+    k = filled(key)
+    wrapped = k.startswith("<key>") & k.contains("</key>")
+    body = F.coalesce(k, F.lit("[missing knowledge text]"))
     if tags is not None:
         listed = F.array_join(F.filter(F.transform(F.coalesce(tags, F.array().cast("array<string>")), strip), lambda t: t != ""), ", ")
-        k = F.when(k.startswith("<key>") & k.contains("</key>"), k).when(listed != "", F.concat(F.coalesce(k, F.lit("[missing key text]")), F.lit("\nTags: "), listed)).otherwise(k)
-    q = F.coalesce(q, F.lit("[missing query context]"))
-    k = F.coalesce(k, F.lit("[missing knowledge text]"))
-    q = F.when(q.startswith("<query>") & q.contains("</query>"), q).otherwise(F.concat(F.lit("<query>\n"), q, F.lit("\n</query>")))
-    k = F.when(k.startswith("<key>") & k.contains("</key>"), k).otherwise(F.concat(F.lit("<key>\n"), k, F.lit("\n</key>")))
-    return F.concat(q, F.lit("\n\n\n"), k, F.lit(f"\n\n\n{SCORE_SUFFIX}"))
+        body = F.concat(F.when(k.isNull() & (listed != ""), F.lit("[missing key text]")).otherwise(body), F.when(listed != "", F.concat(F.lit("\nTags: "), listed)).otherwise(F.lit("")))
+    return F.when(wrapped, k).otherwise(F.concat(F.lit("<key>\n"), body, F.lit("\n</key>")))
+
+
+def prompt_of_blocks(query: Column, key: Column) -> Column:
+    return F.concat(query, F.lit("\n\n\n"), key, F.lit(f"\n\n\n{SCORE_SUFFIX}"))
+
+
+def rank_prompt(query: Column, key: Column, tags: Column | None = None) -> Column:
+    """Query and key in tags, placeholders for missing text, text that is wrapped already kept."""
+    return prompt_of_blocks(query_block(query), key_block(key, tags))
 
 
 def balanced_batches(items: DataFrame, problem: str, msg: str, step: str, n: int, seed: int = 0) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from trialloom.functions.text import filled, seeded_uniform, strip
 from trialloom.operators.knowledge import matches_step, step_conditions
-from trialloom.operators.preference import rank_prompt
+from trialloom.operators.preference import key_block, prompt_of_blocks, query_block
 
 #: A side of a pair join is broadcast up to so many rows; beyond, both sides are dealt to a grid of blocks.
 BROADCAST_ROWS = 20_000
@@ -34,11 +34,11 @@ def all_pairs(queries: DataFrame, keys: DataFrame) -> DataFrame:
 def score_pairs(queries: DataFrame, keys: DataFrame, scorer: Callable[[Column], Column]) -> DataFrame:
     """Rows (query_id, key_id, relevance) for every query (query_id, query) and key (key_id, key, tags).
 
-    ``scorer`` maps the prompt column to a score: built-in functions or a pandas UDF. The prompt is
-    built in the scoring step and does not leave it."""
+    ``scorer`` maps the prompt column to a score: built-in functions or a pandas UDF. Either side is
+    put into its tags once; a pair's prompt is joined in the scoring step and does not leave it."""
     tags = F.col("tags") if "tags" in keys.columns else None
-    pairs = all_pairs(queries.select("query_id", "query"), keys.select("key_id", "key", *(["tags"] if tags is not None else [])))
-    return pairs.select("query_id", "key_id", scorer(rank_prompt(F.col("query"), F.col("key"), tags)).alias("relevance"))
+    pairs = all_pairs(queries.select("query_id", query_block(F.col("query")).alias("_q")), keys.select("key_id", key_block(F.col("key"), tags).alias("_k")))
+    return pairs.select("query_id", "key_id", scorer(prompt_of_blocks(F.col("_q"), F.col("_k"))).alias("relevance"))
 
 
 def linear_head_score(df: DataFrame, embedding: str, weight: list[float], bias: float = 0.0, output: str = "score") -> DataFrame:

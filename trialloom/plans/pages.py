@@ -46,7 +46,7 @@ def dedupe_content(spark, sf_dir):
     return pg.dedupe_content(read(spark, sf_dir, "documents"), "text", "doc_id").select("doc_id", "signature")
 
 
-@query("""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g')) AS text FROM pages""")
+@query("""SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;?', '&', 'g'), '\\s+', ' ', 'g')) AS text FROM pages""")
 def html_to_text(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", pg.html_to_text("html").alias("text"))
 
