@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from trialloom.llm.common import _LOWER, Scratch, span_hashes, text_buffers, word_spans
 
-#: Shares are taken as log(share + FLOOR): most are near zero with a long tail.
-FLOOR = 0.002
+#: Shares are taken as log(share + FLOOR): most are near zero with a long tail. They count EXTRA more bytes or
+#: words without hits, so that one capital or comma says little about a text of a few words.
+FLOOR, EXTRA = 0.002, 40
 
 FEATURES = (
     "log_bytes", "log_words", "word_bytes", "word_bytes_spread", "upper", "digit", "symbol", "marks", "punctuation", "other_space", "wide",
@@ -39,7 +40,7 @@ def statistics(column: pa.Array) -> np.ndarray:
     raw, offsets = text_buffers(column)
     n = len(offsets) - 1
     size = np.diff(offsets)
-    share = lambda hits, of: np.log(hits / np.maximum(of, 1) + FLOOR)
+    share = lambda hits, of: np.log(hits / (of + EXTRA) + FLOOR)
 
     def by_row(mask: np.ndarray) -> np.ndarray:
         total = np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
