@@ -95,3 +95,8 @@ def seeded_order(seed: int, *keys: Column | str) -> Column:
 def int_text(c: Column | str) -> Column:
     """A whole number written as text, as a long; null otherwise."""
     return F.when(strip(c).rlike(r"^[-+]?[0-9]+$"), strip(c)).try_cast("long")
+
+
+def round2(c: Column | str) -> Column:
+    """A number at two places, rounded as its binary value times 100: 1.005 gives 1.0, 4.975 gives 4.97."""
+    return F.round(col(c) * 100, 0) / 100

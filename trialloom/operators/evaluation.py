@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialloom.functions.text import filled, first_filled, json_candidates, seeded_order, strip
+from trialloom.functions.text import filled, first_filled, json_candidates, round2, seeded_order, strip
 
 ARMS = ("no_klg", "klg")
 ID_COLUMNS = ("id", "ID", "question_id", "QuestionID", "problem_id", "ProblemID")
@@ -115,8 +115,8 @@ def problem_scores(trials: DataFrame, key: str = "problem_id") -> DataFrame:
 
     One aggregation with map-side partial results; arms are columns, not rows."""
     stat = {"mean": F.avg, "max": F.max, "min": F.min}
-    aggs = [F.coalesce(F.round(f(F.when(F.col("arm") == a, F.col("score"))), 2), F.lit(0.0)).alias(f"{a}_{s}") for s, f in stat.items() for a in ARMS]
-    return trials.groupBy(key).agg(*aggs).withColumn("improvement", F.round(F.col("klg_mean") - F.col("no_klg_mean"), 2))
+    aggs = [F.coalesce(round2(f(F.when(F.col("arm") == a, F.col("score")))), F.lit(0.0)).alias(f"{a}_{s}") for s, f in stat.items() for a in ARMS]
+    return trials.groupBy(key).agg(*aggs).withColumn("improvement", round2(F.col("klg_mean") - F.col("no_klg_mean")))
 
 
 def evaluation_summary(scores: DataFrame) -> DataFrame:
@@ -124,8 +124,8 @@ def evaluation_summary(scores: DataFrame) -> DataFrame:
     n = F.count("*")
     cols = [n.alias("total_problems")]
     for s in ("mean", "max", "min"):
-        a, b = F.round(f"no_klg_{s}", 2), F.round(f"klg_{s}", 2)
-        mean = lambda c: F.coalesce(F.round(F.sum(F.round(c * 100).cast("long")) / F.lit(100.0) / n, 2), F.lit(0.0))
+        a, b = round2(f"no_klg_{s}"), round2(f"klg_{s}")
+        mean = lambda c: F.coalesce(round2(F.sum(F.round(c * 100).cast("long")) / F.lit(100.0) / n), F.lit(0.0))
         cols += [
             mean(a).alias(f"no_klg_{s}_mean"), mean(b).alias(f"klg_{s}_mean"), mean(b - a).alias(f"{s}_improvement"),
             F.count_if(b > a).alias(f"{s}_win"), F.count_if(b == a).alias(f"{s}_tie"), F.count_if(b < a).alias(f"{s}_loss"),
