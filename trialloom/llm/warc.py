@@ -6,7 +6,7 @@ import hashlib
 import io
 import struct
 import uuid
-from base64 import b32encode
+from base64 import b32decode, b32encode
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialloom.llm.common import Scratch
+from trialloom.llm.common import Scratch, delete
 
 #: Fixed values of the format: first bytes of the skippable frame that holds the dictionary.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -185,8 +185,6 @@ def read_warc(spark: SparkSession, paths: list[str] | str) -> DataFrame:
 
 
 def _hex(digest: str) -> str:
-    from base64 import b32decode
-
     return b32decode(digest.removeprefix("sha1:")).hex()
 
 
@@ -212,8 +210,6 @@ def archive_pages(pages: DataFrame, least: int = 1000, id_col: str = "page_id",
     names = files.select("file").distinct()
     listed = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.warc.zst").load(folder).select("path")
     extra = listed.withColumn("file", F.element_at(F.split("path", "/"), -1)).join(names, "file", "left_anti")
-    from trialloom.llm.common import delete
-
     for r in extra.toLocalIterator():
         delete(spark, r.path)
     return read_warc(spark, folder)
