@@ -208,3 +208,38 @@ def stream_summary(spark, sf_dir):
     s = st.stream_json(spark, path, "problem_id long, arm string, trial long, score double, feedback string", 1)
     st.start_summary(s, f"{out}/t", f"{out}/s", f"{out}/c").awaitTermination()
     return spark.read.parquet(f"{out}/s")
+
+
+def _runs(spark, sf_dir):
+    m = messages(spark, sf_dir)
+    step = F.when(F.col("role") == "assistant", F.struct("seq", F.struct(F.col("seq").cast("int").alias("step"), F.lit("a").alias("agent"), F.col("content").alias("result"))))
+    talk = F.transform(F.array_sort(F.collect_list(F.struct("seq", "role", "content"))), lambda x: F.struct(x.role.alias("role"), x.content.alias("content")))
+    return m.groupBy(F.col("run_id").cast("string").alias("run_id")).agg(talk.alias("input_messages"), F.max_by("content", "seq").alias("final_output"), F.transform(F.array_sort(F.collect_list(step)), lambda x: x.col2).alias("steps"))
+
+
+_RUNS_SQL = f"WITH {STEPS} SELECT run_id::VARCHAR AS run_id, count(*)::INTEGER AS messages, max(n_steps)::INTEGER AS steps, length(arg_max(content, seq))::INTEGER AS chars FROM s GROUP BY run_id"
+
+
+@query(_RUNS_SQL)
+def read_run_dataset(spark, sf_dir):
+    path = scratch(spark, "run-data")
+    lines = _runs(spark, sf_dir).select(F.to_json(F.struct("*")).alias("value"))
+    lines.union(lines.limit(1).select(F.lit(""))).write.text(path)
+    return src.read_run_dataset(spark, path).where("run_id is not null").select("run_id", F.size("input_messages").alias("messages"), F.size("steps").alias("steps"), F.char_length("final_output").alias("chars"))
+
+
+@query(_RUNS_SQL)
+def stream_runs(spark, sf_dir):
+    path, out = scratch(spark, "run-log"), scratch(spark, "run-out")
+    _runs(spark, sf_dir).repartition(3).write.json(path)
+    runs = st.run_to_table(st.stream_json(spark, path, src.DATASET_SCHEMA, 1), f"{out}/t", f"{out}/c")
+    return runs.select("run_id", F.size("input_messages").alias("messages"), F.size("steps").alias("steps"), F.char_length("final_output").alias("chars"))
+
+
+@query("SELECT doc_id::VARCHAR AS id, lang AS agent, 'k' || doc_id AS text, ['a'] AS tags FROM documents")
+def read_knowledge_json(spark, sf_dir):
+    """Files with a list under ``knowledge``, one for each language."""
+    path = scratch(spark, "knowledge-json")
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("name"), F.concat(F.lit("k"), "doc_id").alias("content"), F.array(F.lit("a")).alias("tags"))
+    d.groupBy(F.col("name").alias("f")).agg(F.to_json(F.struct(F.collect_list(F.struct("id", "name", "content", "tags")).alias("knowledge"))).alias("value")).write.partitionBy("f").text(path)
+    return src.read_knowledge(spark, path, "json").drop("meta")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialloom.functions import text as tx
+from trialloom.operators import conversion as cv
 from trialloom.operators import messages as ms
 from trialloom.plans.base import query, read
 
@@ -177,3 +178,40 @@ def step_prompts(spark, sf_dir):
     m = _mixed(spark, sf_dir)
     keys = m.select("run_id").distinct().select("run_id", F.lit(1).alias("step"), F.lit(" know 1").alias("text"))
     return ms.step_prompts(m, keys)
+
+
+def _entries(spark, sf_dir):
+    m = messages(spark, sf_dir)
+    runs = m.where("role = 'user'").select("run_id").distinct()
+    k = runs.select("run_id", F.explode(F.sequence(F.lit(0), F.col("run_id") % 3)).alias("pos"))
+    k = k.select("run_id", "pos", F.concat(F.lit(" know "), "pos").alias("text"), F.when(F.col("pos") == 1, F.array(F.lit("t"))).alias("tags"), ((F.col("run_id") + F.col("pos")) % 4).alias("score"))
+    extras = runs.where("run_id % 5 = 0").select("run_id", F.lit(1).alias("place"), F.lit("other").alias("text"))
+    given = runs.select("run_id", F.lit(0).alias("winner"), F.lit(1).alias("loser"))
+    return cv.convert_entries(m, k, given, extras, more_pairs=True, agent_roles=AGENT)
+
+
+_ENTRIES = f"""{STEPS}, r AS (SELECT DISTINCT run_id FROM m WHERE role = 'user'), k AS (SELECT run_id, p::INTEGER AS pos, 'know ' || p AS text, CASE WHEN p = 1 THEN chr(10) || 'Tags: t' ELSE '' END AS tags, ((run_id + p) % 4)::DOUBLE AS score FROM r, generate_series(0, 2) g(p) WHERE p <= run_id % 3
+  UNION ALL SELECT run_id, (run_id % 3 + 1)::INTEGER, 'other', '', 0.0 FROM r WHERE run_id % 5 = 0)"""
+
+
+@query(f"""WITH {_ENTRIES}, b AS (SELECT run_id, seq, role, content, is_agent, upto, n_steps - 1 AS n FROM s WHERE NOT (is_agent AND upto = n_steps)), f AS (SELECT run_id, arg_max(content, seq) AS focus FROM m WHERE role = 'user' GROUP BY 1),
+  t AS (SELECT run_id, upto, trim(content, {_WS}) AS c FROM b WHERE is_agent AND upto > n - 4),
+  a AS (SELECT run_id, string_agg('step' || upto || chr(10) || CASE WHEN length(c) > 800 THEN rtrim(c[:800], {_WS}) || '...' ELSE c END, chr(10)||chr(10) ORDER BY upto) FILTER (c <> '') AS findings FROM t GROUP BY 1)
+  SELECT k.run_id, pos, score, '<query>' || chr(10) || 'User query:' || chr(10) || trim(focus, {_WS}) || coalesce(chr(10)||chr(10) || 'Recent agent findings:' || chr(10) || findings, '') || chr(10) || '</query>' || chr(10)||chr(10)||chr(10) || '<key>' || chr(10) || text || tags || chr(10) || '</key>' || chr(10)||chr(10)||chr(10) || 'Query-Key Relevance Score:' AS prompt
+  FROM k JOIN f USING (run_id) LEFT JOIN a USING (run_id)""")
+def convert_entries(spark, sf_dir):
+    return _entries(spark, sf_dir)[0]
+
+
+@query(f"""WITH {_ENTRIES}, given AS (SELECT run_id, 0 AS winner, 1 AS loser FROM r WHERE run_id IN (SELECT run_id FROM k WHERE pos = 1)),
+  made AS (SELECT a.run_id, CASE WHEN a.score > b.score THEN a.pos ELSE b.pos END AS winner, CASE WHEN a.score > b.score THEN b.pos ELSE a.pos END AS loser FROM k a JOIN k b ON a.run_id = b.run_id AND a.pos < b.pos AND a.score <> b.score)
+  SELECT *, true AS given FROM given UNION ALL SELECT *, false FROM made WHERE (run_id, winner, loser) NOT IN (SELECT * FROM given)""")
+def convert_entry_pairs(spark, sf_dir):
+    return _entries(spark, sf_dir)[1]
+
+
+@query(f"""WITH {M}, f AS (SELECT run_id, min(seq) AS first, arg_min(role, seq) AS role FROM m GROUP BY 1)
+  SELECT m.run_id, seq, m.role, CASE WHEN seq = first AND m.role = 'system' THEN 'be ' || m.run_id ELSE content END AS content FROM m JOIN f USING (run_id) UNION ALL SELECT run_id, first - 1, 'system', 'be ' || run_id FROM f WHERE role <> 'system'""")
+def with_system_prompt(spark, sf_dir):
+    m = messages(spark, sf_dir)
+    return cv.with_system_prompt(m, m.select("run_id").distinct().withColumn("system_prompt", F.concat(F.lit("be "), "run_id")))

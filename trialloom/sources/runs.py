@@ -108,10 +108,12 @@ def read_steps(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STEP_SCHEMA).json(path, mode="DROPMALFORMED").withColumn("run_id", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
 
 
+DATASET_SCHEMA = f"schema_version int, run_id string, run_name string, input_messages array<{_MESSAGE}>, final_output string, steps array<struct<step:int, agent:string, result:string, time:double>>"
+
+
 def read_run_dataset(spark: SparkSession, path: str) -> DataFrame:
     """The append-only run data set, a JSON object a line."""
-    schema = f"schema_version int, run_id string, run_name string, input_messages array<{_MESSAGE}>, final_output string, steps array<struct<step:int, agent:string, result:string, time:double>>"
-    return spark.read.schema(schema).json(path, mode="DROPMALFORMED")
+    return spark.read.schema(DATASET_SCHEMA).json(path, mode="DROPMALFORMED")
 
 
 def read_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
