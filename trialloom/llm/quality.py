@@ -204,12 +204,14 @@ def score_quality(docs: DataFrame, labels: DataFrame, use: Column, threshold: fl
 def keep_quality(docs: DataFrame, labels: DataFrame, use: Column, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose score is ``threshold`` or more, with all their columns.
 
-    Model, scores and edge cases are those of ``score_quality``; only the
-    statistics of labelled documents are gathered to fit the model, and rows are
-    judged one by one without an exchange. The labels may be few or many.
+    Model, scores and edge cases are those of ``score_quality``. Statistics are
+    joined with the labels to fit the model; texts stay where they are and are
+    judged row by row.
     """
-    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & use).select("doc_id").distinct()
-    model = fit_quality(document_statistics(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(known, "doc_id", "left_semi")), labels, use)
+    scratch = Scratch(docs.sparkSession, "quality")
+    stats = scratch.table(document_statistics(docs, id_col, text_col), "stats")
+    model = fit_quality(stats, labels, use)
+    scratch.drop(stats)
 
     def run(batches):
         for batch in batches:

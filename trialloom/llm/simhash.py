@@ -14,11 +14,17 @@ from trialloom.llm.common import _LOWER, Scratch, local_components, text_buffers
 from trialloom.llm.components import connected_components
 
 SHINGLE_SEED = 42
-LEAF_ROWS = 1024
+LEAF_ROWS = 4096
 SAMPLE_ROWS = 16384
-TILE = 2048
-#: First bit and number of bits of the words a fingerprint is cut into.
-WORDS = ((0, 21), (21, 21), (42, 22))
+TILE = 4096
+
+def words_of(bits: int) -> list[tuple[int, int]]:
+    """First bit and number of bits of the words that a fingerprint is cut into.
+
+    Of two fingerprints ``bits`` apart at least one word is at most 1 apart, with as few words as that takes."""
+    n = max(1, -(-(bits + 1) // 2))
+    edges = [64 * k // n for k in range(n + 1)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
 def fingerprints_of(column: pa.Array, width: int) -> np.ndarray:
@@ -139,15 +145,16 @@ def simhash_fingerprints(docs: DataFrame, width: int, id_col: str = "doc_id", te
 def link_fingerprints(groups: DataFrame, bits: int, scratch: Scratch, seed: int = 11) -> DataFrame:
     """Links (rep, root) that span the pairs of ``groups`` (fp, rep) at most ``bits`` apart.
 
-    Two such fingerprints are at most bits // 3 apart in one of three words at
-    least. For each word a vantage-point tree deals the fingerprints to shards by
+    Two such fingerprints are at most 1 apart in one of their words at least
+    (``words_of``). For each word a vantage-point tree deals the fingerprints to shards by
     Hamming distance; those near a boundary, by the triangle bounds, also visit
     the shards beyond it. Every pair within a shard is verified on all 64 bits.
     Shards with many rows are cut into tiles, so no group grows with the input.
     """
     spark = groups.sparkSession
     n = groups.count()
-    reach = bits // len(WORDS)
+    words = words_of(bits)
+    reach = bits // len(words)
     leaves = max(1, math.ceil(n / LEAF_ROWS))
     trees = []
     if leaves > 1:
@@ -155,14 +162,14 @@ def link_fingerprints(groups: DataFrame, bits: int, scratch: Scratch, seed: int
         sample = groups.where(F.pmod(F.xxhash64(F.lit(seed), "fp"), F.lit(of)) == 0).select("fp").toPandas()["fp"].to_numpy().view(np.uint64)
     else:
         sample = np.zeros(0, np.uint64)
-    for first, size in WORDS:
+    for first, size in words:
         word = np.sort(sample) >> np.uint64(first) & np.uint64((1 << size) - 1)
         trees.append(VantageTree(word, leaves, seed + first))
 
     def route(batches):
         for batch in batches:
             fp = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            for t, (first, size) in enumerate(WORDS):
+            for t, (first, size) in enumerate(words):
                 rows, leaf, home = trees[t].route(fp >> np.uint64(first) & np.uint64((1 << size) - 1), reach)
                 picked = batch.take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), t, np.int32)), pa.array(leaf.astype(np.int32)), pa.array(home), picked.column("fp"), picked.column("rep")], names=["tree", "leaf", "home", "fp", "rep"])
@@ -217,12 +224,27 @@ def simhash_components(docs: DataFrame, width: int = 4, bits: int = 4, id_col: s
     return prints.join(known, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+#: Ids of rows that go are broadcast up to so many (16 MB); beyond, documents and ids are joined by exchange.
+BROADCAST_IDS = 2_000_000
+
+
 def drop_near_duplicates(docs: DataFrame, width: int = 4, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of linked documents (see ``simhash_components``), with all its columns.
 
     The row with the group's smallest id stays; of rows repeated with that id one
-    does. Rows with a null id cannot be named as anyone's copy and stay.
+    does. Rows with a null id cannot be named as anyone's copy and stay. While
+    the ids to drop are few, texts are not exchanged.
     """
+    scratch = Scratch(docs.sparkSession, "distinct")
     groups = simhash_components(docs, width, bits, id_col, text_col)
-    stays = groups.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(stays, id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    named = groups.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias(id_col)).agg(F.count("*").alias("n"), F.min("component_id").alias("c"))
+    marked = named.select(id_col, (F.col("c") == F.col(id_col)).alias("first"), "n").where("not first or n > 1")
+    marked = scratch.table(marked.select(id_col, "first"), "marked")
+    few = marked.count() <= BROADCAST_IDS
+    side = F.broadcast(marked.select(id_col)) if few else marked.select(id_col)
+    kept = docs.join(side, id_col, "left_anti").select(docs.columns)
+    again = marked.where("first").select(id_col)
+    if again.isEmpty():
+        return kept
+    again = F.broadcast(again) if few else again
+    return kept.unionByName(docs.join(again, id_col, "left_semi").dropDuplicates([id_col]).select(docs.columns))
