@@ -134,20 +134,21 @@ def test_simhash(spark, sf_dir):
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in q.op9_simhash(spark, sf_dir).collect()} == expected
 
 
-def test_links_of_fingerprints(spark, monkeypatch):
+@pytest.mark.parametrize("bits", [0, 1, 3, 4, 8])
+def test_links_of_fingerprints(spark, monkeypatch, bits):
     monkeypatch.setattr(sh, "LEAF_ROWS", 16)
     monkeypatch.setattr(sh, "TILE", 24)
     rng = np.random.default_rng(5)
     fp = rng.integers(0, 2**63, 400, np.uint64)
     for k in range(60):  # flips of up to 6 bits of some, and of each other
-        flips = rng.choice(64, rng.integers(1, 7), replace=False)
+        flips = rng.choice(64, rng.integers(1, 11), replace=False)
         fp = np.append(fp, fp[rng.integers(0, len(fp))] ^ np.bitwise_or.reduce(np.uint64(1) << flips.astype(np.uint64)))
     near = fp[0] ^ (np.uint64(1) << rng.integers(0, 64, 150).astype(np.uint64))  # many within 2 of each other
     fp = np.unique(np.append(fp, near))
     df = spark.createDataFrame([(int(f), i) for i, f in enumerate(fp.view(np.int64))], "fp long, rep long")
     s = Scratch(spark, "t")
-    got = connected_components(sh.link_fingerprints(df, 4, s), "rep", "root", s).collect()
-    links = [(a, int(b) + a + 1) for a in range(len(fp)) for b in np.flatnonzero(np.bitwise_count(fp[a] ^ fp[a + 1 :]) <= 4)]
+    got = connected_components(sh.link_fingerprints(df, bits, s), "rep", "root", s).collect()
+    links = [(a, int(b) + a + 1) for a in range(len(fp)) for b in np.flatnonzero(np.bitwise_count(fp[a] ^ fp[a + 1 :]) <= bits)]
     label = components(len(fp), links)
     assert {r.node: r.component for r in got} == {i: c for i, c in enumerate(label) if label.count(c) > 1}
 
@@ -330,7 +331,7 @@ def test_pipeline(spark, sf_dir):
     predicted = {r.doc_id for r in q.op7_quality(spark, sf_dir).where("predicted = 1").collect()}
     assert {r.doc_id for r in good.collect()} == predicted
     kept = {r.doc_id: r.text for r in single.collect()}
-    groups = sh.simhash_components(good)
+    groups = sh.simhash_components(good, width=5, bits=8)
     assert set(kept) == {r.component_id for r in groups.collect()}
     redacted = {r.doc_id: r.text for r in clean.collect()}
     assert set(redacted) == set(kept) and not any(brute_base(t or "") for t in redacted.values())
