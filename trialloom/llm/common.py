@@ -84,16 +84,12 @@ def crc_of_id(col: Column) -> Column:
     return F.crc32(col.cast("string").cast("binary"))
 
 
-def tasks(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
 # ---------------------------------------------------------------- numpy helpers
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialloom.llm.common import _LOWER, Scratch, span_hashes, text_buffers, word_spans
+from trialloom.llm.common import LOWER, Scratch, span_hashes, text_buffers, word_spans
 
 #: Shares are taken as log(share + FLOOR): most are near zero with a long tail. They count EXTRA more bytes or
 #: words without hits, so that one capital or comma says little about a text of a few words.
@@ -65,7 +65,7 @@ def statistics(column: pa.Array) -> np.ndarray:
     out["marked_words"] = share(per(_CLASSES["symbol"][tail]), words)
     ups = np.concatenate([[0], np.cumsum(_CLASSES["upper"][raw], dtype=np.int64)])
     out["upper_words"] = share(per(ups[ends] - ups[starts] >= 2), words)
-    h = span_hashes(_LOWER[raw], starts, ends)
+    h = span_hashes(LOWER[raw], starts, ends)
     again = np.zeros(len(h), bool)
     again[1:] = (h[1:] == h[:-1]) & (row[1:] == row[:-1])
     out["same_as_last"] = share(per(again), words)

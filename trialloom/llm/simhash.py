@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialloom.llm.common import _LOWER, Scratch, local_components, text_buffers, word_spans
+from trialloom.llm.common import LOWER, Scratch, local_components, text_buffers, word_spans
 from trialloom.llm.components import connected_components
 
 SHINGLE_SEED = 42
@@ -36,7 +36,7 @@ def fingerprints_of(column: pa.Array, width: int) -> np.ndarray:
     more than half of the shingles' XXH64 values.
     """
     raw, offsets = text_buffers(column)
-    raw = _LOWER[raw]
+    raw = LOWER[raw]
     starts, ends, row = word_spans(raw, offsets)
     # the words of the batch joined by one space each
     place = np.concatenate([[0], np.cumsum(ends - starts + 1)])
