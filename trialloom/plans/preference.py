@@ -47,7 +47,7 @@ def prepare_scores(spark, sf_dir):
 
 
 _GROUPED = """t AS (SELECT user_id, event_id, value AS score FROM events WHERE event_type IN ('purchase', 'signup', 'error')),
-  m AS (SELECT row_number() OVER (ORDER BY user_id) - 1 AS problem_id, user_id FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 7 <> 0)),
+  m AS (SELECT DISTINCT user_id AS problem_id, user_id FROM events WHERE user_id % 7 <> 0),
   h AS (SELECT m.problem_id, t.event_id, 'r' || t.event_id AS run_id, score, CASE WHEN event_id % 3 = 0 THEN event_id % 5 ELSE event_id % 4 END AS n_steps, CASE WHEN event_id % 3 = 0 THEN 'cache' ELSE 'files' END AS source
     FROM t JOIN m USING (user_id) WHERE event_id % 3 = 0 OR event_id % 2 = 0),
   gt AS (SELECT problem_id, (row_number() OVER (PARTITION BY problem_id ORDER BY event_id) - 1)::INTEGER AS idx, run_id, score, n_steps, source FROM h)"""
@@ -57,8 +57,7 @@ def _grouped(spark, sf_dir):
     e = read(spark, sf_dir, "events")
     run = F.concat(F.lit("r"), "event_id").alias("run_id")
     t = e.where(F.col("event_type").isin("purchase", "signup", "error")).select(F.col("user_id").cast("string").alias("entry_id"), F.col("event_id").alias("trial"), run, F.col("value").alias("score"))
-    index = e.where("user_id % 7 <> 0").select("user_id").distinct().withColumn("idx", F.row_number().over(Window.orderBy("user_id")) - 1)
-    index = index.select(F.col("user_id").cast("string").alias("entry_id"), F.col("idx"))
+    index = e.where("user_id % 7 <> 0").select(F.col("user_id").cast("string").alias("entry_id"), F.col("user_id").alias("idx")).distinct()
     cache = e.where("event_id % 3 = 0").select(run, (F.col("event_id") % 5).alias("n_steps"))
     files = e.where("event_id % 2 = 0").select(run, (F.col("event_id") % 4).alias("n_steps"))
     return pr.group_trials(t, index, cache, files)
