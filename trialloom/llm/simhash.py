@@ -27,26 +27,30 @@ def words_of(bits: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
-def fingerprints_of(column: pa.Array, width: int) -> np.ndarray:
-    """64-bit SimHash of each text of a column.
-
-    Words are lower-cased (A-Z) runs without ASCII white space, shingles are
-    ``width`` words joined by one space, each as often as it occurs; fewer words
-    make one shingle, none make fingerprint zero. A bit is set if it is set in
-    more than half of the shingles' XXH64 values.
-    """
+def joined_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The lower-cased words of a batch joined by one space each, the first byte of each word, the first word of each row."""
     raw, offsets = text_buffers(column)
     raw = LOWER[raw]
     starts, ends, row = word_spans(raw, offsets)
-    # the words of the batch joined by one space each
     place = np.concatenate([[0], np.cumsum(ends - starts + 1)])
     joined = np.full(place[-1], 0x20, np.uint8)
     inside = np.arange(place[-1]) - np.repeat(place[:-1], ends - starts + 1)
     body = inside < np.repeat(ends - starts, ends - starts + 1)
     joined[body] = raw[(np.repeat(starts, ends - starts + 1) + inside)[body]]
+    return joined, place, np.searchsorted(row, np.arange(len(offsets)))
+
+
+def fingerprints_of(column: pa.Array, width: int) -> np.ndarray:
+    """64-bit SimHash of each text of a column.
+
+    Words are lower-cased (A-Z) runs without ASCII white space, shingles are
+    ``width`` words joined by one space, each as often as it occurs; fewer words
+    make one shingle, none make fingerprint zero. A bit is set if it is set in
+    more than half of the shingles' XXH64 values.
+    """
+    joined, place, first = joined_words(column)
     text = joined.tobytes()
-    first = np.searchsorted(row, np.arange(len(offsets)))
-    out = np.zeros(len(offsets) - 1, np.uint64)
+    out = np.zeros(len(first) - 1, np.uint64)
     weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
     digest = xxhash.xxh64_intdigest
     last = (place[1:] - 1).tolist()
@@ -237,6 +241,11 @@ def drop_near_duplicates(docs: DataFrame, width: int = 4, bits: int = 4, id_col:
     """
     scratch = Scratch(docs.sparkSession, "distinct")
     groups = simhash_components(docs, width, bits, id_col, text_col)
+    return first_of_groups(docs, groups, id_col, scratch)
+
+
+def first_of_groups(docs: DataFrame, groups: DataFrame, id_col: str, scratch: Scratch) -> DataFrame:
+    """The rows of ``docs`` with their group's smallest id, one for each id, and those without an id; groups are rows (doc_id, component_id)."""
     named = groups.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias(id_col)).agg(F.count("*").alias("n"), F.min("component_id").alias("c"))
     marked = named.select(id_col, (F.col("c") == F.col(id_col)).alias("first"), "n").where("not first or n > 1")
     marked = scratch.table(marked.select(id_col, "first"), "marked")
