@@ -105,7 +105,6 @@ def test_packing(spark, sf_dir):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_file())
-    t.encode_special_tokens = True
     assert set(p.doc_id) == set(docs)
     for doc, part in p.sort_values("piece").groupby("doc_id"):
         ids = np.array([*t.encode(docs[doc], add_special_tokens=False).ids, 0], "<u4")
@@ -118,12 +117,13 @@ def test_packing(spark, sf_dir):
 
 
 def test_encoder_equals_tokenizers(texts):
+    """Texts with special tokens' strings (in ODD) too: the tokenizer is used as its file is."""
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_file())
-    t.encode_special_tokens = True
     run = packing.encoder(tokenizer_file())
     assert all(run(x).tolist() == t.encode(x, add_special_tokens=False).ids for x in texts)
+    assert 50256 in run("a <|endoftext|> b").tolist()
     other = packing.encoder(tokenizer_file("word_bpe_49k.json"))
     assert other("hello there").tolist() == Tokenizer.from_file(tokenizer_file("word_bpe_49k.json")).encode("hello there", add_special_tokens=False).ids
 
@@ -181,3 +181,17 @@ def test_sharding_of_copies(spark):
     assert max(size.values()) - min(size.values()) <= 0.02 * sum(size.values()) / 8
     assert shard_documents(df.limit(0), 8).count() == 0
     assert {r.shard for r in shard_documents(df.limit(1), 8).collect()} <= set(range(8))
+
+
+def test_sharding_of_repeated_rows(spark, monkeypatch):
+    """A row that is a third of the table is cut at boundaries and dealt to tasks."""
+    from trialloom.llm import sharding
+
+    monkeypatch.setattr(sharding, "DEAL_ROWS", 100)
+    docs = [(i, f"own text {i}") for i in range(2000)] + [(5000, "repeated")] * 1000 + [(None, None)] * 300
+    df = spark.createDataFrame([(*d, k, "x", 1) for k, d in enumerate(docs)], "doc_id long, text string, h int, row string, U long")
+    rows = shard_documents(df, 8).collect()
+    size = check_shards(rows, docs, 8)
+    mean = sum(size.values()) / 8
+    assert len(size) == 8 and all(abs(x - mean) <= 0.001 * mean + 14 for x in size.values())
+    assert sorted(r.h for r in rows) == list(range(len(docs)))

@@ -34,16 +34,21 @@ def _byte_of_char() -> dict[str, int]:
 
 
 def encoder(tokenizer_file: str) -> Callable[[str], np.ndarray]:
-    """Token ids of a text by a tokenizers file, special tokens' strings being ordinary text.
+    """Token ids of a text by a tokenizers file, as ``encode(text, add_special_tokens=False)`` gives them.
 
     A plain byte-level BPE whose ids rise with its merges is run by tiktoken, which
-    gives the same ids in a quarter of the time; any other file by tokenizers."""
+    gives the same ids in a quarter of the time; texts that hold an added token's
+    string, and any other file, are run by tokenizers."""
     if tokenizer_file not in _ENCODERS:
         _ENCODERS[tokenizer_file] = _load(tokenizer_file)
     return _ENCODERS[tokenizer_file]
 
 
 def _load(tokenizer_file: str) -> Callable[[str], np.ndarray]:
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_file)
+    slow = lambda text: np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
     with open(tokenizer_file, encoding="utf-8") as f:
         spec = json.load(f)
     model, cut = spec["model"], spec.get("pre_tokenizer") or {}
@@ -60,19 +65,15 @@ def _load(tokenizer_file: str) -> Callable[[str], np.ndarray]:
             byte = _byte_of_char()
             ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items()}
             run = tiktoken.Encoding(tokenizer_file, pat_str=BYTE_LEVEL_SPLIT, mergeable_ranks=ranks, special_tokens={})
-            return lambda text: run.encode_to_numpy(text, disallowed_special=())
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(tokenizer_file)
-    tokenizer.encode_special_tokens = True
-    return lambda text: np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+            return lambda text: slow(text) if any(t in text for t in special) else run.encode_to_numpy(text, disallowed_special=())
+    return slow
 
 
 def tokenised_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, piece, start, length, ids): token ids as little-endian unsigned 32-bit binary.
 
-    A document's ids are those of its whole text, special tokens' strings being
-    ordinary text, then id 0. Documents of more than ``capacity`` ids are cut
+    A document's ids are those of its whole text (``encoder``), in which an added
+    token's string is that token, then id 0. Documents of more than ``capacity`` ids are cut
     into pieces of ``capacity``, of which the first may be shorter. A null text
     is empty: one piece of one id.
     """
