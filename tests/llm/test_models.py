@@ -218,6 +218,43 @@ def test_quality(spark, sf_dir):
     assert (held.predicted == held.quality).mean() >= 0.9
 
 
+def test_discriminant_equals_formula(spark):
+    """Scores against the densities written out with scipy-free determinants and inverses, from the same statistics."""
+    import pyarrow as pa
+
+    from trialloom.llm import quality as ql
+
+    rng = np.random.default_rng(8)
+    words = np.array("the of and to some longer words with $$ !! CAPS 12 end.".split())
+    rows = [(i, " ".join(rng.choice(words[: 9 if i % 2 else 14], rng.integers(5, 80))), i % 2) for i in range(120)]
+    x = ql.statistics(pa.array([t for _, t, _ in rows]))
+    y = np.array([q for _, _, q in rows])
+    k, n = x.shape[1], np.array([(y == c).sum() for c in (0, 1)])
+    centre, scale = x.mean(axis=0), np.sqrt(np.maximum(x.var(axis=0), 1e-6))
+    z = (x - centre) / scale
+    own = [np.cov(z[y == c].T, bias=True) for c in (0, 1)]
+    pooled = (n[0] * own[0] + n[1] * own[1]) / n.sum()
+    logs = []
+    for c in (0, 1):
+        w = 0.1 + 0.9 * k / (k + n[c])
+        cov = (1 - w) * own[c] + w * pooled + 0.01 * np.eye(k)
+        d = np.clip(z, -8, 8) - z[y == c].mean(axis=0)
+        logs.append(-0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d) - 0.5 * np.linalg.slogdet(cov)[1])
+    prior = (n[1] + 1) / (n.sum() + 2)
+    expected = 1 / (1 + np.exp(-(math.log(prior / (1 - prior)) + (logs[1] - logs[0]) / math.sqrt(k))))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in score_quality(docs, labels, F.lit(True)).collect()}
+    assert np.allclose([got[i] for i in range(120)], expected, atol=1e-6)
+
+
+def test_quality_of_null_ids(spark, tmp_path):
+    spark.createDataFrame([(None, "some text", "en"), (1, None, "en"), (1, None, "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1), (None, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = q.op7_quality(spark, str(tmp_path)).collect()
+    assert len(got) == 3 and all(r.held_out is not None and 0 <= r.score <= 1 for r in got)
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(1, None, 0.1), (2, "", 0.1), (None, "some words here", 0.1), (3, "!!! $$$ ### " * 3000, 0.1), (3, "again", 0.1)], "doc_id long, text string, score double")
     none = spark.createDataFrame([], "doc_id long, quality int")

@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,6 +124,24 @@ def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+#: Rows and text bytes that a task works on at once.
+PART_ROWS, PART_BYTES = 512, 1 << 20
+
+
+def text_parts(batches, text: str, rows: int = PART_ROWS, size: int = PART_BYTES):
+    """Slices of Arrow batches of at most so many rows and, but for single longer texts, so many bytes of text."""
+    for batch in batches:
+        column = batch.column(batch.schema.get_field_index(text))
+        upto = np.concatenate([[0], np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+        at = 0
+        while at < batch.num_rows:
+            end = int(np.searchsorted(upto, upto[at] + size, side="right")) - 1
+            end = min(max(end, at + 1), at + rows, batch.num_rows)
+            yield batch.slice(at, end - at)
+            at = end
+        pa.default_memory_pool().release_unused()
+
+
 def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of each word and the row it is in.
 

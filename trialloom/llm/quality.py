@@ -9,11 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialloom.llm.common import LOWER, Scratch, span_hashes, text_buffers, word_spans
+from trialloom.llm.common import LOWER, span_hashes, text_buffers, text_parts, word_spans
 
 #: Shares are taken as log(share + FLOOR): most are near zero with a long tail. They count EXTRA more bytes or
 #: words without hits, so that one capital or comma says little about a text of a few words.
 FLOOR, EXTRA = 0.002, 40
+#: The model is fitted on about so many labelled documents at most.
+FIT_LABELS = 200_000
 
 FEATURES = (
     "log_bytes", "log_words", "word_bytes", "word_bytes_spread", "upper", "digit", "symbol", "marks", "punctuation", "other_space", "wide",
@@ -85,20 +87,6 @@ def statistics(column: pa.Array) -> np.ndarray:
     return np.stack([out[f] for f in FEATURES], axis=1)
 
 
-def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, stats) for each row of ``docs``."""
-
-    def run(batches):
-        for batch in batches:
-            for s in range(0, batch.num_rows, 512):
-                part = batch.slice(s, 512)
-                x = statistics(part.column("text"))
-                stats = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), stats], names=["doc_id", "stats"])
-
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, stats array<double>")
-
-
 @dataclass(frozen=True)
 class Discriminant:
     """Class means, inverse Cholesky factors and log determinants of shrunk covariances."""
@@ -144,29 +132,40 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip(base + (density[1] - density[0]) / self.temper, -50, 50)))
 
 
-def fit_quality(stats: DataFrame, labels: DataFrame, use: Column, shrink: float = 0.1, ridge: float = 0.01) -> Discriminant:
-    """Fit on all rows of ``labels`` (doc_id, quality 0 or 1) for which ``use`` of doc_id holds.
+def _parts(batches, text_col: str):
+    for part in text_parts(batches, text_col):
+        yield part, statistics(part.column(part.schema.get_field_index(text_col)))
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, use: Column, shrink: float = 0.1, ridge: float = 0.01, fit_labels: int = FIT_LABELS, id_col: str = "doc_id", text_col: str = "text") -> Discriminant:
+    """Fit on the rows of ``labels`` (doc_id, quality 0 or 1) for which ``use`` of doc_id holds.
 
-    Tasks send on counts, sums and sums of products: two small rows each.
+    Of more than ``fit_labels`` different (doc_id, quality) a sample of about so
+    many is taken, by hash of the id; equal rows count as often as they occur.
+    Only labelled texts are read closely: the labels are sent to where the texts
+    are. Tasks send on counts, sums and sums of products: two small rows each.
     """
     k = len(FEATURES)
-    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & use).select("doc_id", F.col("quality").cast("int").alias("quality"))
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & use).groupBy("doc_id", F.col("quality").cast("int").alias("_quality")).agg(F.count("*").alias("_times"))
+    n = known.count()
+    if n > fit_labels:
+        known = known.where(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(n)) < fit_labels)
 
     def sums(batches):
         n, s1, s2 = np.zeros(2), np.zeros((2, k)), np.zeros((2, k, k))
-        for batch in batches:
-            x = batch.column("stats").flatten().to_numpy().reshape(-1, k)
-            y = batch.column("quality").to_numpy()
+        for part, x in _parts(batches, "_text"):
+            y, times = (part.column(part.schema.get_field_index(c)).to_numpy() for c in ("_quality", "_times"))
             for c in (0, 1):
-                z = x[y == c]
-                n[c] += len(z)
-                s1[c] += z.sum(axis=0)
-                s2[c] += z.T @ z
+                z, w = x[y == c], times[y == c, None]
+                n[c] += w.sum()
+                s1[c] += (w * z).sum(axis=0)
+                s2[c] += (w * z).T @ z
         for c in (0, 1):
             flat = np.concatenate([[n[c]], s1[c], s2[c].ravel()])
             yield pa.RecordBatch.from_pydict({"c": pa.array([c] * len(flat), pa.int32()), "i": pa.array(range(len(flat)), pa.int32()), "v": flat})
 
-    parts = stats.join(known, "doc_id").select("stats", "quality").mapInArrow(sums, "c int, i int, v double")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).join(F.broadcast(known), "doc_id")
+    parts = texts.select("_text", "_quality", "_times").mapInArrow(sums, "c int, i int, v double")
     flat = np.zeros((2, 1 + k + k * k))
     for r in parts.groupBy("c", "i").agg(F.sum("v").alias("v")).collect():  # 2 * (1 + k + k * k) numbers
         flat[r.c, r.i] = r.v
@@ -188,36 +187,26 @@ def score_quality(docs: DataFrame, labels: DataFrame, use: Column, threshold: fl
     labels of both classes all scores are the smoothed share of label 1 (0.5 with
     none). Other columns are ignored; an empty table gives no rows.
     """
-    scratch = Scratch(docs.sparkSession, "quality")
-    stats = scratch.table(document_statistics(docs, id_col, text_col), "stats")
-    model = fit_quality(stats, labels, use)
+    model = fit_quality(docs, labels, use, id_col=id_col, text_col=text_col)
 
     def run(batches):
-        for batch in batches:
-            x = batch.column("stats").flatten().to_numpy().reshape(-1, len(FEATURES))
+        for part, x in _parts(batches, "text"):
             score = model.score(x)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return stats.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, score double, predicted int")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, score double, predicted int")
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, use: Column, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose score is ``threshold`` or more, with all their columns.
 
-    Model, scores and edge cases are those of ``score_quality``. Statistics are
-    joined with the labels to fit the model; texts stay where they are and are
-    judged row by row.
+    Model, scores and edge cases are those of ``score_quality``; texts stay where
+    they are and are judged row by row.
     """
-    scratch = Scratch(docs.sparkSession, "quality")
-    stats = scratch.table(document_statistics(docs, id_col, text_col), "stats")
-    model = fit_quality(stats, labels, use)
-    scratch.drop(stats)
+    model = fit_quality(docs, labels, use, id_col=id_col, text_col=text_col)
 
     def run(batches):
-        for batch in batches:
-            at = batch.schema.get_field_index(text_col)
-            for s in range(0, batch.num_rows, 512):
-                part = batch.slice(s, 512)
-                yield part.filter(pa.array(model.score(statistics(part.column(at))) >= threshold))
+        for part, x in _parts(batches, text_col):
+            yield part.filter(pa.array(model.score(x) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -65,7 +65,7 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = crc_of_id(F.col("doc_id")) % 5 == 0
+    held = F.coalesce(crc_of_id(F.col("doc_id")) % 5 == 0, F.lit(False))
     scored = score_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), ~held)
     return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialloom.llm.common import LOWER, Scratch, local_components, text_buffers, word_spans
+from trialloom.llm.common import LOWER, Scratch, local_components, text_buffers, text_parts, word_spans
 from trialloom.llm.components import connected_components
 
 SHINGLE_SEED = 42
@@ -138,10 +138,8 @@ def simhash_fingerprints(docs: DataFrame, width: int, id_col: str = "doc_id", te
     """Rows (doc_id, fp): the fingerprint of each text as a signed long; null text as empty."""
 
     def run(batches):
-        for batch in batches:
-            for s in range(0, batch.num_rows, 256):
-                part = batch.slice(s, 256)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fingerprints_of(part.column("text"), width).view(np.int64))], names=["doc_id", "fp"])
+        for part in text_parts(batches, "text"):
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fingerprints_of(part.column("text"), width).view(np.int64))], names=["doc_id", "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
