@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tests.compare import duck, rows_of, sql_rows
+from tests.llm.test_shingle_dedup import brute
 from trialloom.llm import queries as q
 from trialloom.llm import secrets as sc
 from trialloom.llm import simhash as sh
@@ -167,37 +168,92 @@ def test_simhash_edges(spark):
 
 
 def brute_base(text):
-    spans = [(m.start(), 0, m.end()) for m in sc.ASSIGN.finditer(text) if len(m[2]) >= 12]
-    spans += [(m.start(), 1, m.end()) for m in sc.ACCESS.finditer(text) if len(m[0]) >= 18]
-    return sorted(spans + [(m.start(), 2, m.end()) for m in sc.HEX.finditer(text) if len(m[0]) >= 16])
+    """The base patterns, written out without the module's."""
+    out = []
+    for m in re.finditer(r"""(?ai:password|passwd|secret|token|api_?key)["']?[ ]*[:=][ ]*["']?([A-Za-z0-9+/_.=-]+)""", text):
+        if len(m.group(1)) >= 12:
+            out.append((m.start(), 0, m.end()))
+    for kind, pattern, least in ((1, r"AKIA[A-Z0-9]+", 18), (2, r"[0-9a-f]+", 16)):
+        out += [(m.start(), kind, m.end()) for m in re.finditer(pattern, text) if m.end() - m.start() >= least]
+    return sorted(out)
+
+
+def brute_ratio(models, s):
+    """Log-likelihood ratio of a string, character by character."""
+    at = [sc.ALPHABET.index(c) for c in s]
+    chain = lambda table: sum(table[x, y] for x, y in zip([sc.STATES, *at], at))
+    size = sum(n for n, kind in ((26, str.isupper), (26, str.islower), (10, str.isdigit), (4, lambda c: not c.isalnum())) if any(kind(c) for c in s))
+    return np.logaddexp(chain(models.random), -len(s) * math.log(size)) - math.log(2) - chain(models.ordinary)
+
+
+def brute_spans(models, text):
+    base = brute_base(text)
+    out = list(base)
+    for m in re.finditer(r"([A-Za-z0-9+/_-]{12,})={0,2}", text):
+        if not any(a < m.end() and m.start() < b for a, _, b in base) and len(set(m[1])) >= 5 and brute_ratio(models, m[1]) > models.threshold:
+            out.append((m.start(), 3, m.end()))
+    return sorted(out)
 
 
 def test_secrets(spark, sf_dir):
-    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = {r.doc_id: r.text or "" for r in table.collect()}
+    models = sc.fit_models(table)
+    listed = lambda spans: ",".join(f"{sc.KINDS[k]}:{a}:{b}" for a, k, b in spans)
     for r in q.op8_secrets(spark, sf_dir).collect():
         base = brute_base(docs[r.doc_id])
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == x for _, k, _ in base) for x in range(3))
-        listed = ",".join(f"{sc.KINDS[k]}:{a}:{b}" for a, k, b in base)
-        assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest() and set(listed.split(",")) <= set(r.spans.split(","))
-
-
-def test_markov_models(spark):
-    rng = np.random.default_rng(2)
-    alphabet = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
-    draw = lambda n: "".join(rng.choice(alphabet, n))
-    words = [a + b + c for a in ("user", "read", "make", "find") for b in ("_table", "_index", "Handler", "_config") for c in ("_name", "_value", "List", "Count")]
-    docs = [(i, f"the {words[i % 64]} is set and token = {draw(24)} in {words[(i * 7) % 64]} here") for i in range(300)]
-    df = spark.createDataFrame(docs, "doc_id long, text string")
+        assert r.base_sha256 == hashlib.sha256(listed(base).encode()).hexdigest()
+        assert r.spans == listed(brute_spans(models, docs[r.doc_id]))
+
+
+ALPHABETS = {"small": "abcdefghijklmnopqrstuvwxyz", "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "base64": sc.ALPHABET}
+
+
+def test_planted_secrets(spark):
+    """Random strings of 12 to 19 characters in prose are found, in each alphabet; no other string of 12 or more is."""
+    rng = np.random.default_rng(6)
+    draw = lambda letters, n: "".join(rng.choice(list(letters), n))
+    parts = "con ver tion ing the er an al men te re pro com ma li sta for der ung keit che".split()
+    word = lambda: "".join(rng.choice(parts, rng.integers(2, 7)))
+    rows, planted = [], {}
+    for i in range(1500):
+        words = [word() for _ in range(60)] + ["----------------", "WARNINGCONVERSION", "2024-01-02"]
+        if i % 4 == 0:
+            words.append(f'token = "{draw("0123456789abcdef", 40)}"')
+        if i % 5 == 0:
+            kind = list(ALPHABETS)[i // 5 % 4]
+            planted[i] = (kind, draw(ALPHABETS[kind], int(rng.integers(12, 20))))
+            words.insert(7, planted[i][1])
+        rows.append((i, "é " + " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
     models = sc.fit_models(df)
-    random = ["ghp" + draw(30) for _ in range(60)]
-    ordinary = [f"{a}_{b}_2024" for a, b in zip(words, reversed(words))]
-    assert sum(map(models.is_random, random)) >= 57 and sum(map(models.is_random, ordinary)) <= 3
-    text = f"é key {random[0]} and {ordinary[3]} and password: short"
-    found = sc.find_secrets(spark.createDataFrame([(1, text, 5), (2, None, 5), (3, "", 5)], "doc_id long, text string, secret_spans int"), models, redact_as="[X]").collect()
-    assert [(s.kind, text[s.start : s.end]) for s in found[0].secret_spans] == [("random", random[0])]
-    assert found[0].redacted_text == text.replace(random[0], "[X]") and found[1].redacted_text is None and found[2].secret_spans == []
+    text, got, other = dict(rows), set(), 0
+    for r in sc.find_secrets(df, models).collect():
+        found = {text[r.doc_id][s.start : s.end] for s in r.secret_spans if s.kind == "random"}
+        if r.doc_id in planted and planted[r.doc_id][1] in found:
+            got.add(r.doc_id)
+        other += len(found - {planted.get(r.doc_id, ("", ""))[1]})
+        assert sorted((s.start, sc.KINDS.index(s.kind), s.end) for s in r.secret_spans) == brute_spans(models, text[r.doc_id])
+    for kind in ALPHABETS:
+        own = [i for i, (k, s) in planted.items() if k == kind]
+        assert sum(i in got for i in own) >= 0.9 * len(own), kind
+    assert other <= 2
+
+
+def test_secret_edges(spark):
+    rows = [(1, None, 5), (2, "", 5), (None, "key Zq8xK2vW9pLr7TnB3sD== end " * 3, 5), (3, "x" * 100_000, 5), (3, "x" * 100_000, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, secret_spans int")
+    counts = np.ones((2, sc.STATES + 1, sc.STATES))
+    counts[1, :, 26:52] += 1000
+    models = sc.MarkovModels.fit(counts[0], counts[1], 10.0)
+    found = sc.find_secrets(df, models, redact_as="[X]").collect()
+    assert len(found) == 5
+    by = {r.doc_id: r for r in found}
+    assert by[1].secret_spans == [] and by[1].redacted_text is None and by[2].redacted_text == "" and by[3].secret_spans == []
+    assert by[None].redacted_text == "key [X] end " * 3
     none = sc.fit_models(df.limit(0))
-    assert not none.is_random(random[0])
+    assert none.threshold == np.inf and sc.find_secrets(df.limit(0)).count() == 0
 
 
 def test_redact_overlaps():
@@ -368,11 +424,13 @@ def test_pipeline(spark, sf_dir):
     predicted = {r.doc_id for r in q.op7_quality(spark, sf_dir).where("predicted = 1").collect()}
     assert {r.doc_id for r in good.collect()} == predicted
     kept = {r.doc_id: r.text for r in single.collect()}
-    groups = sh.simhash_components(good, width=5, bits=8)
-    assert set(kept) == {r.component_id for r in groups.collect()}
+    label, _ = brute([(r.doc_id, r.text) for r in good.collect()])  # Jaccard similarities of all pairs
+    assert set(kept) == set(label.values())
     redacted = {r.doc_id: r.text for r in clean.collect()}
-    assert set(redacted) == set(kept) and not any(brute_base(t or "") for t in redacted.values())
-    assert all(redacted[i] == kept[i] for i in kept if not brute_base(kept[i] or "") and "[SECRET]" not in redacted[i])
+    models = sc.fit_models(single)
+    for i, text in kept.items():
+        assert redacted[i] == (sc.redact(text, brute_spans(models, text), "[SECRET]") if text else text)
+    assert set(redacted) == set(kept)
     assert {r.doc_id for r in packed.collect()} == set(kept)
     whole = packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0]
     assert whole <= 2048 and cp.run(spark, sf_dir).count() == packed.count()
