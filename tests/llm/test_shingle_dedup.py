@@ -60,6 +60,20 @@ def test_stage_equals_all_pairs(spark):
     assert cp.near_duplicates(spark, df.limit(0), "").count() == 0
 
 
+def test_rows_of_one_id(spark):
+    """Rows of one id but unlinked texts both stay; of equal or linked ones the same row stays in any order."""
+    from trialloom.llm.shingle_dedup import drop_similar
+    from trialloom.llm.simhash import drop_near_duplicates
+
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, long, "b", "x"), (1, "another text of its own", "a", "x"), (1, long, "a", "x"), (2, long + " more", "a", "x"), (None, long, "a", "x"), (None, long, "a", "x"), (3, None, "c", "x"), (3, "", "d", "x")]
+    for drop in (drop_similar, drop_near_duplicates):
+        for order in (rows, rows[::-1]):
+            df = spark.createDataFrame(order, "doc_id long, text string, _hash string, component_id string").repartition(3)
+            kept = sorted((r.doc_id or -1, r.text or "", r._hash) for r in drop(df).collect())
+            assert kept == sorted([(-1, long, "a")] * 2 + [(1, long, "a"), (1, "another text of its own", "a"), (3, "", "c")]), drop
+
+
 def test_components_equal_all_pairs(spark, sf_dir):
     from trialloom.llm.shingle_dedup import shingle_components
 

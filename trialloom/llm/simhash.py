@@ -7,7 +7,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialloom.llm.common import LOWER, Scratch, local_components, text_buffers, text_parts, word_spans
@@ -18,6 +18,7 @@ LEAF_ROWS = 4096
 SAMPLE_ROWS = 16384
 TILE = 4096
 
+
 def words_of(bits: int) -> list[tuple[int, int]]:
     """First bit and number of bits of the words that a fingerprint is cut into.
 
@@ -135,13 +136,22 @@ class VantageTree:
 
 
 def simhash_fingerprints(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, fp): the fingerprint of each text as a signed long; null text as empty."""
+    """Rows (doc_id, text_hash, fp): the fingerprint of each text as a signed long; null text as empty."""
 
     def run(batches):
         for part in text_parts(batches, "text"):
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fingerprints_of(part.column("text"), width).view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(fingerprints_of(part.column("text"), width).view(np.int64))], names=["doc_id", "text_hash", "fp"])
+
+    return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, text_hash long, fp long")
+
+
+def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (doc_id, text_hash, text); the hash tells rows of one id but different texts apart."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+def text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.lit(9), F.coalesce(F.col(text_col), F.lit("")))
 
 
 def link_fingerprints(groups: DataFrame, bits: int, scratch: Scratch, seed: int = 11) -> DataFrame:
@@ -216,42 +226,55 @@ def simhash_components(docs: DataFrame, width: int = 4, bits: int = 4, id_col: s
     fingerprint; null if no row with an id has it or links to it. Repeated rows
     are each returned. Other columns are ignored; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "simhash")
+    return _placed(docs, width, bits, id_col, text_col).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _placed(docs: DataFrame, width: int, bits: int, id_col: str, text_col: str) -> DataFrame:
+    scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.table(simhash_fingerprints(docs, width, id_col, text_col), "prints")
-    groups = scratch.table(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "groups")
-    links = scratch.table(link_fingerprints(groups, bits, scratch).distinct(), "found")
-    parts = connected_components(links, "rep", "root", scratch)
-    known = scratch.table(groups.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "known")
-    return prints.join(known, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    groups = scratch.table(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).where("least is not null"), "groups")
+    links = scratch.table(link_fingerprints(groups.select("fp", F.col("fp").alias("rep")), bits, scratch).distinct(), "found")
+    parts = connected_components(links, "rep", "root", scratch).withColumnRenamed("node", "fp")
+    rooted = scratch.table(groups.join(parts, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("group")), "rooted")
+    known = scratch.table(rooted.join(rooted.groupBy("group").agg(F.min("least").alias("component_id")), "group").select("fp", "group", "component_id"), "known")
+    return prints.join(known, "fp", "left")
 
 
-#: Ids of rows that go are broadcast up to so many (16 MB); beyond, documents and ids are joined by exchange.
+#: Ids of rows that go are broadcast up to so many (32 MB); beyond, documents and ids are joined by exchange.
 BROADCAST_IDS = 2_000_000
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 4, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of linked documents (see ``simhash_components``), with all its columns.
 
-    The row with the group's smallest id stays; of rows repeated with that id one
-    does. Rows with a null id cannot be named as anyone's copy and stay. While
-    the ids to drop are few, texts are not exchanged.
+    The row with the group's smallest id stays (``first_of_groups``). While the
+    ids to drop are few, texts are not exchanged.
     """
-    scratch = Scratch(docs.sparkSession, "distinct")
-    groups = simhash_components(docs, width, bits, id_col, text_col)
-    return first_of_groups(docs, groups, id_col, scratch)
+    return first_of_groups(docs, _placed(docs, width, bits, id_col, text_col), id_col, text_col, Scratch(docs.sparkSession, "distinct"))
 
 
-def first_of_groups(docs: DataFrame, groups: DataFrame, id_col: str, scratch: Scratch) -> DataFrame:
-    """The rows of ``docs`` with their group's smallest id, one for each id, and those without an id; groups are rows (doc_id, component_id)."""
-    named = groups.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias(id_col)).agg(F.count("*").alias("n"), F.min("component_id").alias("c"))
-    marked = named.select(id_col, (F.col("c") == F.col(id_col)).alias("first"), "n").where("not first or n > 1")
-    marked = scratch.table(marked.select(id_col, "first"), "marked")
+def first_of_groups(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    """One row of ``docs`` for each group; ``groups`` are rows (doc_id, text_hash, group, component_id), one for each row of
+    ``docs``, component_id being the group's smallest id.
+
+    The row with the smallest id stays; of rows of that id in one group the one
+    with the smallest hash of the text, of equal rows the first by all columns
+    written as JSON. Rows of one id but different groups are judged apart. Rows
+    with a null id cannot be named as anyone's copy and stay.
+    """
+    named = groups.where(F.col("doc_id").isNotNull()).groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"), F.min("group").alias("group"), F.min("component_id").alias("c"))
+    # of a group's rows only those of its smallest id can stay
+    best = named.where("doc_id = c").groupBy("group").agg(F.min("text_hash").alias("best"))
+    marked = named.join(best, "group", "left").withColumn("first", (F.col("doc_id") == F.col("c")) & (F.col("text_hash") == F.col("best"))).where("not first or n > 1")
+    marked = scratch.table(marked.select("doc_id", "text_hash", "first"), "marked")
     few = marked.count() <= BROADCAST_IDS
-    side = F.broadcast(marked.select(id_col)) if few else marked.select(id_col)
-    kept = docs.join(side, id_col, "left_anti").select(docs.columns)
-    again = marked.where("first").select(id_col)
-    if again.isEmpty():
-        return kept
-    again = F.broadcast(again) if few else again
-    return kept.unionByName(docs.join(again, id_col, "left_semi").dropDuplicates([id_col]).select(docs.columns))
+    keys = ["doc_id", "text_hash"]
+    side = lambda df: F.broadcast(df.select(keys)) if few else df.select(keys)
+    # the rows' own columns are held apart, so that no name clashes with the keys
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("doc_id"), text_hash(text_col).alias("text_hash"))
+    kept = rows.join(side(marked), keys, "left_anti").select("row")
+    again = marked.where("first")
+    if not again.isEmpty():
+        repeated = rows.join(side(again), keys, "left_semi").groupBy(keys).agg(F.min_by("row", F.to_json("row")).alias("row"))
+        kept = kept.union(repeated.select("row"))
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
