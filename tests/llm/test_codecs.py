@@ -36,6 +36,32 @@ def test_bpe_equals_library(texts, model):
     assert [own.decode(x) for x in got] == [library.decode(x.tolist()) for x in got]
 
 
+def test_long_words_equal_library(model):
+    """Words longer than a batch: windows that meet, windows that never share a piece, and lone characters."""
+    import sentencepiece
+
+    rng = np.random.default_rng(3)
+    library, own = sentencepiece.SentencePieceProcessor(model_proto=model), Codec(model)
+    letters = [list("etaoinshr"), list("ab"), list("日本語中文的是不"), list("=-"), ["a"], list("aé☃😀")]
+    texts = ["".join(rng.choice(s, n)) for s in letters for n in (1, 63, 64, 65, 97, 500, 4001)]
+    got = own.encode(texts)
+    assert [x.tolist() for x in got] == library.encode(texts)
+    assert [own.decode(x) for x in got] == [library.decode(x.tolist()) for x in got]
+    alone = [own._viterbi(np.array([[ord(c) for c in "▁" + t]], np.uint32), np.array([len(t) + 1])) for t in texts[:14]]
+    assert [int((n > 0).sum()) for _, n in alone] == [len(x) for x in got[:14]]
+
+
+def test_small_memories_change_nothing(texts, model, monkeypatch):
+    from trialloom.llm import sentencepiece_codec as sp
+
+    texts = [t[:3000] for t in texts[:40]]
+    expected = [x.tolist() for x in Codec(model).encode(texts)]
+    for name, value in (("REMEMBERED_WORDS", 500), ("PAIR_BITS", 8), ("BATCH_CELLS", 1 << 14)):
+        monkeypatch.setattr(sp, name, value)
+    own = Codec(model)
+    assert [x.tolist() for k in range(0, len(texts), 9) for x in own.encode(texts[k : k + 9])] == expected
+
+
 def test_unigram_paths_are_best(texts, model):
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2 as pb
@@ -50,6 +76,20 @@ def test_unigram_paths_are_best(texts, model):
     library, own = sentencepiece.SentencePieceProcessor(model_proto=raw), Codec(raw)
     got, expected = own.encode(texts), library.encode(texts)
     total = lambda ids: float(np.sum(own.scores[np.asarray(ids, int)]))
+
+    def best(text):
+        """Greatest total score of one text's pieces, by a plain loop."""
+        text = "▁" + text.replace(" ", "▁")
+        top = [0.0] + [-math.inf] * len(text)
+        for end in range(1, len(text) + 1):
+            for start in range(max(0, end - own.longest), end):
+                if text[start:end] in by_text:
+                    top[end] = max(top[end], top[start] + by_text[text[start:end]])
+        return top[-1]
+
+    by_text = {p.piece: p.score for p in proto.pieces if p.type == 1}
+    for text, ids in [(t, i) for t, i in zip(texts, got) if t and t.isascii() and len(t) < 3000 and all(c.isalnum() or c == " " for c in t)][:40]:
+        assert math.isclose(total(ids), best(text), rel_tol=1e-4, abs_tol=1e-3)
     assert all(math.isclose(total(a), total(b), rel_tol=1e-4, abs_tol=1e-3) for a, b in zip(got, expected))
     assert [own.decode(a) for a in got] == [library.decode(b) for b in expected]
     assert sum(a.tolist() == b for a, b in zip(got, expected)) > 0.9 * len(texts)  # others are ties
@@ -60,6 +100,12 @@ def test_sentencepiece_edges(spark):
     file = tokenizer_file("piece_bpe_32k.model")
     rows = decode_documents(encode_documents(docs, file), file).collect()
     assert [(r.doc_id, len(r.ids), r.decoded) for r in rows] == [(1, 0, ""), (None, 2, "a b"), (2, 0, ""), (2, 0, "")]
+    both = encode_documents(docs, file, decoded=True).collect()
+    assert [(r.doc_id, r.ids, r.decoded) for r in both] == [(r.doc_id, r.ids, r.decoded) for r in rows]
+    named = encode_documents(docs, file).withColumn("decoded", F.lit(5))  # the result's own column replaces it
+    assert [r.decoded for r in decode_documents(named, file).collect()] == ["", "a b", "", ""]
+    none = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
+    assert [r.decoded for r in decode_documents(none, file).collect()] == [None, ""]
     assert encode_documents(docs.limit(0), file).count() == 0
 
 

@@ -14,7 +14,7 @@ from trialloom.llm.packing import place_pieces, tokenised_pieces
 from trialloom.llm.pitman_yor import score_texts
 from trialloom.llm.quality import score_quality
 from trialloom.llm.secrets import find_secrets
-from trialloom.llm.sentencepiece_codec import decode_documents, encode_documents
+from trialloom.llm.sentencepiece_codec import encode_documents
 from trialloom.llm.sharding import shard_documents
 from trialloom.llm.simhash import simhash_components
 from trialloom.llm.warc import archive_pages
@@ -32,8 +32,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = tokenizer_file("piece_bpe_32k.model")
-    decoded = decode_documents(encode_documents(_read(spark, sf_dir, "documents"), model), model)
+    decoded = encode_documents(_read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), decoded=True)
     words = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.crc32(words.cast("binary")).alias("ids_crc32"), F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"))
 
