@@ -6,7 +6,7 @@ from tests.compare import duck, rows_of, sql_rows
 from trialloom.plans import registry
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_query_equals_sql(spark, sf_dir, name):
     names, got = rows_of(registry.QUERIES[name](spark, sf_dir))
     sql_names, expected = sql_rows(duck(sf_dir), registry.ORACLE_SQL[name])
@@ -15,7 +15,8 @@ def test_query_equals_sql(spark, sf_dir, name):
 
 
 def test_every_query_has_sql():
-    assert set(registry.QUERIES) == set(registry.ORACLE_SQL)
+    """But for draws by a hash that SQL lacks and results that depend on the order of files; these have tests of their own."""
+    assert set(registry.QUERIES) - set(registry.ORACLE_SQL) == {"rank_weighted_sample", "stream_unseen_pages"}
 
 
 def test_library_does_not_import_llm():

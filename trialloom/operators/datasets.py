@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trialloom.functions.numbering import number_rows
 from trialloom.functions.text import filled, seeded_order, strip
 
 # Markers of patch texts.
@@ -123,9 +124,9 @@ def plan_regeneration(specs: DataFrame, records: DataFrame, force: bool = False)
 
 
 def assign_patch_index(existing: DataFrame, new: DataFrame, order: str) -> DataFrame:
-    """New patches numbered on from the largest N of the names patch*N*.txt. New ones are one generation's output; their numbering is one sort."""
+    """New patches numbered on from the largest N of the names patch*N*.txt."""
     top = existing.agg(F.coalesce(F.max(F.nullif(F.regexp_extract("name", r"^patch\D*(\d+)\D*\.txt$", 1), F.lit("")).try_cast("long")), F.lit(0)).alias("_top"))
-    return new.withColumn("_n", F.row_number().over(Window.orderBy(order))).crossJoin(F.broadcast(top)).withColumn("patch_index", F.col("_top") + F.col("_n")).drop("_n", "_top")
+    return number_rows(new, "_n", order).crossJoin(F.broadcast(top)).withColumn("patch_index", F.col("_top") + F.col("_n")).drop("_n", "_top")
 
 
 def validate_rubric(items: Column, question: Column) -> Column:

@@ -171,18 +171,20 @@ def iteration_report(samples: DataFrame, key: str, iteration: str, passed: str,
     return out.withColumns({"pass_at_1": F.col("correct") / F.col("samples"), "pass_all": F.col("solved") / F.col("tried"), "already_solved": total - F.col("tried")})
 
 
-def flatten_attempts(nodes: DataFrame, levels: int, node: str = "node", parent: str = "parent") -> DataFrame:
-    """Leaves of a tree given as rows (node, parent): (root, leaf, path). At most ``levels`` joins.
+def flatten_attempts(nodes: DataFrame, levels: int = 100, node: str = "node", parent: str = "parent") -> DataFrame:
+    """Leaves of a tree given as rows (node, parent): (root, leaf, path). Roots have a null parent.
 
-    Roots have a null parent; nodes deeper than ``levels`` below a root are left out."""
+    One join a level, until a level is empty; a tree deeper than ``levels``, or a circle below a root, is an error."""
     inner = nodes.where(F.col(parent).isNotNull()).select(F.col(parent).alias("leaf"), F.col(node).alias("_child"))
     front = nodes.where(F.col(parent).isNull()).select(F.col(node).alias("root"), F.col(node).alias("leaf"), F.array(node).alias("path"))
     leaves = None
-    for _ in range(levels + 1):
+    for level in range(levels + 2):
+        if level and front.isEmpty():
+            return leaves
         done = front.join(inner.select("leaf").distinct(), "leaf", "left_anti").select("root", "leaf", "path")
         leaves = done if leaves is None else leaves.unionByName(done)
         front = front.join(inner, "leaf").select("root", F.col("_child").alias("leaf"), F.concat("path", F.array("_child")).alias("path"))
-    return leaves
+    raise ValueError(f"the tree is deeper than {levels} levels")
 
 
 def all_wrong_nodes(samples: DataFrame, node: str, correct: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trialloom.functions.numbering import number_rows
 from trialloom.functions.text import filled, first_filled, json_candidates, seeded_order, strip
 
 ANY_AGENT = "*"
@@ -166,10 +167,10 @@ def apply_threshold(original: DataFrame, updated: DataFrame, delta: DataFrame, t
 def build_updated_pool(pool: DataFrame, changes: DataFrame, new: DataFrame) -> DataFrame:
     """The pool with texts replaced by id and new entries appended with ids from the largest on.
 
-    ``new``: (ord, agent, text). New entries are few, the product of one review; their numbering is one sort."""
+    ``new``: (ord, agent, text)."""
     kept = pool.join(changes.select("id", F.col("text").alias("_new")), "id", "left").select("id", "agent", F.coalesce("_new", "text").alias("text"))
     top = pool.agg(F.coalesce(F.max(F.col("id").try_cast("long")), F.lit(0)).alias("_top"))
-    added = new.withColumn("_n", F.row_number().over(Window.orderBy("ord"))).crossJoin(F.broadcast(top))
+    added = number_rows(new, "_n", "ord").crossJoin(F.broadcast(top))  # one row
     return kept.unionByName(added.select((F.col("_top") + F.col("_n")).cast(pool.schema["id"].dataType).alias("id"), "agent", "text"))
 
 

@@ -23,16 +23,19 @@ _URL = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?//([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.
 def normalize_url(c: Column | str) -> Column:
     """A URL's form for history: https, lower host without www., no fragment, trailing slash or tracking keys.
 
-    Text without a host is stripped only; null and "" give "". Percent escapes stay as they are."""
+    Text without a host is stripped only; null and "" give "". The query's keys and values are decoded and
+    written anew, so that %20 and + are one; a % that begins no escape stands for itself."""
     url = strip(col(c))
     part = lambda i: F.regexp_extract(url, _URL, i)
     scheme = F.lower(part(1))
     scheme = F.when(scheme.isin("http", "https", ""), "https").otherwise(scheme)
     host = F.regexp_replace(F.lower(part(2)), r"^www\.", "")
     path = F.when(part(3) == "/", "/").otherwise(F.regexp_replace(part(3), "/+$", ""))
-    key = lambda p: F.lower(F.substring_index(p, "=", 1))
-    kept = F.filter(F.split(part(4), "&"), lambda p: (p != "") & ~key(p).startswith("utm_") & ~key(p).isin(*TRACKING_KEYS))
-    query = F.array_join(F.transform(kept, lambda p: F.when(p.contains("="), p).otherwise(F.concat(p, F.lit("=")))), "&")
+    plain = lambda x: F.url_decode(F.regexp_replace(x, "%(?![0-9A-Fa-f]{2})", "%25"))
+    coded = lambda x: F.replace(F.replace(F.url_encode(x), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    pairs = F.transform(F.filter(F.split(part(4), "&"), lambda p: p != ""), lambda p: F.struct(plain(F.substring_index(p, "=", 1)).alias("k"), plain(F.regexp_replace(p, "^[^=]*=?", "")).alias("v")))
+    kept = F.filter(pairs, lambda p: ~F.lower(p.k).startswith("utm_") & ~F.lower(p.k).isin(*TRACKING_KEYS))
+    query = F.array_join(F.transform(kept, lambda p: F.concat(coded(p.k), F.lit("="), coded(p.v))), "&")
     whole = F.concat(scheme, F.lit("://"), host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
     return F.coalesce(F.when(part(2) != "", whole).otherwise(url), F.lit(""))
 

@@ -124,22 +124,25 @@ def train_test_split(df: DataFrame, ratio: float, seed: int, *keys: str) -> Data
     Ranks come from the counts of hash ranges before a row's own and its place in that range, so no
     task sees all rows. Keys must tell rows apart."""
     ratio = min(1.0, max(0.0, ratio))
+    cut = F.floor(F.round(F.col("_total") * (1 - ratio), 9))
+    return _hash_ranks(df, seed, *keys).withColumn("split", F.when(F.col("_r") <= cut, "train").otherwise("test")).drop("_r", "_total")
+
+
+def _hash_ranks(df: DataFrame, seed: int, *keys: str) -> DataFrame:
+    """Add ``_r``, the row's place in hashed order, and ``_total``, the number of rows."""
     h = seeded_order(seed, *keys)
     marked = df.withColumn("_h", h).withColumn("_b", F.shiftright("_h", 54).cast("int"))
     counts = marked.groupBy("_b").agg(F.count("*").alias("_n"))  # at most 1024 rows
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_total", F.sum("_n").over(Window.partitionBy()))
-    ranked = marked.join(F.broadcast(before.drop("_n")), "_b").withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_h", *keys)) + F.col("_before"))
-    cut = F.floor(F.round(F.col("_total") * (1 - ratio), 9))
-    return ranked.withColumn("split", F.when(F.col("_r") <= cut, "train").otherwise("test")).drop("_h", "_b", "_before", "_total", "_r")
+    return marked.join(F.broadcast(before.drop("_n")), "_b").withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_h", *keys)) + F.col("_before")).drop("_h", "_b", "_before")
 
 
 def subsample(df: DataFrame, ratio: float, seed: int, *keys: str, multiple: int = 1) -> DataFrame:
-    """max(1, floor(n * ratio)) rows, or the next lower multiple, in hashed order; the choice does not depend on partitions."""
-    n = df.count()
-    take = max(1, int(n * ratio))
+    """max(1, floor(n * ratio)) rows, or the next lower multiple, in hashed order; the choice does not depend on partitions. Ranks are those of ``train_test_split``."""
+    take = F.greatest(F.lit(1), F.floor(F.col("_total") * ratio))
     if multiple > 1:
-        take = max(multiple, take // multiple * multiple)
-    return df.withColumn("_h", seeded_order(seed, *keys)).orderBy("_h", *keys).limit(min(take, n)).drop("_h")
+        take = F.greatest(F.lit(multiple), F.floor(take / multiple) * multiple)
+    return _hash_ranks(df, seed, *keys).where(F.col("_r") <= take).drop("_r", "_total")
 
 
 def average_prompt_chars(batches: DataFrame, content: str) -> DataFrame:

@@ -155,11 +155,12 @@ def parse_generated_entries(spark, sf_dir):
 
 def _scored(spark, sf_dir):
     b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    d = read(spark, sf_dir, "documents").where("doc_id % 5 = 0").select(F.col("doc_id").alias("key_id"), F.concat(F.lit("d"), "source", F.lit("-"), "doc_id").alias("key"))
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("key_id"), F.col("text").alias("key"))
     return rt.score_pairs(b, d, lambda prompt: (F.char_length(prompt) * 7 % 13).cast("double"))
 
 
-_SCORED = """s AS (SELECT item_id AS query_id, doc_id AS key_id, ((length(trim(text, ' '||chr(10)||chr(9))) + length('d' || source || '-' || doc_id) + length('<query>__</query>___<key>__</key>___Query-Key Relevance Score:')) * 7 % 13)::DOUBLE AS relevance FROM benchmark, (SELECT * FROM documents WHERE doc_id % 5 = 0) d (doc_id, t, lang, source, n_chars))"""
+_FILLED = "coalesce(nullif(length(trim({0}.text, ' '||chr(10)||chr(9)||chr(13)||chr(11)||chr(12))), 0), {1})"
+_SCORED = f"""s AS (SELECT item_id AS query_id, doc_id AS key_id, (({_FILLED.format("b", 23)} + {_FILLED.format("d", 24)} + length('<query>__</query>___<key>__</key>___Query-Key Relevance Score:')) * 7 % 13)::DOUBLE AS relevance FROM benchmark b, documents d)"""
 
 
 @query(f"WITH {_SCORED} SELECT * FROM s")
@@ -174,12 +175,13 @@ def linear_head_score(spark, sf_dir):
     return rt.linear_head_score(e, "embedding", weight, 0.5).select("vec_id", F.round("score", 9).alias("score"))
 
 
-@query("""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS key_id, list_inner_product(list_transform(a.embedding, lambda x: x::DOUBLE), list_transform(b.embedding, lambda x: x::DOUBLE)) AS v FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND b.vec_id % 50 <> 0),
+@query("""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS key_id, list_inner_product(list_transform(a.embedding, lambda x: x::DOUBLE), list_transform(b.embedding, lambda x: x::DOUBLE)) AS v FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
   r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY v DESC, key_id)::INTEGER AS rank FROM s) SELECT query_id, key_id, rank, round(v, 9) AS relevance FROM r WHERE rank <= 10""")
 def top_k_vectors(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "vector")
-    top = rt.block_scores(e.where("vec_id % 50 = 0"), e.where("vec_id % 50 <> 0"), 10, "vec_id", "vec_id")
-    return top.select("query_id", "key_id", "rank", F.round("relevance", 9).alias("relevance"))
+    # a vector is among its own 11 best, or 11 others tie with it or beat it
+    top = rt.block_scores(e.where("vec_id % 20 = 0"), e, 11, "vec_id", "vec_id").where("query_id <> key_id")
+    return rt.top_k_keys(top.drop("rank"), 10).select("query_id", "key_id", "rank", F.round("relevance", 9).alias("relevance"))
 
 
 _TOP = f"{_SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, key_id)::INTEGER AS rank FROM s)"
@@ -190,10 +192,11 @@ def top_k_keys(spark, sf_dir):
     return rt.top_k_keys(_scored(spark, sf_dir), 5)
 
 
-@query(f"WITH {_TOP} SELECT query_id, key_id, rank, rank AS pick FROM r WHERE rank <= 3")
+@query()
 def rank_weighted_sample(spark, sf_dir):
+    """Drawn by a hash that SQL does not have; tested against a plain version."""
     top = rt.top_k_keys(_scored(spark, sf_dir), 5)
-    return rt.rank_weighted_sample(top, 3, 5, decay=0.0, seed=2).select("query_id", "key_id", "rank", "pick")
+    return rt.rank_weighted_sample(top, 3, 5, decay=0.5, seed=2).select("query_id", "key_id", "rank", "pick")
 
 
 @query("SELECT item_id AS query_id, 4::BIGINT AS picks, 4::BIGINT AS keys FROM benchmark")
@@ -222,7 +225,7 @@ def parse_rankings(spark, sf_dir):
 
 @query("""SELECT user_id AS query_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id)::INTEGER AS place, CASE WHEN event_id % 2 = 0 THEN 'p' || event_id % 40 ELSE 'p' || event_id % 7 END AS payload FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE event_id % 5 <> 0) WHERE n <= 6""")
 def attach_ranked_payload(spark, sf_dir):
-    keys = read(spark, sf_dir, "benchmark").where("item_id < 40").select(F.col("item_id").alias("key_id"), F.concat(F.lit("k"), F.col("item_id") % 7).alias("key"), F.concat(F.lit("p"), "item_id").alias("payload"))
+    keys = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("key_id"), F.concat(F.lit("k"), F.col("item_id") % 7).alias("key"), F.concat(F.lit("p"), "item_id").alias("payload"))
     case = F.col("event_id")
     r = read(spark, sf_dir, "events").select(F.col("user_id").alias("query_id"), case.alias("place"), F.when(case % 5 == 0, -1).when(case % 2 == 0, case % 40).alias("key_id"), F.when(case % 5 == 0, "none").otherwise(F.concat(F.lit("k"), case % 7)).alias("key"))
     return rt.attach_ranked_payload(r, keys, 6)
@@ -249,12 +252,12 @@ def retrieval_usage(spark, sf_dir):
     return rt.retrieval_usage(_scored(spark, sf_dir), F.col("relevance").cast("long"))
 
 
-@query("""SELECT doc_id AS chunk_id, 'call' AS kind, 0 AS place, 'f' || doc_id % 40 AS name FROM documents UNION ALL SELECT doc_id, 'call', 1, 'f' || (doc_id + 1) % 60 FROM documents WHERE (doc_id + 1) % 60 < 40 AND doc_id % 40 <> (doc_id + 1) % 60
-  UNION ALL SELECT doc_id, 'folder', 0, lang FROM documents UNION ALL SELECT doc_id, 'folder', 1, lang || '/' || source FROM documents WHERE doc_id % 2 = 0""")
+@query("""SELECT doc_id AS chunk_id, 'call' AS kind, 0 AS place, 'f' || doc_id % 40 AS name, b.text FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40 UNION ALL SELECT doc_id, 'call', 1, 'f' || (doc_id + 1) % 60, b.text FROM documents d JOIN benchmark b ON b.item_id = (doc_id + 1) % 60 WHERE doc_id % 40 <> (doc_id + 1) % 60
+  UNION ALL SELECT doc_id, 'folder', 0, lang, 's' FROM documents UNION ALL SELECT doc_id, 'folder', 1, lang || '/' || source, 's' FROM documents WHERE doc_id % 2 = 0""")
 def chunk_context(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
     f = lambda c: F.concat(F.lit("f"), c)
     chunks = d.select(F.col("doc_id").alias("chunk_id"), F.concat_ws("/", "lang", F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise("none"), F.lit("x.py")).alias("path"), F.array(f(F.col("doc_id") % 40), f((F.col("doc_id") + 1) % 60), f(F.col("doc_id") % 40)).alias("calls"))
-    definitions = read(spark, sf_dir, "benchmark").where("item_id < 40").select(f(F.col("item_id")).alias("name"), "text")
+    definitions = read(spark, sf_dir, "benchmark").select(f(F.col("item_id")).alias("name"), "text")
     folders = d.select(F.col("lang").alias("path")).union(d.select(F.concat_ws("/", "lang", "source"))).distinct().withColumn("summary", F.lit("s"))
-    return rt.chunk_context(chunks, definitions, folders).drop("text")
+    return rt.chunk_context(chunks, definitions, folders)

@@ -10,7 +10,6 @@ from trialloom.operators.messages import with_agent_step
 from trialloom.plans.base import query, read
 from trialloom.plans.evaluation import _SUMMARY, SCORES, trials
 from trialloom.plans.messages import STEPS, messages
-from trialloom.plans.pages import _NORM
 from trialloom.sources import runs as src
 from trialloom.streaming import streams as st
 
@@ -61,10 +60,10 @@ def redact_json(spark, sf_dir):
 
 def _pool(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").cast("string").alias("id"), F.when(F.col("doc_id") % 10 != 9, F.col("lang")).alias("agent"), F.substring("text", 1, 200).alias("text"), F.array("source", F.lit('q"')).alias("tags"), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id") % 4).alias("step"))
+    return d.select(F.col("doc_id").cast("string").alias("id"), F.when(F.col("doc_id") % 10 != 9, F.col("lang")).alias("agent"), F.col("text"), F.array("source", F.lit('q"')).alias("tags"), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id") % 4).alias("step"))
 
 
-_POOL_SQL = "d AS (SELECT doc_id, lang, source, trim(text[:200], ' ' || chr(10)) AS t FROM documents WHERE doc_id % 10 <> 9)"
+_POOL_SQL = "d AS (SELECT doc_id, lang, source, trim(text, ' ' || chr(10) || chr(9) || chr(13) || chr(11) || chr(12)) AS t FROM documents WHERE doc_id % 10 <> 9)"
 
 
 @query(f"WITH {_POOL_SQL} SELECT doc_id::VARCHAR AS id, lang AS agent, t AS text, [source, 'q\"'] AS tags, CASE WHEN doc_id % 2 = 0 THEN (doc_id % 4)::VARCHAR END AS step FROM d WHERE t <> ''")
@@ -102,24 +101,14 @@ def _json_rows(df, by):
     return df.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("seq", "role", "content"))).alias("m"))
 
 
-@query("SELECT conv_id, (turn + 0)::INTEGER AS seq, role, length(text) AS chars FROM conversations WHERE conv_id < 40")
+@query("SELECT conv_id, (turn + 0)::INTEGER AS seq, role, length(text) AS chars FROM conversations")
 def read_messages(spark, sf_dir):
+    """All runs' message files, kept as rows (run_id, value) of a bounded number of files."""
     path = scratch(spark, "runs")
-    m = messages(spark, sf_dir).where("run_id < 40")
+    m = messages(spark, sf_dir)
     body = m.groupBy("run_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("seq", "role", "content"))), lambda x: F.struct(x.role.alias("role"), x.content.alias("content")))).alias("value"))
-    # one folder a run, as run logs are kept; Spark names part files itself, so they are renamed
-    body.select(F.concat(F.lit("["), F.lit('"stray",'), F.substring("value", 2, 1 << 30)).alias("value"), "run_id").repartition("run_id").write.partitionBy("run_id").text(path)
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for folder in fs.listStatus(root):
-        if folder.isDirectory() and "run_id=" in folder.getPath().getName():
-            to = jvm.org.apache.hadoop.fs.Path(root, "run-" + folder.getPath().getName().split("=")[1])
-            fs.rename(folder.getPath(), to)
-            for f in fs.listStatus(to):
-                if f.getPath().getName().startswith("part-"):
-                    fs.rename(f.getPath(), jvm.org.apache.hadoop.fs.Path(to, "messages.json"))
-    out = src.read_messages(spark, path)
+    body.select(F.concat(F.lit("["), F.lit('"stray",'), F.substring("value", 2, 1 << 30)).alias("value"), F.concat(F.lit("run-"), "run_id").alias("run_id")).write.parquet(path)
+    out = src.parse_messages(spark.read.parquet(path))
     return out.select(F.substring("run_id", 5, 20).cast("long").alias("conv_id"), "seq", "role", F.char_length("content").cast("long").alias("chars"))
 
 
@@ -138,13 +127,36 @@ def read_steps(spark, sf_dir):
     return src.read_steps(spark, path).where("step is not null").select("step", "agent", "result")
 
 
+def _results(spark, sf_dir):
+    """Result documents of a bounded number of trials each; a problem with many trials is in several."""
+    e = read(spark, sf_dir, "events")
+    parts = F.pmod(F.xxhash64("event_id"), F.lit(max(1, e.count() // 2000)))
+    t = F.struct(F.col("event_id").alias("trial"), F.concat(F.lit("r"), "event_id").alias("run_id"), F.round("value", 1).alias("score"))
+    no = F.col("event_type").isin("click", "view")
+    d = e.groupBy(parts.alias("part"), F.col("user_id").cast("string").alias("id")).agg(F.collect_list(F.when(no, t)).alias("no_klg_trials"), F.collect_list(F.when(~no, t)).alias("klg_trials"))
+    history = F.when(F.col("event_id") % 4 == 1, F.lit("text")).otherwise(F.lit("[]"))
+    c = e.select(parts.alias("part"), F.concat("event_id", F.lit("::n")).alias("key"), F.to_json(F.struct(F.when(F.col("event_id") % 3 == 0, " ").otherwise(F.concat(F.lit("r"), "event_id")).alias("run_id"), F.concat(F.lit("o"), "event_id").alias("output"))).alias("c"), history.alias("h"))
+    entry = F.concat(F.lit('"'), "key", F.lit('": '), F.expr("substring(c, 1, length(c) - 1)"), F.lit(', "msg_history": '), F.when(F.col("h") == "[]", F.col("h")).otherwise('"text"'), F.lit("}"))
+    c = c.groupBy("part").agg(F.array_join(F.collect_list(entry), ", ").alias("cache"))
+    d = d.groupBy("part").agg(F.to_json(F.collect_list(F.struct("id", "no_klg_trials", "klg_trials"))).alias("detail"))
+    return d.join(c, "part").select(F.concat(F.lit('{"detail": '), "detail", F.lit(', "run_cache": {'), "cache", F.lit("}}")).alias("value"), "part")
+
+
+def _read_results(spark, sf_dir):
+    path = scratch(spark, "results")
+    _results(spark, sf_dir).write.option("maxRecordsPerFile", 1).partitionBy("part").text(path)
+    return src.read_results(spark, path)
+
+
 @query("SELECT user_id::VARCHAR AS problem_id, CASE WHEN event_type IN ('click', 'view') THEN 'no_klg' ELSE 'klg' END AS arm, event_id::INTEGER AS trial, round(value, 1) AS score FROM events")
 def read_results(spark, sf_dir):
-    path = scratch(spark, "results")
-    e = read(spark, sf_dir, "events").select("user_id", F.col("event_type").isin("click", "view").alias("no"), F.struct(F.col("event_id").alias("trial"), F.concat(F.lit("r"), "event_id").alias("run_id"), F.round("value", 1).alias("score")).alias("t"))
-    d = e.groupBy(F.col("user_id").cast("string").alias("id")).agg(F.collect_list(F.when(F.col("no"), F.col("t"))).alias("no_klg_trials"), F.collect_list(F.when(~F.col("no"), F.col("t"))).alias("klg_trials"))
-    d.groupBy((F.crc32("id") % 5).alias("b")).agg(F.to_json(F.struct(F.collect_list(F.struct("id", "no_klg_trials", "klg_trials")).alias("detail"))).alias("value")).write.partitionBy("b").text(path)
-    return src.read_results(spark, path)[0].select("problem_id", "arm", "trial", "score")
+    return _read_results(spark, sf_dir)[0].select("problem_id", "arm", "trial", "score")
+
+
+@query("SELECT 'r' || event_id AS run_id, event_id::VARCHAR AS entry_id, 'n' AS run_name, 'o' || event_id AS output FROM events WHERE event_id % 3 <> 0 AND event_id % 4 <> 1")
+def read_run_cache(spark, sf_dir):
+    """Runs with an id and a list as history."""
+    return _read_results(spark, sf_dir)[1].select("run_id", "entry_id", "run_name", "output")
 
 
 @query("SELECT 'train' AS split, count(*) AS n FROM orders WHERE o_orderkey % 10 <> 0 UNION ALL SELECT 'test', count(*) FROM orders WHERE o_orderkey % 10 = 0")
@@ -163,17 +175,20 @@ def read_usage_log(spark, sf_dir):
     return src.read_usage_log(spark, path).groupBy("model").agg(F.sum("prompt_tokens").alias("prompt_tokens"))
 
 
-@query("SELECT v AS verdict, count(*) AS n FROM (SELECT ['ok', 'header only', 'blank header cell', 'missing'][o_custkey % 4 + 1] AS v FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey < 200)) GROUP BY 1")
-def validate_tables(spark, sf_dir):
-    """Files of a few customers' orders, some without rows, some with a blank header cell, some not written."""
+@query("""WITH v AS (SELECT DISTINCT o_custkey AS k FROM orders), f AS (SELECT 'c' || k || '.csv' AS file, k % 5 AS c, k FROM v), n AS (SELECT o_custkey AS k, list('o' || o_orderkey || ',x' ORDER BY o_orderkey) AS l FROM orders GROUP BY 1)
+  SELECT file, CASE c WHEN 0 THEN 'ok' WHEN 1 THEN 'header only' WHEN 2 THEN 'blank header cell' WHEN 3 THEN 'missing' ELSE 'empty' END AS verdict,
+  CASE WHEN c > 2 THEN '' WHEN c = 2 THEN 'key,""' ELSE '"key, ""x"",",v' END || CASE WHEN c IN (0, 2) THEN chr(10) || array_to_string(l[:5], chr(10)) ELSE '' END AS preview FROM f JOIN n USING (k)""")
+def judge_tables(spark, sf_dir):
+    """A file a customer, as rows of lines: some without rows, some with a blank header cell, some empty, some not written."""
+    c = F.col("o_custkey") % 5
+    file = F.concat(F.lit("c"), "o_custkey", F.lit(".csv")).alias("file")
+    o = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    wanted = o.select("o_custkey", file).distinct()
+    header = wanted.where(c < 3).select("file", F.lit(-1).cast("long").alias("line"), F.when(c == 2, 'key,""').otherwise('"key, ""x"",",v').alias("value"))
+    rows = o.where(c.isin(0, 2)).select(file, F.col("o_orderkey").cast("long").alias("line"), F.concat(F.lit("o"), "o_orderkey", F.lit(",x")).alias("value"))
     path = scratch(spark, "tables")
-    o = read(spark, sf_dir, "orders").where("o_custkey < 200 and o_custkey % 4 <> 3")
-    line = F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda k: F.concat(k, F.lit(",x"))), "\n")
-    text = o.groupBy("o_custkey").agg(F.concat(F.when(F.first("o_custkey") % 4 == 2, "key,").otherwise("key,v"), F.when(F.first("o_custkey") % 4 == 1, "").otherwise(F.concat(F.lit("\n"), line))).alias("value"))
-    text.repartition("o_custkey").write.partitionBy("o_custkey").text(path)
-    files = spark.read.text(path, wholetext=True).withColumn("file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)).select("o_custkey", "file")
-    wanted = read(spark, sf_dir, "orders").where("o_custkey < 200").select("o_custkey").distinct().join(files, "o_custkey", "left").select(F.coalesce("file", F.concat(F.lit("none-"), "o_custkey")).alias("file"))
-    return src.validate_tables(spark, wanted, path).groupBy("verdict").agg(F.count("*").alias("n"))
+    header.unionByName(rows).write.parquet(path)
+    return src.judge_tables(wanted.select("file"), wanted.where(c != 3).select("file"), spark.read.parquet(path))
 
 
 @query(_STEP_SQL)
@@ -192,13 +207,13 @@ def stream_dedupe_runs(spark, sf_dir):
     return st.run_to_table(st.dedupe_runs(s, ["o_custkey", "o_orderpriority"]), f"{out}/t", f"{out}/c").select("o_custkey", "o_orderpriority")
 
 
-@query(f"WITH {_NORM} SELECT DISTINCT norm AS norm_url FROM n")
+@query()
 def stream_unseen_pages(spark, sf_dir):
+    """Which of several pages of one address or content comes first depends on the files; tested against a plain loop."""
     path, out = scratch(spark, "pages-in"), scratch(spark, "pages-out")
-    p = read(spark, sf_dir, "pages").select("url", F.concat("page_id", F.lit(" "), F.substring("html", 1, 500)).alias("text"))
-    p.repartition(3).write.json(path)
-    st.start_unseen_pages(st.stream_json(spark, path, "url string, text string", 1), f"{out}/t", f"{out}/c").awaitTermination()
-    return spark.read.parquet(f"{out}/t").select("norm_url")
+    read(spark, sf_dir, "pages").select("page_id", "url", F.col("html").alias("text")).repartitionByRange(3, "page_id").write.json(path)
+    st.start_unseen_pages(st.stream_json(spark, path, "page_id long, url string, text string", 1), f"{out}/t", f"{out}/c").awaitTermination()
+    return spark.read.parquet(f"{out}/t").select("norm_url", "signature")
 
 
 @query(f"WITH {SCORES} SELECT count(*) AS total_problems, {_SUMMARY} FROM scores")

@@ -16,9 +16,11 @@ _NORM = f"""p AS (SELECT *, regexp_extract(url, '^(https?)://([^/?#]*)([^?#]*)(?
   || coalesce('?' || nullif(array_to_string(list_transform(list_filter(string_split(r.q, '&'), lambda x: x <> '' AND NOT starts_with(lower(split_part(x, '=', 1)), 'utm_') AND lower(split_part(x, '=', 1)) NOT IN {_TRACK}), lambda x: CASE WHEN contains(x, '=') THEN x ELSE x || '=' END), '&'), ''), '') AS norm FROM p)"""
 
 
-@query(f"WITH {_NORM} SELECT page_id, norm FROM n")
+@query(f"WITH {_NORM} SELECT page_id, norm, 'https://h.org/?k=' || page_id || '+a+b%25&e=%C3%A9%2A~&x=' AS coded FROM n")
 def normalize_url(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", pg.normalize_url("url").alias("norm"))
+    """The table's URLs, and one a page whose query is written in several ways."""
+    odd = F.concat(F.lit("http://WWW.h.org/?k="), "page_id", F.lit("%20a+b%&ref=z&&e=%C3%A9*%7e&x&utm%5Fid=4#f"))
+    return read(spark, sf_dir, "pages").select("page_id", pg.normalize_url("url").alias("norm"), pg.normalize_url(odd).alias("coded"))
 
 
 @query(f"""WITH {_NORM}, h AS (SELECT norm FROM n WHERE page_id % 4 = 0), f AS (SELECT page_id, norm, row_number() OVER (PARTITION BY page_id % 7, norm ORDER BY page_id) AS k FROM n) SELECT page_id FROM f WHERE k = 1 AND norm NOT IN (SELECT * FROM h)""")

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trialloom.operators import preference as pr
+from trialloom.operators.retrieval import top_k_keys
 from trialloom.plans.base import query, read
+from trialloom.plans.knowledge import _TOP, _scored
 
 
 def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,14 +124,15 @@ def preference_from_judge(spark, sf_dir):
     return pr.preference_from_judge(r, s).select("result_id", "chosen_id", "rejected_id")
 
 
-@query("""SELECT b.item_id, d.doc_id, '<query>' || chr(10) || trim(b.text, ' '||chr(10)||chr(9)) || chr(10) || '</query>' || chr(10)||chr(10)||chr(10) || '<key>' || chr(10) || CASE WHEN doc_id % 5 = 0 THEN '[missing knowledge text]' ELSE 'doc ' || doc_id END || chr(10)
-  || CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'Tags: ' || source || chr(10) END || '</key>' || chr(10)||chr(10)||chr(10) || 'Query-Key Relevance Score:' AS prompt FROM benchmark b, documents d WHERE b.item_id % 10 = 0 AND d.doc_id % 10 IN (0, 3)""")
+@query(f"""WITH {_TOP} SELECT b.item_id, d.doc_id, '<query>' || chr(10) || trim(b.text, ' '||chr(10)||chr(9)) || chr(10) || '</query>' || chr(10)||chr(10)||chr(10) || '<key>' || chr(10) || CASE WHEN doc_id % 5 = 0 THEN '[missing knowledge text]' ELSE 'doc ' || doc_id END || chr(10)
+  || CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'Tags: ' || source || chr(10) END || '</key>' || chr(10)||chr(10)||chr(10) || 'Query-Key Relevance Score:' AS prompt FROM r JOIN benchmark b ON b.item_id = r.query_id JOIN documents d ON d.doc_id = r.key_id WHERE rank <= 20""")
 def rank_prompts(spark, sf_dir):
-    b = read(spark, sf_dir, "benchmark").where("item_id % 10 = 0")
-    d = read(spark, sf_dir, "documents").where("doc_id % 10 in (0, 3)").select("doc_id", "source")
+    """Prompts of each query with its 20 best keys over all documents."""
+    best = top_k_keys(_scored(spark, sf_dir), 20).select(F.col("query_id").alias("item_id"), F.col("key_id").alias("doc_id"))
+    pairs = best.join(read(spark, sf_dir, "benchmark"), "item_id").join(read(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
     key = F.when(F.col("doc_id") % 5 == 0, "  ").otherwise(F.concat(F.lit(" doc "), "doc_id"))
     tags = F.when(F.col("doc_id") % 5 != 0, F.array(F.lit(" "), F.col("source")))
-    return b.crossJoin(d).select("item_id", "doc_id", pr.rank_prompt(F.col("text"), key, tags).alias("prompt"))
+    return pairs.select("item_id", "doc_id", pr.rank_prompt(F.col("text"), key, tags).alias("prompt"))
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN 'plain ' || doc_id ELSE 'q' || doc_id END AS query, CASE WHEN doc_id % 4 = 3 THEN '' ELSE 'k ' || source END AS key, CASE WHEN doc_id % 4 = 1 THEN ['a', lang] ELSE [] END AS tags FROM documents""")

@@ -98,7 +98,11 @@ def append_knowledge(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def read_messages(spark: SparkSession, runs_dir: str) -> DataFrame:
     """Messages (run_id, seq, role, content, ...) of every run folder's messages.json; what is not an object goes, seq follows the rest."""
-    files = spark.read.text(f"{runs_dir}/run-*/messages.json", wholetext=True).withColumn("run_id", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
+    return parse_messages(spark.read.text(f"{runs_dir}/run-*/messages.json", wholetext=True).withColumn("run_id", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)))
+
+
+def parse_messages(files: DataFrame) -> DataFrame:
+    """Messages of run documents (run_id, value), as ``read_messages`` gives them; for logs kept many runs a file."""
     items = F.filter(F.from_json(F.when(strip("value").startswith("["), F.col("value")), "array<string>"), lambda x: strip(x).startswith("{"))
     return files.select("run_id", F.posexplode(items).alias("seq", "m")).select("run_id", "seq", F.from_json("m", _MESSAGE).alias("m")).select("run_id", "seq", "m.*")
 
@@ -117,15 +121,18 @@ def read_run_dataset(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(trials, run_cache) of result files: a document with ``detail`` or a bare list of problems."""
-    text = spark.read.text(path, wholetext=True)
+    """(trials, run_cache) of result files: a document with ``detail`` or a bare list of problems.
+
+    Of the cached runs of one id the first whose history is a list counts, by file, then place; blank ids do not."""
+    text = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
     whole = F.when(strip("value").startswith("["), F.concat(F.lit('{"detail":'), "value", F.lit("}"))).otherwise(F.col("value"))
-    parsed = text.select(F.from_json(whole, RESULTS_SCHEMA).alias("r"))
+    parsed = text.select("file", F.from_json(whole, RESULTS_SCHEMA).alias("r"))
     detail = parsed.select(F.explode("r.detail").alias("d"))
     arm = lambda c, name: detail.select(F.col("d.id").alias("problem_id"), F.lit(name).alias("arm"), F.explode(f"d.{c}").alias("t"))
     trials = arm("no_klg_trials", "no_klg").unionByName(arm("klg_trials", "klg")).select("problem_id", "arm", "t.trial", "t.run_name", "t.run_id", "t.score", F.col("t.score_feedback").alias("feedback"), "t.output")
-    cache = parsed.select(F.explode("r.run_cache").alias("key", "c")).select(F.substring_index("key", "::", 1).alias("entry_id"), F.expr("substring(key, instr(key, '::') + 2)").alias("run_name"), "c.*")
-    first = cache.groupBy("run_id").agg(F.min(F.struct("entry_id", "run_name", "output", "saved_at", "msg_history")).alias("f")).select("run_id", "f.*")
+    cache = parsed.select("file", F.posexplode("r.run_cache").alias("at", "key", "c")).select("file", "at", F.substring_index("key", "::", 1).alias("entry_id"), F.expr("substring(key, instr(key, '::') + 2)").alias("run_name"), "c.*")
+    listed = cache.withColumn("run_id", strip("run_id")).where((F.col("run_id") != "") & F.col("msg_history").startswith("["))
+    first = listed.groupBy("run_id").agg(F.min_by(F.struct("entry_id", "run_name", "output", "saved_at", "msg_history"), F.struct("file", "at")).alias("f")).select("run_id", "f.*")
     return trials, first
 
 
@@ -140,18 +147,36 @@ def read_usage_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def validate_tables(spark: SparkSession, wanted: DataFrame, path: str, limit: int = 5) -> DataFrame:
-    """Rows (file, verdict, preview) for the csv files named in ``wanted`` (file), read below ``path``.
-
-    Verdicts: missing, empty, blank header cell, header only, ok; the preview is the first limit + 1 rows."""
-    text = spark.read.text(path, wholetext=True).withColumn("file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
-    lines = F.filter(F.split("value", r"\r?\n"), lambda x: x != "")
-    few = F.slice(lines, 1, limit + 1)
-    got = text.select("file", few.alias("few"))
-    out = wanted.select("file").distinct().join(got, "file", "left")
-    cells = F.split(F.get("few", F.lit(0)), ",", -1)
+    """``judge_tables`` of the csv files named in ``wanted`` (file), found by their names below ``path``.
+
+    Of each file only the first block is read, line by line. Names come from a listing on the driver, as Spark's
+    sources skip files without a byte."""
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file")
+    lines = spark.read.text(path).select(name, F.col("_metadata.file_block_start").alias("_start"), "value").where("_start = 0").select("file", F.monotonically_increasing_id().alias("line"), "value")
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files, names = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True), []
+    while files.hasNext():
+        names.append((files.next().getPath().getName(),))
+    listed = spark.createDataFrame(names, "file string")
+    return judge_tables(wanted, listed, lines, limit)
+
+
+def judge_tables(wanted: DataFrame, listed: DataFrame, lines: DataFrame, limit: int = 5) -> DataFrame:
+    """Rows (file, verdict, preview) for each file of ``wanted`` (file).
+
+    ``listed``: (file) the files there are; ``lines``: (file, line, value) their lines, in order of ``line``. Verdicts:
+    missing, empty, blank header cell, header only, ok; the preview is the first limit + 1 lines. Header cells may be
+    quoted, with commas and line ends within the quotes; blank lines after the header count as rows."""
+    first = Window.partitionBy("file").orderBy("line")
+    few = lines.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= limit + 1)
+    few = few.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "value"))), lambda x: x.value), "\n").alias("text"))  # limit + 1 lines a file
+    out = wanted.select("file").distinct().join(listed.select("file", F.lit(True).alias("_there")).distinct(), "file", "left").join(few, "file", "left")
+    cell = r'"(?:[^"]|"")*"|[^",\n]*'
+    header = F.regexp_extract("text", rf"\A(?:{cell})(?:,(?:{cell}))*", 0)
+    cells = F.regexp_extract_all(header, F.lit(rf"(?:\A|,)({cell})"), F.lit(1))
+    rest = F.substring("text", F.char_length(header) + 1, F.char_length("text"))
     verdict = (
-        F.when(F.col("few").isNull(), "missing").when(F.size("few") == 0, "empty")
-        .when(F.exists(cells, lambda c: F.regexp_replace(c, '^"|"$', "") == ""), "blank header cell").when(F.size("few") < 2, "header only").otherwise("ok")
+        F.when(F.col("_there").isNull(), "missing").when(F.col("text").isNull(), "empty")
+        .when(F.exists(cells, lambda c: (c == "") | (c == '""')), "blank header cell").when(rest == "", "header only").otherwise("ok")
     )
-    return out.select("file", verdict.alias("verdict"), F.coalesce(F.array_join("few", "\n"), F.lit("")).alias("preview"))
-
+    return out.select("file", verdict.alias("verdict"), F.coalesce("text", F.lit("")).alias("preview"))
