@@ -92,3 +92,25 @@ def test_pairs_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(rt, "BROADCAST_BYTES", 10)
     monkeypatch.setattr(rt, "BLOCK_BYTES", 300)
     assert sorted(map(tuple, rt.all_pairs(q, k).select("query_id", "key_id").collect())) == expected and len(expected) == 1500
+
+
+def test_page_text(spark, sf_dir):
+    from trialloom.operators.pages import page_text
+
+    page = (
+        "<html><head><title>T</title></head><body><h2>A  <b>head</b></h2><p>x<sup>2</sup> &amp; y<sub class='i'>k</sub> 【n】 😀</p><ul><li><a href='/a'>one</a></li><li><a href='http://o.org/b'>t†wo</a></li></ul>"
+        "<a href='/a'>again</a> <a href='#s'>here</a> <a href='mailto:m'>mail</a> <a href='/c'></a><br>end<script>no()</script><math><mi>q</mi></math> <img alt='pic'><img src='z'></body>"
+    )
+    rows = spark.createDataFrame([(page, "http://h.org/p"), (None, "u"), ("", None), ("<a href='/a'>one</a>", None)], "html string, url string")
+    got = [r[0] for r in rows.select(page_text("html", "url")).collect()]
+    assert got[0] == "## A head\n\nx^{2} & y_{k} 〖n〗\n\n  * 【0†one】\n  * 【1†t‡wo†o.org】\n\n【0†again】 here mail\nend [Image 0: pic][Image 1]"
+    assert got[1:] == [None, "", "one"]
+    # every page's words are there, but for scripts and styles
+    squeeze = lambda t: re.sub(r"【\d+†|†[^】†]*】|】|\[Image \d+[^]]*\]|^#+ |^ *\* |\s", "", t, flags=re.M)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
+    texts = {r.page_id: r.text for r in registry.QUERIES["page_text"](spark, sf_dir).collect()}
+    import html
+
+    for p in pages:
+        body = re.sub(r"(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>|<head.*?</head>|<title.*?</title>|<[^>]+>", "", p.html or "")
+        assert squeeze(texts[p.page_id] or "") == re.sub(r"^#+ |\s", "", html.unescape(body)), p.page_id

@@ -59,6 +59,22 @@ def run_cache_key(entry: str, run: str) -> Column:
     return F.concat(F.col(entry).cast("string"), F.lit("::"), F.col(run).cast("string"))
 
 
+def epoch_run_key(index: str, epoch: str, sample: str, rerun: str = "") -> Column:
+    """Cache key of an optimiser's run: index, epoch and sample, and the mark of a rerun if there is one."""
+    parts = F.concat_ws("::", *[F.col(c).cast("string") for c in (index, epoch, sample)])
+    return F.concat(parts, F.lit(f"::{rerun}" if rerun else ""))
+
+
+def plan_epoch(problems: DataFrame, epoch: int, samples: int, cache: DataFrame, rerun: str = "", index: str = "idx") -> DataFrame:
+    """The grid problem x sample of an epoch: all columns of ``problems`` plus epoch, sample, key, run_name, cached and
+    the cache's output, score and feedback; without a cached run these are null. ``cache``: (key, output, score, feedback)."""
+    grid = problems.withColumn("epoch", F.lit(epoch)).withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))) if samples > 0 else problems.limit(0).withColumns({"epoch": F.lit(epoch), "sample": F.lit(0)})
+    name = F.format_string("klg_optim_e%d_i%d_s%d" + (f"_{rerun}" if rerun else ""), "epoch", index, "sample")
+    grid = grid.withColumn("key", epoch_run_key(index, "epoch", "sample", rerun)).withColumn("run_name", name)
+    held = cache.select("key", F.lit(True).alias("cached"), "output", F.coalesce("score", F.lit(0.0)).alias("score"), "feedback")
+    return grid.join(held, "key", "left").withColumn("cached", F.coalesce("cached", F.lit(False)))
+
+
 def run_cache_merge(old: DataFrame, new: DataFrame, keys: list[str], payload: list[str], saved_at: str = "saved_at") -> DataFrame:
     """The latest record of each key; if its payload equals the old one's, the old saved_at stays."""
     both = old.select(*keys, *payload, saved_at, F.lit(0).alias("_new")).unionByName(new.select(*keys, *payload, saved_at, F.lit(1).alias("_new")))

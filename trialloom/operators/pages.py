@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as html_module
 import re
+from html.parser import HTMLParser
 from urllib.parse import urljoin, urlparse
 
 import pandas as pd
@@ -16,6 +17,8 @@ from trialloom.functions.text import SPACE, col, strip
 # Query keys that only track, and characters that are replaced in page texts.
 TRACKING_KEYS = ("fbclid", "gclid", "mc_cid", "mc_eid", "ref", "ref_src", "source")
 SPECIAL_CHARACTERS = {"【": "〖", "】": "〗", "◼": "◾", "​": ""}
+# Marks around a link's number, text and domain in page texts, and what stands for the inner mark in texts.
+LINK_OPEN, LINK_CLOSE, LINK_SEP, LINK_SEP_ALT = "【", "】", "†", "‡"
 
 _URL = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?//([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
@@ -77,10 +80,101 @@ def _unescape(s: pd.Series) -> pd.Series:
 
 def html_to_text(c: Column | str) -> Column:
     """Text of a page: characters outside the basic plane go, tags become blanks, entities characters, white space one blank."""
+    return strip(F.regexp_replace(_unescape(F.regexp_replace(_plain_characters(c), "<[^>]+>", " ")), f"{SPACE}+", " "))
+
+
+def _plain_characters(c: Column | str) -> Column:
     t = F.regexp_replace(col(c), r"[\x{10000}-\x{1FFFF}]", "")
     for a, b in SPECIAL_CHARACTERS.items():
         t = F.replace(t, F.lit(a), F.lit(b))
-    return strip(F.regexp_replace(_unescape(F.regexp_replace(t, "<[^>]+>", " ")), f"{SPACE}+", " "))
+    return t
+
+
+class _Page(HTMLParser):
+    """Writes a page as text with link and image marks, headings and lists."""
+
+    HIDDEN = frozenset(("head", "script", "style", "math", "template"))
+    BLOCKS = frozenset("address article aside blockquote body div dl dd dt figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table tr ul".split())
+
+    def __init__(self, url: str):
+        super().__init__(convert_charrefs=True)
+        self.url, self.here = url, urlparse(url).netloc
+        self.out: list[str] = []
+        self.links: dict[str, int] = {}
+        self.images, self.hidden, self.anchor = 0, 0, None
+
+    def _write(self, text: str) -> None:
+        (self.out if self.anchor is None else self.anchor[1]).append(text)
+
+    def handle_starttag(self, tag, attrs):
+        attrs = dict(attrs)
+        if tag in self.HIDDEN:
+            self.hidden += 1
+        elif self.hidden:
+            pass
+        elif tag == "a" and attrs.get("href") is not None:
+            self._close_anchor()
+            self.anchor = (attrs["href"], [])
+        elif tag == "img":
+            name = attrs.get("alt", attrs.get("title"))
+            self._write(f"[Image {self.images}: {name}]" if name else f"[Image {self.images}]")
+            self.images += 1
+        elif tag == "br":
+            self._write("\n")
+        elif tag == "li":
+            self._write("\n  * ")
+        elif tag in self.BLOCKS:
+            self._write("\n\n" + ("#" * int(tag[1]) + " " if tag in ("h1", "h2", "h3", "h4", "h5", "h6") else ""))
+
+    def handle_endtag(self, tag):
+        if tag in self.HIDDEN:
+            self.hidden = max(0, self.hidden - 1)
+        elif tag == "a":
+            self._close_anchor()
+        elif tag in self.BLOCKS and not self.hidden:
+            self._write("\n\n")
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self._write(re.sub(r"\s+", " ", data))
+
+    def _close_anchor(self) -> None:
+        if self.anchor is None:
+            return
+        (link, parts), self.anchor = self.anchor, None
+        text = re.sub(r"\s+", " ", "".join(parts)).replace(LINK_SEP, LINK_SEP_ALT)
+        try:
+            whole = urljoin(self.url, link)
+            domain = urlparse(whole).netloc
+        except ValueError:
+            domain = ""
+        if text and self.url and domain and not link.startswith(("mailto:", "javascript:", "#")):
+            n = self.links.setdefault(whole.replace("arxiv.org", "ar5iv.org"), len(self.links))
+            text = f"{LINK_OPEN}{n}{LINK_SEP}{text}{'' if domain == self.here else LINK_SEP + domain}{LINK_CLOSE}"
+        self._write(text)
+
+    def text(self, page: str) -> str:
+        page = re.sub(r"<su([pb])(?: [^>]*)?>([\w\-]+)</su\1>", lambda m: ("^" if m[1] == "p" else "_") + "{" + m[2] + "}", page)
+        self.feed(page)
+        self.close()
+        self._close_anchor()
+        lines = "".join(self.out).split("\n")
+        joined = "\n".join(x.rstrip() if x.startswith("  * ") else x.strip() for x in lines)
+        return re.sub(r"\n(\s*\n)+", "\n\n", re.sub(r"(?m)^[^\S\n]+$", "", joined)).strip()
+
+
+@F.pandas_udf(T.StringType())
+def _page_text(page: pd.Series, url: pd.Series) -> pd.Series:
+    return pd.Series([None if p is None else _Page(u or "").text(p) for p, u in zip(page, url)], dtype=object)
+
+
+def page_text(html: Column | str, url: Column | str) -> Column:
+    """A page as text that keeps its structure, for reading by a model.
+
+    Links become 【n†text】, with †domain for other hosts, n counting a page's distinct links; images become
+    [Image n: name]; headings, list items and line breaks are written as in markdown; scripts, styles, formulas and
+    the head go. Without a URL links are their texts. Null stays null."""
+    return _page_text(_plain_characters(html), col(url))
 
 
 _ANCHOR = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)')[^>]*>(.*?)</a>""", re.IGNORECASE | re.DOTALL)

@@ -204,3 +204,14 @@ def judged_accuracy(spark, sf_dir):
 def plan_trials(spark, sf_dir):
     b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("problem_id"))
     return ev.plan_trials(b, {"no_klg": 3, "klg": 7}, {"no_klg": ["Solve it.", "Think first."], "klg": ["Use what you know."]}).drop("system_prompt")
+
+
+@query("""WITH g AS (SELECT item_id, s::INTEGER AS sample, item_id || '::2::' || s || '::rerun' AS key FROM benchmark, generate_series(0, 2) t(s)),
+  c AS (SELECT event_id % 50 || '::2::' || event_id % 4 || '::rerun' AS key, max(event_id) AS e FROM events WHERE event_id % 3 = 0 GROUP BY 1)
+  SELECT item_id, sample, key, 'klg_optim_e2_i' || item_id || '_s' || sample || '_rerun' AS run_name, e IS NOT NULL AS cached, 'o' || e AS output, CASE WHEN e % 2 = 0 THEN 1.5 WHEN e IS NOT NULL THEN 0 END::DOUBLE AS score FROM g LEFT JOIN c USING (key)""")
+def plan_epoch(spark, sf_dir):
+    c = read(spark, sf_dir, "events").where("event_id % 3 = 0").select("event_id", (F.col("event_id") % 50).alias("i"), F.lit(2).alias("e"), (F.col("event_id") % 4).alias("s"))
+    c = c.groupBy(ev.epoch_run_key("i", "e", "s", "rerun").alias("key")).agg(F.max("event_id").alias("n"))
+    cache = c.select("key", F.concat(F.lit("o"), "n").alias("output"), F.when(F.col("n") % 2 == 0, 1.5).alias("score"), F.lit("f").alias("feedback"))
+    out = ev.plan_epoch(read(spark, sf_dir, "benchmark").select("item_id"), 2, 3, cache, "rerun", "item_id")
+    return out.select("item_id", "sample", "key", "run_name", "cached", "output", "score")

@@ -97,6 +97,17 @@ def append_knowledge(spark, sf_dir):
     return src.append_knowledge(d.where("run_id % 2 = 0"), d.where("run_id % 2 = 1").drop("tags"))
 
 
+@query("""SELECT 'r' || doc_id AS run_id, lang AS agent, source AS knowledge, '[]' AS tags FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id::VARCHAR, lang, coalesce(trim(text, ' ' || chr(10) || chr(9) || chr(13) || chr(11) || chr(12)), ''), '["a","b"]' FROM documents WHERE doc_id % 2 = 1""")
+def append_to_knowledge(spark, sf_dir):
+    """Half of the documents appended, with their whole texts, to files with another header."""
+    path = scratch(spark, "grown-csv")
+    d = read(spark, sf_dir, "documents")
+    d.where("doc_id % 2 = 0").select(F.col("lang").alias("agent"), F.concat(F.lit("r"), "doc_id").alias("run_id"), F.col("source").alias("knowledge"), F.lit("x").alias("step")).write.csv(path, header=True)
+    new = d.where("doc_id % 2 = 1").select(F.col("doc_id").alias("run_id"), F.col("lang").alias("agent"), F.col("text").alias("knowledge"), F.array(F.lit("a"), F.lit("b")).alias("tags"))
+    src.append_to_knowledge(spark, path, new)
+    return spark.read.csv(path, header=True, multiLine=True, escape='"').fillna("")
+
+
 def _json_rows(df, by):
     return df.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("seq", "role", "content"))).alias("m"))
 

@@ -53,6 +53,12 @@ def html_to_text(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", pg.html_to_text("html").alias("text"))
 
 
+@query()
+def page_text(spark, sf_dir):
+    """Structured texts of whole pages; tested against the plain text and hand-made pages."""
+    return read(spark, sf_dir, "pages").select("page_id", pg.page_text("html", "url").alias("text"))
+
+
 @query("""WITH l AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, split_part(url, '://', 1) AS s, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages),
   a AS (SELECT page_id, host AS domain, s || '://' || host || href AS link FROM l WHERE starts_with(href, '/')) SELECT page_id, link, domain, true AS internal, count(*) > 0 AS found FROM a GROUP BY ALL""")
 def extract_links(spark, sf_dir):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trialloom.functions.folders import scratch
 from trialloom.functions.text import filled, first_filled, int_text, strip
 from trialloom.operators.knowledge import parse_tags
 
@@ -96,6 +97,24 @@ def append_knowledge(old: DataFrame, new: DataFrame) -> DataFrame:
     return have(old).unionByName(have(new))
 
 
+def append_to_knowledge(spark: SparkSession, path: str, new: DataFrame) -> None:
+    """Append (run_id, agent, knowledge, tags) to the csv files in ``path``.
+
+    Files with another header, or none, are written anew with these columns first, by way of a table of their own."""
+    names = ["run_id", "agent", "knowledge", "tags"]
+    tags = F.to_json("tags") if dict(new.dtypes).get("tags", "").startswith("array") else F.coalesce(F.nullif(F.col("tags"), F.lit("")), F.lit("[]"))
+    ready = new.select(*[F.coalesce(strip(F.col(c).cast("string")), F.lit("")).alias(c) for c in names[:3]], tags.alias("tags"))
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root)
+    old = _csv(spark, path) if there else None
+    if old is not None and old.columns and old.columns != names:
+        held = scratch(spark, "knowledge")
+        filled_rows = old.where(F.coalesce(*[F.nullif(F.col(f"`{c}`"), F.lit("")) for c in old.columns]).isNotNull())
+        append_knowledge(filled_rows.limit(0).select(), filled_rows).fillna("").withColumn("tags", F.coalesce(F.nullif(F.col("tags"), F.lit("")), F.lit("[]"))).write.parquet(held)
+        spark.read.parquet(held).write.csv(path, header=True, escape='"', quoteAll=True, mode="overwrite")
+    ready.write.csv(path, header=True, escape='"', quoteAll=True, mode="append")
+
+
 def read_messages(spark: SparkSession, runs_dir: str) -> DataFrame:
     """Messages (run_id, seq, role, content, ...) of every run folder's messages.json; what is not an object goes, seq follows the rest."""
     return parse_messages(spark.read.text(f"{runs_dir}/run-*/messages.json", wholetext=True).withColumn("run_id", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)))
