@@ -50,9 +50,8 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int =
 
     Candidates and queries are cut into blocks of bounded size and every pair of
     blocks is one group, so memory does not grow with either side. Each round
-    scores all pairs and counts scores in bins of one global histogram per query
-    (a block need only report its k highest scores: lower ones cannot hold the
-    kth value). The bin with the kth score is split 2**8-fold in the next round
+    scores all pairs and counts all scores in bins of one global histogram per
+    query. The bin with the kth score is split 2**8-fold in the next round
     until bins are single scores. A last round keeps scores at or above the kth
     value; of those equal to it the smallest ids.
 
@@ -89,14 +88,15 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int =
                 return pa.table({"query_id": pa.array([], pa.int64()), "bin": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
             s = _scores(side, group, width, exact)
             ok = side["query_id"].to_numpy()[:, None] != group["vec_id"].to_numpy()[None, :]
-            if before is not None:
+            if before is None:
+                low, bins = np.full(len(side), -(1 << bits >> shift)), 2 << bits >> shift
+            else:
                 ok &= (s >> before) == side["bin"].to_numpy()[:, None]
-            low = np.iinfo(np.int64).min
-            s[~ok] = low
-            top = np.partition(s, s.shape[1] - k, axis=1)[:, -k:] if s.shape[1] > k else s
-            r, c = np.nonzero(top != low)
-            pairs, n = np.unique(np.stack([side["query_id"].to_numpy()[r], top[r, c] >> shift]), axis=1, return_counts=True)
-            return pa.table({"query_id": pairs[0], "bin": pairs[1], "n": n.astype(np.int64)})
+                low, bins = side["bin"].to_numpy() << (before - shift), 1 << (before - shift)
+            place = (s >> shift) - low[:, None] + bins * np.arange(len(side))[:, None]
+            n = np.bincount(place[ok], minlength=bins * len(side)).reshape(len(side), bins)
+            r, c = np.nonzero(n)
+            return pa.table({"query_id": side["query_id"].to_numpy()[r], "bin": c + low[r], "n": n[r, c]})
 
         return count
 
