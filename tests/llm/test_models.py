@@ -337,28 +337,45 @@ def test_language_model(spark, sf_dir):
 
 
 def test_language_model_sums_to_one(spark):
-    """Probabilities of all words and the unknown one, in one context, sum to one."""
+    """After any context the probabilities of all known words, the end and one unknown word sum to one."""
     train = [(i, "a b a c a b d a b" if i % 2 else "b a c c a") for i in range(40)]
-    ask = [(1000 + i, f"a {w}") for i, w in enumerate(["a", "b", "c", "d", "zz"])] + [(2000, "a")]
-    df = spark.createDataFrame(train + ask, "doc_id long, text string")
+    words = ["a", "b", "c", "d", "zz"]
+    texts = ["", *words, *[f"{c} {w}" for c in words for w in words]]
+    df = spark.createDataFrame([*train, *[(1000 + i, t) for i, t in enumerate(texts)]], "doc_id long, text string")
     got = {r.doc_id: r.score for r in score_texts(df, F.col("doc_id") < 1000).collect()}
+    p = {t: 10 ** got[1000 + i] for i, t in enumerate(texts)}
+    # With X(w) = P(w | start): P(w | c) = P("c w") X(w) / (X(c) P("w")) and P(end | c) = P("c") / X(c). That these sum to
+    # one for each c gives X; then the start's own probabilities must sum to one as well.
+    x = np.linalg.solve(np.eye(5) - np.array([[p[f"{c} {w}"] / p[w] for w in words] for c in words]), np.array([p[c] for c in words]))
+    assert (x > 0).all() and math.isclose(x.sum() + p[""], 1, rel_tol=1e-5)
     rows = spark.createDataFrame([(0, None), (1, ""), (None, "a"), (1, "")], "doc_id long, text string")
     edge = score_texts(rows, F.lit(True)).collect()
     assert sorted(r.n_tokens for r in edge) == [1, 1, 1, 2]
     untrained = score_texts(rows, F.lit(False)).collect()
     assert all(r.train_tokens == 0 and math.isclose(r.score, 0.0, abs_tol=1e-6) for r in untrained)
     assert score_texts(rows.limit(0), F.lit(True)).count() == 0
-    assert all(math.isfinite(s) for s in got.values())
     # the same texts in other partitions get the same scores
     again = {r.doc_id: r.score for r in score_texts(df.repartition(5), F.col("doc_id") < 1000).collect()}
     assert again == got
 
 
+def test_frequent_words_change_nothing(spark, sf_dir, monkeypatch):
+    """Scores do not depend on which words' entries are dealt by parent."""
+    from trialloom.llm import pitman_yor as py
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 60")
+    found = []
+    for share in (2.0, 1 / 300, 1 / 10**9):
+        monkeypatch.setattr(py, "FREQUENT_SHARE", share)
+        found.append({r.doc_id: (r.n_known, r.train_tokens, r.base_score, r.score) for r in score_texts(docs, F.col("doc_id") % 4 != 0).collect()})
+    assert all(math.isclose(x, y, rel_tol=1e-6) for other in found[1:] for i in found[0] for x, y in zip(found[0][i], other[i]))
+
+
 def test_restaurants_are_distributions():
     from trialloom.llm import pitman_yor as py
 
     rng = np.random.default_rng(0)
-    flat = np.zeros(py.Totals.size())
+    flat = np.zeros(py.Totals.size(0))
     words, contexts = 6, [3, 70, 16000]
     customers = rng.integers(0, 9, (words, len(contexts))) + (np.arange(words)[:, None] == 0)
     tables = np.minimum(customers, 1 + customers // 3)
@@ -374,7 +391,8 @@ def test_restaurants_are_distributions():
     at += 2 * py.PARENTS
     known = (root_customers > 0).sum()
     flat[at : at + 2], flat[-1] = (root_customers.sum(), root_tables.sum()), known
-    t = py.Totals(flat, (0.8, 0.6, 0.5))
+    none = np.zeros(0, np.int64)
+    t = py.Totals(flat, (0.8, 0.6, 0.5), none.view(np.uint64), none, none, none)
     for j, c in enumerate(contexts):
         rc, rt = np.append(root_customers[root_customers > 0], 0), np.append(root_tables[root_customers > 0], 0)
         pick = lambda x: np.append(x[root_customers > 0, j], 0)  # noqa: B023, E731
