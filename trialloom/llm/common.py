@@ -2,53 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN_FOLDER: dict[str, str] = {}
-_WRITTEN: list[tuple[SparkSession, str]] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is the session's ``spark.checkpoint.dir``. Only a ``local`` master may go
-    without it (tests); a temporary folder of this machine is used there.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder shared by the cluster")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_FOLDER:
-        _OWN_FOLDER[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return _OWN_FOLDER[app]
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Remove a path through Hadoop's file system API."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def _clean() -> None:
-    for spark, path in _WRITTEN:
-        try:
-            delete(spark, path)
-        except Exception:  # the session may have ended
-            return
-
-
-atexit.register(_clean)
+from trialloom.functions.folders import delete, scratch
 
 
 class Scratch:
@@ -60,8 +20,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        _WRITTEN.append((spark, self.root))
+        self.root = scratch(spark, name)
         self.count = 0
 
     def path(self, tag: str) -> str:
