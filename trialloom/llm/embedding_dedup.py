@@ -34,6 +34,13 @@ def _vectors(column: pa.ChunkedArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def _units(v: np.ndarray) -> np.ndarray:
+    """Rows as unit vectors of doubles."""
+    v = v.astype(float)
+    v = v / np.abs(v).max(axis=1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.999, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept.
 
@@ -70,26 +77,25 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, recall: f
         for batch in batches:
             column = batch.column("vector")
             dims = np.diff(column.offsets.to_numpy())
-            flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+            flat = column.flatten().to_numpy(zero_copy_only=False)
             starts = np.concatenate([[0], np.cumsum(dims)])
             for d in np.unique(dims):
                 rows = np.flatnonzero(dims == d)
-                v = flat[starts[rows][:, None] + np.arange(d)]
-                v = v / np.abs(v).max(axis=1, keepdims=True)
-                v = v / np.linalg.norm(v, axis=1, keepdims=True)
+                v = _units(flat[starts[rows][:, None] + np.arange(d)])
                 if d not in planes:
                     planes[d] = np.random.default_rng([seed, int(d)]).standard_normal((d, tables * bits))
                 sigs = ((v @ planes[d]) > 0).reshape(len(rows), tables, bits) @ weights
                 sub = batch.take(pa.array(rows))
-                width = pa.array(np.arange(0, len(rows) * d + 1, d, dtype=np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [sub.column("rep"), sub.column("copies"), pa.ListArray.from_arrays(width, pa.array(v.ravel())), pa.ListArray.from_arrays(pa.array(np.arange(0, len(rows) * tables + 1, tables, dtype=np.int32)), pa.array(sigs.ravel().astype(np.int32)))],
-                    names=["rep", "copies", "unit", "sigs"],
+                    [sub.column("rep"), sub.column("copies"), sub.column("vector"), pa.ListArray.from_arrays(pa.array(np.arange(0, len(rows) * tables + 1, tables, dtype=np.int32)), pa.array(sigs.ravel().astype(np.int32)))],
+                    names=["rep", "copies", "vector", "sigs"],
                 )
 
-    signed = scratch.table(groups.select("rep", "copies", "vector").mapInArrow(sign, "rep long, copies long, unit array<double>, sigs array<int>"), "signed")
-    placed = signed.select("rep", "copies", "unit", "sigs", F.size("unit").alias("d"), F.posexplode("sigs").alias("t", "sig"))
-    sizes = signed.select(F.size("unit").alias("d"), F.posexplode("sigs").alias("t", "sig")).groupBy("d", "t", "sig").count()
+    # vectors are exchanged as they are, not as doubles
+    kind = groups.schema["vector"].dataType.simpleString()
+    signed = scratch.table(groups.select("rep", "copies", "vector").mapInArrow(sign, f"rep long, copies long, vector {kind}, sigs array<int>"), "signed")
+    placed = signed.select("rep", "copies", "vector", "sigs", F.size("vector").alias("d"), F.posexplode("sigs").alias("t", "sig"))
+    sizes = signed.select(F.size("vector").alias("d"), F.posexplode("sigs").alias("t", "sig")).groupBy("d", "t", "sig").count()
     large = scratch.table(sizes.where(F.col("count") > TILE).select("d", "t", "sig", F.ceil(F.col("count") / TILE).cast("int").alias("tiles")), "large")
     placed = placed.join(large, ["d", "t", "sig"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     placed = placed.withColumn("tile", F.pmod(F.xxhash64("rep"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
@@ -102,7 +108,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, recall: f
         if n > 1:
             order = np.argsort(rep, kind="stable")
             rep, copies = rep[order], copies[order]
-            unit, sigs = _vectors(group["unit"])[order], _vectors(group["sigs"])[order]
+            unit, sigs = _units(_vectors(group["vector"]))[order], _vectors(group["sigs"])[order]
             tile, t = group["tile"].to_numpy()[order], group["t"][0].as_py()
             within = group["lo"][0].as_py() == group["hi"][0].as_py()
             for s in range(0, n, 512):
