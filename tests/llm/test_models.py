@@ -371,19 +371,27 @@ def test_frequent_words_change_nothing(spark, sf_dir, monkeypatch):
     assert all(math.isclose(x, y, rel_tol=1e-6) for other in found[1:] for i in found[0] for x, y in zip(found[0][i], other[i]))
 
 
+def test_contexts_grow_with_the_text():
+    from trialloom.llm.pitman_yor import Layout
+
+    assert [Layout.bits_for(x) for x in (0, 1 << 20, 1 << 28, 1 << 29, 1 << 35, 1 << 45)] == [12, 12, 14, 15, 21, 22]
+
+
 def test_restaurants_are_distributions():
     from trialloom.llm import pitman_yor as py
 
     rng = np.random.default_rng(0)
-    flat = np.zeros(py.Totals.size(0))
+    none = np.zeros(0, np.int64)
+    layout = py.Layout(14, none.view(np.uint64))
+    flat = np.zeros(py.Totals.size(layout))
     words, contexts = 6, [3, 70, 16000]
     customers = rng.integers(0, 9, (words, len(contexts))) + (np.arange(words)[:, None] == 0)
     tables = np.minimum(customers, 1 + customers // 3)
-    parents = [c >> (py.CONTEXT_BITS - py.PARENT_BITS) for c in contexts]
+    parents = [c >> layout.below for c in contexts]
     flat[contexts] = customers.sum(axis=0)
-    flat[np.array(contexts) + py.CONTEXTS] = tables.sum(axis=0)
+    flat[np.array(contexts) + layout.contexts] = tables.sum(axis=0)
     parent_tables = np.minimum(tables, 1)
-    at = 2 * py.CONTEXTS
+    at = 2 * layout.contexts
     flat[at + np.array(parents)] = tables.sum(axis=0)
     flat[at + py.PARENTS + np.array(parents)] = parent_tables.sum(axis=0)
     root_customers = parent_tables.sum(axis=1)
@@ -391,8 +399,7 @@ def test_restaurants_are_distributions():
     at += 2 * py.PARENTS
     known = (root_customers > 0).sum()
     flat[at : at + 2], flat[-1] = (root_customers.sum(), root_tables.sum()), known
-    none = np.zeros(0, np.int64)
-    t = py.Totals(flat, (0.8, 0.6, 0.5), none.view(np.uint64), none, none, none)
+    t = py.Totals(flat, (0.8, 0.6, 0.5), layout, none, none, none)
     for j, c in enumerate(contexts):
         rc, rt = np.append(root_customers[root_customers > 0], 0), np.append(root_tables[root_customers > 0], 0)
         pick = lambda x: np.append(x[root_customers > 0, j], 0)  # noqa: B023, E731
