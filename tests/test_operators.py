@@ -157,7 +157,7 @@ def test_block_scores_equal_join(spark):
 
 
 def test_all_pairs_by_blocks(spark, monkeypatch):
-    monkeypatch.setattr(rt, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(rt, "BROADCAST_BYTES", 3)
     monkeypatch.setattr(rt, "BLOCK_ROWS", 4)
     got = rt.all_pairs(spark.range(11).selectExpr("id as a"), spark.range(9).selectExpr("id as b"))
     assert sorted(map(tuple, got.collect())) == [(a, b) for a in range(11) for b in range(9)]
