@@ -114,3 +114,12 @@ def test_page_text(spark, sf_dir):
     for p in pages:
         body = re.sub(r"(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>|<head.*?</head>|<title.*?</title>|<[^>]+>", "", p.html or "")
         assert squeeze(texts[p.page_id] or "") == re.sub(r"^#+ |\s", "", html.unescape(body)), p.page_id
+
+
+def test_payload_keys_are_bounded(spark):
+    from trialloom.operators import datasets as ds
+
+    df = spark.range(30).select(F.concat(F.lit('{"k'), F.col("id"), F.lit('": 1}')).alias("payload_json"))
+    assert len(ds.payload_keys(df, most=30)) == 30
+    with pytest.raises(ValueError):
+        ds.payload_keys(df, most=29)

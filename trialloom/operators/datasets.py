@@ -13,9 +13,15 @@ BEGIN, END = "*** Begin Patch", "*** End Patch"
 UPDATE, ADD, DELETE, MOVE = "*** Update File:", "*** Add File:", "*** Delete File:", "*** Move to:"
 
 
-def payload_keys(df: DataFrame, payload: str = "payload_json") -> list[str]:
-    """All keys of the payload objects, sorted: a bounded list, gathered by one distinct aggregation."""
-    rows = df.select(F.explode(F.json_object_keys(payload)).alias("k")).distinct().collect()
+#: Payloads with more different keys are not a table's cells.
+MOST_KEYS = 2000
+
+
+def payload_keys(df: DataFrame, payload: str = "payload_json", most: int = MOST_KEYS) -> list[str]:
+    """All keys of the payload objects, sorted, by one distinct aggregation; more than ``most`` of them are an error."""
+    rows = df.select(F.explode(F.json_object_keys(payload)).alias("k")).distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{payload} has more than {most} different keys")
     return sorted(r.k for r in rows)
 
 
