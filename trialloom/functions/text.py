@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 OMITTED = "[CONTENT OMITTED]"
 #: White space as Python's str.strip and re see it, as a Java character class.
 SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def col(c: Column | str) -> Column:
@@ -16,11 +17,11 @@ def col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Text without white space (Unicode) at either end."""
-    return F.regexp_replace(col(c), rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.trim(col(c), F.lit(SPACES))
 
 
 def rstrip(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), rf"{SPACE}+\z", "")
+    return F.rtrim(col(c), F.lit(SPACES))
 
 
 def filled(c: Column | str) -> Column:

@@ -16,6 +16,8 @@ from trialloom.operators.preference import key_block, prompt_of_blocks, query_bl
 #: A side of a pair join is broadcast up to so many bytes; beyond, both sides are dealt to a grid of blocks.
 BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS, BLOCK_BYTES = 4096, 32 << 20
+#: The larger side is dealt to a task for so many bytes of pairs.
+PAIR_BYTES = 64 << 20
 
 
 def _measure(df: DataFrame) -> tuple[int, int]:
@@ -30,7 +32,9 @@ def all_pairs(queries: DataFrame, keys: DataFrame) -> DataFrame:
     dealt to blocks, and each two blocks meet through an equi-join. Both sides are measured first."""
     (nq, sq), (nk, sk) = _measure(queries), _measure(keys)
     if min(sq, sk) <= BROADCAST_BYTES:
-        return queries.crossJoin(F.broadcast(keys)) if sk <= sq else F.broadcast(queries).crossJoin(keys)
+        tasks = -(-max(nq * sk, nk * sq) // PAIR_BYTES)
+        spread = lambda df, n: df.repartition(min(tasks, n)) if min(tasks, n) > 1 else df
+        return spread(queries, nq).crossJoin(F.broadcast(keys)) if sk <= sq else F.broadcast(queries).crossJoin(spread(keys, nk))
     bq, bk = (max(-(-n // BLOCK_ROWS), -(-s // BLOCK_BYTES)) for n, s in ((nq, sq), (nk, sk)))
     deal = lambda df, own, n: df.withColumn(own, F.pmod(F.xxhash64(*df.columns), F.lit(n)))
     q = deal(queries, "_bq", bq).withColumn("_bk", F.explode(F.sequence(F.lit(0), F.lit(bk - 1))))
