@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialloom.llm.chat_format import digest_windows, format_windows
+from trialloom.llm.collocations import collocations
 from trialloom.llm.common import crc_of_id
 from trialloom.llm.conversation_repair import damage_conversations, digest_repaired, repair_conversations
 from trialloom.llm.embedding_dedup import near_duplicate_vectors
@@ -98,6 +99,10 @@ def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_windows(format_windows(rows.unionByName(probe), tokenizer_file(), budget=1024, history=256))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_read(spark, sf_dir, "documents"), least=10, share=50, top=2000)
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "conversations")
     report, repaired = repair_conversations(damage_conversations(rows))
@@ -123,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_exact_top_k": op10_exact_top_k,
     "op11_chat_format": op11_chat_format,
+    "op12_collocations": op12_collocations,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
@@ -156,6 +162,27 @@ ORACLE_SQL: dict[str, str] = {
         n AS (SELECT a AS vec_id, count(*) AS n_links FROM e GROUP BY a)
         SELECT c.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, c.vec_id = component_id AS kept
         FROM c LEFT JOIN n USING (vec_id)""",
+    "op12_collocations": r"""
+        WITH d AS (
+          SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM d),
+        g AS (
+          SELECT lang, unnest(list_concat(list_transform(range(1, len(ws) + 1), lambda i: ws[i:i]), list_transform(range(1, len(ws)), lambda i: ws[i:i+1]), list_transform(range(1, len(ws) - 1), lambda i: ws[i:i+2]))) AS p FROM w),
+        f AS (SELECT lang, p, count(*) AS f FROM g GROUP BY 1, 2),
+        n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE len(p) = 1 GROUP BY 1),
+        c AS (SELECT lang, p, f AS a FROM f WHERE len(p) >= 2 AND f >= 10),
+        cuts AS (SELECT lang, p, a, unnest(range(1, len(p))) AS k FROM c),
+        scored AS (
+          SELECT cuts.*, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS score
+          FROM cuts JOIN f x ON x.lang = cuts.lang AND x.p = cuts.p[1:k] JOIN f y ON y.lang = cuts.lang AND y.p = cuts.p[k+1:]),
+        best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, k) AS i FROM scored) WHERE i = 1),
+        inside AS (SELECT lang, p[1:2] AS p, a FROM c WHERE len(p) = 3 UNION ALL SELECT lang, p[2:3], a FROM c WHERE len(p) = 3),
+        longer AS (SELECT lang, p, max(a) AS most FROM inside GROUP BY 1, 2),
+        kept AS (SELECT b.* FROM best b LEFT JOIN longer o ON o.lang = b.lang AND o.p = b.p WHERE NOT coalesce(100 * most >= 50 * b.a, FALSE)),
+        ranked AS (
+          SELECT lang, array_to_string(p, ' ') AS phrase, a, l, r, score::BIGINT AS score,
+            row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank FROM kept)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000""",
     "op13_conversation_repair": r"""
         WITH RECURSIVE
         crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce([i::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END)) AS t),
