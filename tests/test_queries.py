@@ -15,8 +15,8 @@ def test_query_equals_sql(spark, sf_dir, name):
 
 
 def test_every_query_has_sql():
-    """But for draws by a hash that SQL lacks and results that depend on the order of files, and pages as markdown; these have tests of their own."""
-    assert set(registry.QUERIES) - set(registry.ORACLE_SQL) == {"rank_weighted_sample", "stream_unseen_pages", "page_text"}
+    """But for draws by a hash that SQL lacks, and pages as markdown; these have tests of their own."""
+    assert set(registry.QUERIES) - set(registry.ORACLE_SQL) == {"rank_weighted_sample", "page_text"}
 
 
 def test_library_does_not_import_llm():

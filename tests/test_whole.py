@@ -30,19 +30,6 @@ def test_rank_weighted_sample(spark, sf_dir):
     assert got == expected and {r[2] for r in got} > {1, 2, 3}
 
 
-def test_stream_unseen_pages(spark, sf_dir):
-    """Every page's address or content is there at the end, and none twice."""
-    got = registry.QUERIES["stream_unseen_pages"](spark, sf_dir).collect()
-    urls, contents = {r.norm_url for r in got}, {r.signature for r in got}
-    assert len(urls) == len(contents) == len(got)
-    from trialloom.operators.pages import normalize_url
-
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("html", normalize_url("url").alias("u")).collect()
-    sign = lambda t: hashlib.sha256(re.sub(r"\s+", " ", t or "").strip()[:2000].encode()).hexdigest()
-    assert all(p.u in urls or sign(p.html) in contents for p in pages)
-    assert urls <= {p.u for p in pages} and contents <= {sign(p.html) for p in pages}
-
-
 def test_run_cache_keeps_first_history(spark, tmp_path):
     run = lambda i, h: {"run_id": i, "output": h[0] if h else "", "msg_history": h}
     cache = {"y::a": run("1", "text"), "z::a": run("1", ["first"]), "a::a": run(" 1 ", ["second"]), "b::a": run(" ", ["blank"]), "c::b::2": run("2", [])}

@@ -126,29 +126,67 @@ def valid_trials(trials: DataFrame) -> DataFrame:
     return trials.where(~((F.col("score") == 0) & filled("feedback").isNull()) | F.col("score").isNull())
 
 
+def arm_stats(trials: DataFrame, *keys: str) -> DataFrame:
+    """Mergeable statistics of each arm's scores: count, sum, least and greatest, by map-side partial results."""
+    aggs = []
+    for a in ARMS:
+        score = F.when(F.col("arm") == a, F.col("score"))
+        aggs += [F.count(score).alias(f"{a}_n"), F.sum(score).alias(f"{a}_sum"), F.min(score).alias(f"{a}_least"), F.max(score).alias(f"{a}_most")]
+    return trials.groupBy(*keys).agg(*aggs)
+
+
+def merge_stats(stats: DataFrame, *keys: str) -> DataFrame:
+    """Statistics of the union of what the rows of ``arm_stats`` stand for."""
+    aggs = []
+    for a in ARMS:
+        aggs += [F.sum(f"{a}_n").alias(f"{a}_n"), F.sum(f"{a}_sum").alias(f"{a}_sum"), F.min(f"{a}_least").alias(f"{a}_least"), F.max(f"{a}_most").alias(f"{a}_most")]
+    return stats.groupBy(*keys).agg(*aggs)
+
+
+def scores_of_stats(stats: DataFrame, *keys: str) -> DataFrame:
+    """Mean, max and min of each arm's scores, rounded, 0 for an empty arm, and the improvement of the mean."""
+    value = {"mean": lambda a: F.try_divide(F.col(f"{a}_sum"), F.col(f"{a}_n")), "max": lambda a: F.col(f"{a}_most"), "min": lambda a: F.col(f"{a}_least")}
+    cols = [F.coalesce(round2(f(a)), F.lit(0.0)).alias(f"{a}_{s}") for s, f in value.items() for a in ARMS]
+    return stats.select(*keys, *cols).withColumn("improvement", round2(F.col("klg_mean") - F.col("no_klg_mean")))
+
+
 def problem_scores(trials: DataFrame, key: str = "problem_id") -> DataFrame:
     """Mean, max and min of each arm's scores, rounded, 0 for an empty arm, and the improvement of the mean.
 
     One aggregation with map-side partial results; arms are columns, not rows."""
-    stat = {"mean": F.avg, "max": F.max, "min": F.min}
-    aggs = [F.coalesce(round2(f(F.when(F.col("arm") == a, F.col("score")))), F.lit(0.0)).alias(f"{a}_{s}") for s, f in stat.items() for a in ARMS]
-    return trials.groupBy(key).agg(*aggs).withColumn("improvement", round2(F.col("klg_mean") - F.col("no_klg_mean")))
+    return scores_of_stats(arm_stats(trials, key), key)
 
 
-def evaluation_summary(scores: DataFrame) -> DataFrame:
-    """One row over all problems: means of the rounded pairs, mean improvements, wins, ties and losses."""
-    n = F.count("*")
-    cols = [n.alias("total_problems")]
+def summary_sums(scores: DataFrame) -> DataFrame:
+    """One row of whole numbers that add up over disjoint sets of problems: problems, hundredths of scores, wins, ties, losses."""
+    cols = [F.count("*").alias("total_problems")]
     for s in ("mean", "max", "min"):
         a, b = round2(f"no_klg_{s}"), round2(f"klg_{s}")
-        mean = lambda c: F.coalesce(round2(F.sum(F.round(c * 100).cast("long")) / F.lit(100.0) / n), F.lit(0.0))
+        total = lambda c: F.coalesce(F.sum(F.round(c * 100).cast("long")), F.lit(0))
         cols += [
-            mean(a).alias(f"no_klg_{s}_mean"), mean(b).alias(f"klg_{s}_mean"), mean(b - a).alias(f"{s}_improvement"),
+            total(a).alias(f"no_klg_{s}_sum"), total(b).alias(f"klg_{s}_sum"), total(b - a).alias(f"{s}_improvement_sum"),
             F.count_if(b > a).alias(f"{s}_win"), F.count_if(b == a).alias(f"{s}_tie"), F.count_if(b < a).alias(f"{s}_loss"),
         ]
     return scores.agg(*cols)
 
 
+def summary_of_sums(sums: DataFrame) -> DataFrame:
+    """The summary that ``summary_sums`` stands for."""
+    cols = [F.col("total_problems")]
+    for s in ("mean", "max", "min"):
+        mean = lambda c: F.coalesce(round2(F.try_divide(F.col(c) / F.lit(100.0), F.col("total_problems"))), F.lit(0.0))
+        cols += [
+            mean(f"no_klg_{s}_sum").alias(f"no_klg_{s}_mean"), mean(f"klg_{s}_sum").alias(f"klg_{s}_mean"), mean(f"{s}_improvement_sum").alias(f"{s}_improvement"),
+            F.col(f"{s}_win"), F.col(f"{s}_tie"), F.col(f"{s}_loss"),
+        ]
+    return sums.select(*cols)
+
+
+def evaluation_summary(scores: DataFrame) -> DataFrame:
+    """One row over all problems: means of the rounded pairs, mean improvements, wins, ties and losses."""
+    return summary_of_sums(summary_sums(scores))
+
+
 def score_pairs_of(scores: DataFrame, key: str = "problem_id") -> DataFrame:
     """Rows (statistic, problem, no_klg, klg): the summary's pair lists, one pair a row."""
     return scores.select(key, F.explode(F.array(*[F.struct(F.lit(s).alias("statistic"), F.col(f"no_klg_{s}").alias("no_klg"), F.col(f"klg_{s}").alias("klg")) for s in ("mean", "max", "min")])).alias("p")).select(key, "p.*")

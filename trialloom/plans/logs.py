@@ -10,6 +10,7 @@ from trialloom.operators.messages import with_agent_step
 from trialloom.plans.base import query, read
 from trialloom.plans.evaluation import _SUMMARY, SCORES, trials
 from trialloom.plans.messages import STEPS, messages
+from trialloom.plans.pages import _NORM
 from trialloom.sources import runs as src
 from trialloom.streaming import streams as st
 
@@ -218,22 +219,34 @@ def stream_dedupe_runs(spark, sf_dir):
     return st.run_to_table(st.dedupe_runs(s, ["o_custkey", "o_orderpriority"]), f"{out}/t", f"{out}/c").select("o_custkey", "o_orderpriority")
 
 
-@query()
+def _in_turn(df, path, by, parts=3):
+    """Write rows as files that arrive one after the other, by ranges of a column."""
+    edges = df.approxQuantile(by, [k / parts for k in range(1, parts)], 0.01)
+    place = sum((F.col(by) > e).cast("int") for e in edges)
+    for k in range(parts):
+        df.where(place == k).coalesce(1).write.mode("append").json(path)
+
+
+@query(f"""WITH {_NORM}, s AS (SELECT page_id, norm AS norm_url, sha256(trim(regexp_replace(coalesce(html, ''), '\\s+', ' ', 'g'))[:2000]) AS signature FROM n),
+  u AS (SELECT *, row_number() OVER (PARTITION BY norm_url ORDER BY page_id) AS k FROM s), v AS (SELECT *, row_number() OVER (PARTITION BY signature ORDER BY page_id) AS j FROM u WHERE k = 1)
+  SELECT page_id, norm_url, signature FROM v WHERE j = 1""")
 def stream_unseen_pages(spark, sf_dir):
-    """Which of several pages of one address or content comes first depends on the files; tested against a plain loop."""
     path, out = scratch(spark, "pages-in"), scratch(spark, "pages-out")
-    read(spark, sf_dir, "pages").select("page_id", "url", F.col("html").alias("text")).repartitionByRange(3, "page_id").write.json(path)
-    st.start_unseen_pages(st.stream_json(spark, path, "page_id long, url string, text string", 1), f"{out}/t", f"{out}/c").awaitTermination()
-    return spark.read.parquet(f"{out}/t").select("norm_url", "signature")
+    _in_turn(read(spark, sf_dir, "pages").select("page_id", "url", F.col("html").alias("text")), path, "page_id")
+    st.start_unseen_pages(st.stream_json(spark, path, "page_id long, url string, text string", 1), f"{out}/t", f"{out}/h", f"{out}/c", ["page_id"], buckets=16).awaitTermination()
+    return spark.read.parquet(f"{out}/t").select("page_id", "norm_url", "signature")
 
 
 @query(f"WITH {SCORES} SELECT count(*) AS total_problems, {_SUMMARY} FROM scores")
 def stream_summary(spark, sf_dir):
+    """Half of the trials come twice, with another score first."""
     path, out = scratch(spark, "trials-in"), scratch(spark, "trials-out")
-    trials(spark, sf_dir).repartition(3, "trial").write.json(path)
+    t = trials(spark, sf_dir)
+    t.where("trial % 2 = 0").withColumn("score", F.lit(10.0) - F.col("score")).withColumn("feedback", F.lit("early")).coalesce(1).write.json(path)
+    _in_turn(t, path, "trial", 2)
     s = st.stream_json(spark, path, "problem_id long, arm string, trial long, score double, feedback string", 1)
-    st.start_summary(s, f"{out}/t", f"{out}/s", f"{out}/c").awaitTermination()
-    return spark.read.parquet(f"{out}/s")
+    st.start_summary(s, f"{out}/t", f"{out}/s", f"{out}/c", slices=4, buckets=16).awaitTermination()
+    return st.latest_summary(spark, f"{out}/s")
 
 
 def _runs(spark, sf_dir):

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+import pickle
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from trialloom.operators.evaluation import evaluation_summary, problem_scores, valid_trials
+from trialloom.functions.folders import delete, scratch
+from trialloom.operators.evaluation import ARMS, merge_stats, scores_of_stats, summary_of_sums, summary_sums
 from trialloom.operators.pages import content_signature, normalize_url
 from trialloom.sources.runs import STEP_SCHEMA
+from trialloom.sources.store import BucketStore
 
 
 def stream_json(spark: SparkSession, path: str, schema: str = STEP_SCHEMA, files_a_batch: int = 1000) -> DataFrame:
@@ -22,40 +30,139 @@ def dedupe_runs(stream: DataFrame, key: list[str], time: str | None = None, dela
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(key)
 
 
-def start_unseen_pages(stream: DataFrame, history: str, checkpoint: str, url: str = "url", text: str = "text"):
-    """Append pages whose normalised URL and content are new to the parquet table ``history``.
-
-    Each batch is cleaned of its own repeats, then anti-joined with the history's two hash columns."""
+def start_unseen_pages(stream: DataFrame, pages_table: str, history: str, checkpoint: str, order: list[str], url: str = "url", text: str = "text", buckets: int = 64):
+    """Write pages whose normalised URL and content are new to ``pages_table``, a folder a batch.
+
+    In each batch pages are visited in ``order``, which must tell them apart. A
+    page is dropped if its URL has been visited; else its URL is recorded, and it
+    is dropped if its content's signature is recorded, else that is recorded and
+    the page stays. So where batches follow the order, the result is that of a
+    single pass, however pages are split into batches. A null or blank URL stays
+    as it is and counts as one URL.
+
+    Both histories are tables of hashes in buckets. A batch reads and rewrites
+    only the buckets of its own URLs and signatures. A batch that runs again
+    starts from the version before it."""
+    spark = stream.sparkSession
+    urls = BucketStore(spark, f"{history}/urls", ["norm_url"], "norm_url string", buckets)
+    contents = BucketStore(spark, f"{history}/contents", ["signature"], "signature string", buckets)
+
+    def new_to(store: BucketStore, pages: DataFrame, batch_id: int) -> DataFrame:
+        """The first page of each key that the store did not hold before this batch."""
+        key = store.keys[0]
+        before = [v for v in store.versions() if v < batch_id]
+        first = pages.groupBy(key).agg(F.min(F.struct(*order)).alias("_first"))
+        if before:
+            first = first.join(store.read(before[-1], store.touched(pages)), key, "left_anti")
+        return pages.join(first.select("_first"), F.struct(*order) == F.col("_first"), "left_semi")
 
-    def merge(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        new = batch.withColumn("norm_url", normalize_url(url)).withColumn("signature", content_signature(F.coalesce(text, F.lit(""))))
-        new = new.dropDuplicates(["norm_url"]).dropDuplicates(["signature"])
-        try:
-            old = spark.read.parquet(history)
-        except Exception as error:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-        else:
-            new = new.join(old.select("norm_url"), "norm_url", "left_anti").join(old.select("signature"), "signature", "left_anti")
-        new.select(*batch.columns, "norm_url", "signature").write.mode("append").parquet(history)
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        path = scratch(spark, "pages")
+        batch.withColumn("norm_url", normalize_url(url)).withColumn("signature", content_signature(F.coalesce(text, F.lit("")))).write.parquet(f"{path}/batch")
+        pages = spark.read.parquet(f"{path}/batch")
+        new_to(urls, pages, batch_id).write.parquet(f"{path}/by-url")
+        visited = spark.read.parquet(f"{path}/by-url")
+        new_to(contents, visited, batch_id).write.mode("overwrite").parquet(f"{pages_table}/batch={batch_id}")
+        urls.upsert(visited, version=batch_id)
+        contents.upsert(spark.read.parquet(f"{pages_table}/batch={batch_id}"), version=batch_id)
+        delete(spark, path)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def start_summary(stream: DataFrame, trials_table: str, summary_table: str, checkpoint: str):
-    """Append scored trials and rewrite the evaluation summary after each batch.
-
-    Sums of a mean cannot be split without their counts; the summary is recomputed from the trials, by
-    one aggregation a batch. Trials that come again (same problem, arm, trial) count once."""
+#: Statistics of a slice of a problem's trials, and what a slice's state holds.
+STATS = ", ".join(f"{a}_n long, {a}_sum double, {a}_least double, {a}_most double" for a in ARMS)
+_STATE = "trials binary"
+
+
+def trial_stats(stream: DataFrame, slices: int = 8, order: str | None = None) -> DataFrame:
+    """A stream of (problem_id, slice, trials, statistics of each arm): a row for each slice whose trials changed.
+
+    Trials are (problem_id, arm, trial, score, feedback). A problem's trials are
+    dealt to ``slices`` keys by hash, so a problem of any size is spread. The
+    state of a key is its valid trials; a trial that comes again replaces its old
+    score, and goes if it is no longer valid (score 0 and no feedback). Of
+    several rows of a trial in one batch the last by ``order`` counts, then the
+    greatest score (null is least) and feedback."""
+    kind = dict(stream.dtypes)["problem_id"]
+    valid = ~((F.col("score") == 0) & F.nullif(F.trim(F.coalesce("feedback", F.lit(""))), F.lit("")).isNull()) | F.col("score").isNull()
+    rows = stream.select(
+        "problem_id", F.pmod(F.xxhash64("arm", "trial"), F.lit(slices)).cast("int").alias("slice"), F.to_json(F.struct("arm", "trial")).alias("trial"), "arm",
+        F.col("score").cast("double").alias("score"), F.coalesce("feedback", F.lit("")).alias("feedback"), valid.alias("valid"), (F.col(order) if order else F.lit(0)).alias("place"),
+    )
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = pickle.loads(state.get[0]) if state.exists else {}
+        came: dict[str, tuple] = {}
+        for b in batches:
+            for trial, arm, score, feedback, ok, place in zip(b["trial"], b["arm"], b["score"], b["feedback"], b["valid"], b["place"]):
+                score = None if score is None or math.isnan(score) else float(score)
+                version = (place, score is not None, score or 0.0, feedback, arm, bool(ok))
+                came[trial] = max(came.get(trial, version), version)
+        for trial, (_, known, score, _, arm, ok) in came.items():
+            if ok:
+                held[trial] = (arm, score if known else None)
+            else:
+                held.pop(trial, None)
+        state.update((pickle.dumps(held),))
+        row: dict = {"problem_id": [key[0]], "slice": [key[1]], "trials": [len(held)]}
+        for arm in ARMS:
+            scores = [s for a, s in held.values() if a == arm and s is not None]
+            row |= {f"{arm}_n": [len(scores)], f"{arm}_sum": [math.fsum(scores) if scores else None], f"{arm}_least": [min(scores, default=None)], f"{arm}_most": [max(scores, default=None)]}
+        yield pd.DataFrame(row)
+
+    return rows.groupBy("problem_id", "slice").applyInPandasWithState(update, f"problem_id {kind}, slice int, trials long, {STATS}", _STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def start_summary(stream: DataFrame, state: str, summary_table: str, checkpoint: str, slices: int = 8, order: str | None = None, buckets: int = 64):
+    """Keep the evaluation summary of all trials seen so far; ``summary_table`` gets one row a batch, with its ``batch``.
+
+    Trials live in the keyed state of ``trial_stats``. Statistics of slices are a
+    table in buckets of problems; a batch reads and rewrites the buckets of its
+    own problems. The summary is a row of sums over problems: what the batch's
+    problems gave before is taken off, what they give now is added. So the work
+    of a batch follows its own problems. A batch that runs again starts from the
+    version before it."""
+    spark = stream.sparkSession
+    kind = dict(stream.dtypes)["problem_id"]
+    table = BucketStore(spark, f"{state}/slices", ["problem_id"], f"problem_id {kind}, slice int, trials long, {STATS}", buckets)
+
+    def sums(stats: DataFrame) -> DataFrame:
+        return summary_sums(scores_of_stats(merge_stats(stats.where("trials > 0"), "problem_id"), "problem_id"))
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{trials_table}/batch={batch_id}")  # a batch that runs again replaces itself
-        trials = spark.read.parquet(trials_table).drop("batch").dropDuplicates(["problem_id", "arm", "trial"])
-        evaluation_summary(problem_scores(valid_trials(trials))).write.mode("overwrite").parquet(summary_table)
-
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        path = scratch(spark, "slices")
+        batch.write.parquet(path)
+        changes = spark.read.schema(table.schema).parquet(path)
+        before = [v for v in table.versions() if v < batch_id]
+        problems = changes.select(F.col("problem_id").alias("_problem")).distinct()
+        own = lambda stats: stats.join(problems, F.col("problem_id").eqNullSafe(F.col("_problem")), "left_semi")
+
+        def replace(old: DataFrame, new: DataFrame) -> DataFrame:
+            keys = new.select(F.col("problem_id").alias("_problem"), F.col("slice").alias("_slice"))
+            return old.join(keys, F.col("problem_id").eqNullSafe(F.col("_problem")) & (F.col("slice") == F.col("_slice")), "left_anti").unionByName(new)
+
+        touched = table.merge(changes, replace, batch_id)
+        old = sums(own(table.read(before[-1], touched)) if before else spark.createDataFrame([], table.schema))
+        new = sums(own(table.read(batch_id, touched)))
+        names = new.columns
+        parts = [new] + [old.select(*[(-F.col(c)).alias(c) for c in names])]
+        if before:
+            parts.append(spark.read.parquet(f"{state}/sums/batch={before[-1]}"))
+        whole = parts[0]
+        for p in parts[1:]:
+            whole = whole.unionByName(p)
+        whole.agg(*[F.sum(c).alias(c) for c in names]).coalesce(1).write.mode("overwrite").parquet(f"{state}/sums/batch={batch_id}")
+        summary_of_sums(spark.read.parquet(f"{state}/sums/batch={batch_id}")).coalesce(1).write.mode("overwrite").parquet(f"{summary_table}/batch={batch_id}")
+        delete(spark, path)
+
+    return trial_stats(stream, slices, order).writeStream.foreachBatch(merge).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_summary(spark: SparkSession, summary_table: str) -> DataFrame:
+    """The summary after the last batch."""
+    every = spark.read.parquet(summary_table)
+    return every.withColumn("_n", F.row_number().over(Window.orderBy(F.desc("batch")))).where("_n = 1").drop("_n", "batch")  # one row a batch
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
