@@ -49,8 +49,8 @@ def _sized(turns: DataFrame, tokenizer_file: str) -> DataFrame:
         for batch in batches:
             for s in range(0, batch.num_rows, 64):
                 part = batch.slice(s, 64)
-                roles = [_escape_role(r or "") for r in part.column("role").to_pylist()]
-                bodies = [escape(t or "") for t in part.column("text").to_pylist()]
+                roles = [_escape_role(r) for r in part.column("role").to_pylist()]
+                bodies = [escape(t) for t in part.column("text").to_pylist()]
                 tokens = [len(encode(f"{START}{r}\n{b}{END}\n")) for r, b in zip(roles, bodies)]
                 yield pa.RecordBatch.from_arrays([part.column("conv_id"), part.column("turn"), pa.array(roles, pa.string()), pa.array(bodies, pa.string()), pa.array(tokens, pa.int64())], names=["conv_id", "turn", "role", "body", "tokens"])
 
@@ -105,7 +105,8 @@ def format_windows(conversations: DataFrame, tokenizer_file: str, budget: int =
         raise ValueError("the system turn and history must leave room for turns")
     scratch = Scratch(conversations.sparkSession, "chat")
     kind = dict(conversations.dtypes)["conv_id"]
-    turns = sums_before(_sized(conversations.select("conv_id", "turn", "role", "text"), tokenizer_file), scratch, "conv_id", ["turn", "role", F.regexp_replace("body", r"<\\(\\*)\|", r"<$1|")], {"upto": "tokens", "at": 1})
+    given = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    turns = sums_before(given, scratch, "conv_id", ["turn", "role", "text"], {"upto": "tokens", "at": 1}, lambda rows: _sized(rows, tokenizer_file))
     span = BLOCK_BUDGETS * budget
     turns = turns.withColumn("block", F.floor(F.col("upto") / span).cast("long"))
     leads = (F.col("at") == 0) & (F.col("role") == "system") & (F.col("tokens") <= system_limit)

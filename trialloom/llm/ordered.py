@@ -13,14 +13,15 @@ from pyspark.sql import functions as F
 from trialloom.llm.common import Scratch
 
 
-def sums_before(df: DataFrame, scratch: Scratch, group: str, order: list[str | Column], sums: dict[str, str | int]) -> DataFrame:
+def sums_before(df: DataFrame, scratch: Scratch, group: str, order: list[str | Column], sums: dict[str, str | int], mapped: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Add long columns: each name of ``sums`` is the sum of its column (or of a
     number) over the rows of the same group that come earlier in ``order``.
 
     Rows are sorted by range of (group, order), so a large group lies in many
     tasks; each task writes its rows with the sums inside the task. A group that
     crosses tasks gets the totals of the tasks before, at most two rows a task
-    in all. Nulls sort first; a null group is a group. Rows equal in group and
+    in all. ``mapped`` is a map of sorted rows, in their order, that may make the
+    summed columns. Nulls sort first; a null group is a group. Rows equal in group and
     order should be equal in all columns, or either may come first.
     """
     names = list(sums)
@@ -49,7 +50,8 @@ def sums_before(df: DataFrame, scratch: Scratch, group: str, order: list[str | C
             last = keys.slice(len(keys) - 1, 1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, task, np.int32)), *out], names=[*batch.schema.names, "_range", *names])
 
-    placed = scratch.table(df.orderBy(group, *order).mapInArrow(run, _ddl(df, {"_range": "int"} | {n: "bigint" for n in names})), "ordered")
+    df = mapped(df.orderBy(group, *order))
+    placed = scratch.table(df.mapInArrow(run, _ddl(df, {"_range": "int"} | {n: "bigint" for n in names})), "ordered")
     ends = placed.groupBy("_range", F.col(group).alias("_group")).agg(*[(F.count("*") * w if isinstance(w, int) else F.sum(w)).alias(f"_{n}") for n, w in sums.items()])
     ends = scratch.table(ends, "ends")
     crossing = ends.groupBy("_group").agg(F.count("*").alias("_tasks")).where("_tasks > 1").select(F.col("_group").alias("_crossing"))
