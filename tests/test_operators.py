@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trialloom.functions import text as tx
+from trialloom.functions import pairing
 from trialloom.operators import datasets as ds
 from trialloom.operators import evaluation as ev
 from trialloom.operators import knowledge as kn
@@ -157,9 +158,9 @@ def test_block_scores_equal_join(spark):
 
 
 def test_all_pairs_by_blocks(spark, monkeypatch):
-    monkeypatch.setattr(rt, "BROADCAST_BYTES", 3)
-    monkeypatch.setattr(rt, "BLOCK_ROWS", 4)
-    got = rt.all_pairs(spark.range(11).selectExpr("id as a"), spark.range(9).selectExpr("id as b"))
+    monkeypatch.setattr(pairing, "BROADCAST_BYTES", 3)
+    monkeypatch.setattr(pairing, "BLOCK_ROWS", 4)
+    got = pairing.all_pairs(spark.range(11).selectExpr("id as a"), spark.range(9).selectExpr("id as b"))
     assert sorted(map(tuple, got.collect())) == [(a, b) for a in range(11) for b in range(9)]
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from trialloom.functions.numbering import number_rows
 from trialloom.functions.text import seeded_uniform
+from trialloom.functions import pairing
 from trialloom.operators import evaluation as ev
 from trialloom.operators import preference as pr
 from trialloom.operators import retrieval as rt
@@ -75,10 +76,10 @@ def test_numbers_and_samples(spark):
 def test_pairs_in_blocks(spark, monkeypatch):
     q = spark.createDataFrame([(i, "q" * i) for i in range(30)], "query_id int, query string")
     k = spark.createDataFrame([(i, "k" * i) for i in range(50)], "key_id int, key string")
-    expected = sorted(map(tuple, rt.all_pairs(q, k).select("query_id", "key_id").collect()))
-    monkeypatch.setattr(rt, "BROADCAST_BYTES", 10)
-    monkeypatch.setattr(rt, "BLOCK_BYTES", 300)
-    assert sorted(map(tuple, rt.all_pairs(q, k).select("query_id", "key_id").collect())) == expected and len(expected) == 1500
+    expected = sorted(map(tuple, pairing.all_pairs(q, k).select("query_id", "key_id").collect()))
+    monkeypatch.setattr(pairing, "BROADCAST_BYTES", 10)
+    monkeypatch.setattr(pairing, "BLOCK_BYTES", 300)
+    assert sorted(map(tuple, pairing.all_pairs(q, k).select("query_id", "key_id").collect())) == expected and len(expected) == 1500
 
 
 def test_page_text(spark, sf_dir):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trialloom.functions.folders import scratch
 from trialloom.functions.text import filled, first_filled, json_candidates, round2, seeded_order, strip
 
 ARMS = ("no_klg", "klg")
@@ -226,19 +227,40 @@ def iteration_report(samples: DataFrame, key: str, iteration: str, passed: str,
 
 
 def flatten_attempts(nodes: DataFrame, levels: int = 100, node: str = "node", parent: str = "parent") -> DataFrame:
-    """Leaves of a tree given as rows (node, parent): (root, leaf, path). Roots have a null parent.
-
-    One join a level, until a level is empty; a tree deeper than ``levels``, or a circle below a root, is an error."""
-    inner = nodes.where(F.col(parent).isNotNull()).select(F.col(parent).alias("leaf"), F.col(node).alias("_child"))
-    front = nodes.where(F.col(parent).isNull()).select(F.col(node).alias("root"), F.col(node).alias("leaf"), F.array(node).alias("path"))
-    leaves = None
-    for level in range(levels + 2):
-        if level and front.isEmpty():
-            return leaves
-        done = front.join(inner.select("leaf").distinct(), "leaf", "left_anti").select("root", "leaf", "path")
-        leaves = done if leaves is None else leaves.unionByName(done)
-        front = front.join(inner, "leaf").select("root", F.col("_child").alias("leaf"), F.concat("path", F.array("_child")).alias("path"))
-    raise ValueError(f"the tree is deeper than {levels} levels")
+    """Leaves of a forest given as rows (node, parent): (root, leaf, path). Roots have a null parent.
+
+    Pointers are doubled: round k joins each node's ancestor 2^k steps up with
+    its own, and gives each leaf the ancestors twice as far up, so rounds grow
+    with the logarithm of the depth, and each reads only the tables that the
+    round before has written. Rows are at most those of all paths. A tree deeper
+    than ``levels`` steps, a circle, and a node with two parents are errors;
+    leaves whose line ends at a parent that is no node are left out."""
+    spark = nodes.sparkSession
+    path = scratch(spark, "attempts")
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{path}/{name}")
+        return spark.read.parquet(f"{path}/{name}")
+
+    every = written(nodes.select(F.col(node).alias("node"), F.col(parent).alias("up")), "nodes")
+    if not every.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        raise ValueError("a node has several rows")
+    jump = every.where("up is not null")
+    at = every.join(jump.select(F.col("up").alias("node")).distinct(), "node", "left_anti").select(F.col("node").alias("leaf"), F.lit(0).cast("long").alias("d"), "node")
+    step, k = 1, 0
+    while not jump.isEmpty():
+        if step > levels:
+            raise ValueError(f"the tree is deeper than {levels} levels, or has a circle")
+        above = at.join(jump, "node").select("leaf", (F.col("d") + step).alias("d"), F.col("up").alias("node"))
+        at = written(at.unionByName(above), f"lines-{k}")
+        over = jump.select(F.col("node").alias("up"), F.col("up").alias("_over"))
+        jump = written(jump.join(over, "up").select("node", F.col("_over").alias("up")), f"jump-{k}")
+        step, k = step * 2, k + 1
+    depth = at.agg(F.max("d")).first()[0]
+    if depth is not None and depth > levels:
+        raise ValueError(f"the tree is deeper than {levels} levels")
+    lines = at.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("d")).alias("d"), "node"))), lambda x: x.node).alias("path"))
+    return lines.join(every.where("up is null").select(F.col("node").alias("root")), F.col("path")[0] == F.col("root")).select("root", "leaf", "path")
 
 
 def all_wrong_nodes(samples: DataFrame, node: str, correct: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialloom.functions.numbering import number_rows
+from trialloom.functions.pairing import all_pairs
 from trialloom.functions.text import filled, first_filled, json_candidates, seeded_order, strip
 
 ANY_AGENT = "*"
@@ -87,9 +88,11 @@ def agent_candidates(pool: DataFrame, agents: DataFrame, k: int | None = None, s
     """For each agent its own entries, then those of every agent: (for_agent, place, id, text).
 
     ``pool`` has ``ord``; a missing id becomes the place. With ``k``, k entries are drawn in hashed
-    order. Two equi-joins, not a join on a disjunction."""
+    order. Two joins, not one on a disjunction; shared entries meet agents through ``all_pairs``, which
+    broadcasts a side of few bytes or deals both to blocks."""
     own = pool.join(agents.select(F.col("agent")), "agent").select(F.col("agent").alias("for_agent"), F.lit(0).alias("_own"), "ord", "id", "text")
-    shared = pool.where(F.col("agent") == ANY_AGENT).crossJoin(agents.where(F.col("agent") != ANY_AGENT).select(F.col("agent").alias("for_agent"))).select("for_agent", F.lit(1).alias("_own"), "ord", "id", "text")
+    every = pool.where(F.col("agent") == ANY_AGENT).select("ord", "id", "text")
+    shared = all_pairs(agents.where(F.col("agent") != ANY_AGENT).select(F.col("agent").alias("for_agent")), every).select("for_agent", F.lit(1).alias("_own"), "ord", "id", "text")
     w = Window.partitionBy("for_agent").orderBy("_own", "ord")
     out = own.unionByName(shared).withColumn("place", F.row_number().over(w)).withColumn("id", F.coalesce("id", F.col("place").cast("long")))
     if k is not None:

@@ -5,20 +5,65 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trialloom.functions.folders import scratch
+from trialloom.functions.numbering import number_within
 from trialloom.functions.text import filled, seeded_order, strip
 
 SCORE_SUFFIX = "Query-Key Relevance Score:"
 
 
-def comparison_pairs(scores: DataFrame, group: str = "group", idx: str = "idx", score: str = "score", threshold: float = 0.5) -> DataFrame:
+#: Members of a group that are paired within one task's tile; larger groups are cut.
+TILE = 1024
+
+
+def comparison_pairs(scores: DataFrame, group: str = "group", idx: str = "idx", score: str = "score", threshold: float = 0.5, tile: int = TILE) -> DataFrame:
     """Rows (group, i, j, winner, loser) for all i < j of a group whose scores differ by more than the threshold.
 
-    The join carries only index and score; null scores make no pair. Spark splits large groups at run time."""
-    a = scores.where(F.col(score).isNotNull()).select(group, F.col(idx).alias("i"), F.col(score).alias("si"))
-    b = scores.where(F.col(score).isNotNull()).select(group, F.col(idx).alias("j"), F.col(score).alias("sj"))
-    pairs = a.join(b, group).where((F.col("i") < F.col("j")) & (F.abs(F.col("si") - F.col("sj")) > threshold))
-    first = F.col("si") > F.col("sj")
-    return pairs.select(group, "i", "j", F.when(first, F.col("i")).otherwise(F.col("j")).alias("winner"), F.when(first, F.col("j")).otherwise(F.col("i")).alias("loser"))
+    The join carries only index and score; null scores and null groups make no
+    pair. A group of more than ``tile`` members is cut by rank of score into
+    tiles of as many members; pairs of tiles are joined, each by a key of its
+    own, and tiles whose scores all lie within the threshold are left out. So a
+    group of any size is paired by many tasks, and members of equal score cost
+    nothing."""
+    known = scores.where(F.col(score).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("_g"), F.col(idx).alias("_i"), F.col(score).alias("_s"))
+    large = known.groupBy("_g").agg(F.count("*").alias("_n")).where(F.col("_n") > tile).select("_g")
+    if large.isEmpty():
+        return _pairs(known.withColumn("_t", F.lit(0)), known.withColumn("_t", F.lit(0)), group, threshold)
+    path = scratch(scores.sparkSession, "tiles")
+    large.write.parquet(f"{path}/large")
+    large = scores.sparkSession.read.parquet(f"{path}/large")
+    small = known.join(large, "_g", "left_anti").withColumn("_t", F.lit(0))
+    ranked = number_within(known.join(large, "_g", "left_semi"), "_r", ["_g"], "_s", "_i")
+    ranked.withColumn("_k", F.floor((F.col("_r") - 1) / tile)).select("_g", "_i", "_s", "_k").write.parquet(f"{path}/members")
+    members = scores.sparkSession.read.parquet(f"{path}/members")
+    tiles = members.groupBy("_g", "_k").agg(F.min("_s").alias("_low"), F.max("_s").alias("_high"))
+    low, high = tiles.select("_g", F.col("_k").alias("_a"), "_low"), tiles.select("_g", F.col("_k").alias("_b"), "_high")
+    # tiles are in order of score: the greatest difference is from the lower tile's least to the upper one's greatest
+    met = low.join(high, "_g").where((F.col("_a") <= F.col("_b")) & (F.col("_high") - F.col("_low") > threshold)).select("_g", "_a", "_b")
+    named = F.concat_ws(":", "_a", "_b").alias("_t")
+    left = members.join(met.withColumnRenamed("_a", "_k").withColumn("_a", F.col("_k")), ["_g", "_k"]).select("_g", "_i", "_s", named, (F.col("_a") == F.col("_b")).alias("_same"))
+    right = members.join(met.withColumnRenamed("_b", "_k").withColumn("_b", F.col("_k")), ["_g", "_k"]).select("_g", "_i", "_s", named)
+    return _pairs(small, small, group, threshold).unionByName(_tile_pairs(left, right, group, threshold))
+
+
+def _pairs(a: DataFrame, b: DataFrame, group: str, threshold: float) -> DataFrame:
+    b = b.select("_g", "_t", F.col("_i").alias("_j"), F.col("_s").alias("_sj"))
+    pairs = a.join(b, ["_g", "_t"]).where((F.col("_i") < F.col("_j")) & (F.abs(F.col("_s") - F.col("_sj")) > threshold))
+    return _winners(pairs, group)
+
+
+def _tile_pairs(a: DataFrame, b: DataFrame, group: str, threshold: float) -> DataFrame:
+    """Pairs of a lower and an upper tile's members in either order of index; within one tile by index."""
+    b = b.select("_g", "_t", F.col("_i").alias("_j"), F.col("_s").alias("_sj"))
+    pairs = a.join(b, ["_g", "_t"]).where(F.when(F.col("_same"), F.col("_i") < F.col("_j")).otherwise(F.col("_i") != F.col("_j")) & (F.abs(F.col("_s") - F.col("_sj")) > threshold))
+    turned = F.col("_i") > F.col("_j")
+    pick = lambda x, y: F.when(turned, F.col(y)).otherwise(F.col(x))
+    return _winners(pairs.select("_g", pick("_i", "_j").alias("_i"), pick("_j", "_i").alias("_j"), pick("_s", "_sj").alias("_s"), pick("_sj", "_s").alias("_sj")), group)
+
+
+def _winners(pairs: DataFrame, group: str) -> DataFrame:
+    first = F.col("_s") > F.col("_sj")
+    return pairs.select(F.col("_g").alias(group), F.col("_i").alias("i"), F.col("_j").alias("j"), F.when(first, F.col("_i")).otherwise(F.col("_j")).alias("winner"), F.when(first, F.col("_j")).otherwise(F.col("_i")).alias("loser"))
 
 
 def merge_pairs(given: DataFrame, scores: DataFrame, group: str = "group", idx: str = "idx", score: str = "score") -> DataFrame:
@@ -60,12 +105,20 @@ def group_trials(trials: DataFrame, index_map: DataFrame, cache: DataFrame, file
     return out.select("problem_id", (F.row_number().over(w) - 1).alias("idx"), "run_id", "score", F.coalesce("_c", "_f").alias("n_steps"), F.when(F.col("_c").isNotNull(), "cache").otherwise("files").alias("source"))
 
 
-def nested_groups(grouped: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The sink's shape: one row a problem with messages, comparison and scores in order."""
-    m = grouped.groupBy("problem_id").agg(F.array_sort(F.collect_list(F.struct("idx", "run_id", "score", "n_steps"))).alias("m"))
-    p = pairs.groupBy("problem_id").agg(F.array_sort(F.collect_list(F.struct("i", "j", "winner", "loser"))).alias("p"))
-    return m.join(p, "problem_id", "left").select(
-        "problem_id", F.transform("m", lambda x: F.struct(x.run_id.alias("run_id"), x.score.alias("score"), x.n_steps.alias("n_steps"))).alias("messages"),
+def nested_groups(grouped: DataFrame, pairs: DataFrame, pairs_a_row: int = 100_000) -> DataFrame:
+    """The sink's shape: (problem_id, part, first, messages, comparison, scores), in order.
+
+    A problem is one row (part 0) unless that could hold more than
+    ``pairs_a_row`` pairs; then its members are dealt to parts by index, each
+    with the pairs whose lesser index is its own, and ``first`` is the index of a
+    part's first member. Indices of pairs count in the whole problem."""
+    sizes = grouped.groupBy("problem_id").agg(F.count("*").alias("_n"))
+    members = F.greatest(F.lit(1), F.floor(F.lit(pairs_a_row) / F.col("_n")))
+    part = lambda c: F.when(F.col("_n") * (F.col("_n") - 1) / 2 <= pairs_a_row, F.lit(0)).otherwise(F.floor(F.col(c) / members)).cast("long").alias("part")
+    m = grouped.join(sizes, "problem_id").groupBy("problem_id", part("idx")).agg(F.min("idx").alias("first"), F.array_sort(F.collect_list(F.struct("idx", "run_id", "score", "n_steps"))).alias("m"))
+    p = pairs.join(sizes, "problem_id").groupBy("problem_id", part("i")).agg(F.array_sort(F.collect_list(F.struct("i", "j", "winner", "loser"))).alias("p"))
+    return m.join(p, ["problem_id", "part"], "left").select(
+        "problem_id", "part", "first", F.transform("m", lambda x: F.struct(x.run_id.alias("run_id"), x.score.alias("score"), x.n_steps.alias("n_steps"))).alias("messages"),
         F.coalesce(F.transform("p", lambda x: F.array(x.winner, x.loser)), F.array().cast("array<array<int>>")).alias("comparison"), F.transform("m", lambda x: x.score).alias("scores"),
     )
 
@@ -96,20 +149,30 @@ def rank_prompt(query: Column, key: Column, tags: Column | None = None) -> Colum
     return prompt_of_blocks(query_block(query), key_block(key, tags))
 
 
+def deal_order(seed: int, *keys: str) -> Column:
+    """A draw of keys that any engine with MD5 can repeat."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]))
+
+
 def balanced_batches(items: DataFrame, problem: str, msg: str, step: str, n: int, seed: int = 0) -> DataFrame:
     """Rows (problem, batch, slot, msg, step, repeat): batches of exactly n (msg, step) pairs that use every pair.
 
-    Pairs are dealt round by round over a problem's messages, in hashed order, so that
-    messages share a batch about equally; the last batch is filled from the problem's first pairs."""
-    in_msg = Window.partitionBy(problem, msg).orderBy(seeded_order(seed, problem, msg, step), step)
-    in_problem = Window.partitionBy(problem).orderBy("_round", seeded_order(seed + 1, problem, msg), msg, step)
-    ranked = items.select(problem, msg, step).withColumn("_round", F.row_number().over(in_msg)).withColumn("_rn", F.row_number().over(in_problem) - 1)
-    ranked = ranked.withColumn("_n", F.count("*").over(Window.partitionBy(problem)))
+    Pairs are dealt round by round: a round takes one unused pair of each
+    message that still has some, messages and their steps in drawn order
+    (``deal_order``). So the messages of a batch that are not used up differ by
+    one pair at most. The last batch is filled with the problem's first pairs,
+    which it does not hold, and with repeats if there are no others.
+
+    Both numbers, a pair's round within its message and its place within its
+    problem, come from ranges of sorted rows, so a problem or a message of any
+    size is dealt by many tasks."""
+    rounds = number_within(items.select(problem, msg, step), "_round", [problem, msg], deal_order(seed, problem, msg, step), step)
+    placed = number_within(rounds, "_rn", [problem], "_round", deal_order(seed + 1, problem, msg), msg, step, total="_n").withColumn("_rn", F.col("_rn") - 1)
     short = F.pmod(-F.col("_n"), F.lit(n))
     # the pair at place r stands in for places n_pairs + r, + n_pairs ... of the last batch
     again = F.when(F.col("_rn") < short, F.sequence(F.lit(0), F.floor((short - 1 - F.col("_rn")) / F.col("_n")).cast("int"))).otherwise(F.array().cast("array<int>"))
-    places = F.concat(F.array(F.col("_rn")), F.transform(again, lambda k: (F.col("_n") + F.col("_rn") + k * F.col("_n")).cast("int")))
-    out = ranked.select(problem, msg, step, "_n", F.explode(places).alias("_p"))
+    places = F.concat(F.array(F.col("_rn")), F.transform(again, lambda k: F.col("_n") + F.col("_rn") + k * F.col("_n")))
+    out = placed.select(problem, msg, step, "_n", F.explode(places).alias("_p"))
     return out.select(problem, F.floor(F.col("_p") / n).alias("batch"), (F.col("_p") % n).alias("slot"), msg, step, (F.col("_p") >= F.col("_n")).alias("repeat"))
 
 
@@ -204,17 +267,55 @@ def pair_loss_accuracy(groups: DataFrame, pairs: DataFrame, rewards: DataFrame,
     )
 
 
+#: Scores are summed as exp(s - STEP * bin), bin being the whole steps of s, so sums of bins never overflow and can be merged.
+STEP = 256
+
+
+def _bin(c: str) -> Column:
+    return F.coalesce(F.floor(F.col(c) / STEP), F.lit(0))
+
+
+def _log_sum(bins: Column, part: str) -> Column:
+    """Log of the sum over bins of part * exp(STEP * bin); bins far below the greatest vanish, as they do in the sum itself."""
+    top = F.array_max(F.transform(F.filter(bins, lambda x: x[part] > 0), lambda x: x["bin"]))
+    total = F.aggregate(bins, F.lit(0.0), lambda a, x: a + x[part] * F.exp((x["bin"] - top).cast("double") * STEP))
+    return F.log(total) + top * STEP
+
+
 def group_log_softmax(df: DataFrame, group: str, score: str, output: str = "log_p") -> DataFrame:
-    """Add the log-softmax of a group's scores; a group with a null score gets 0.0 throughout."""
-    s = df.groupBy(group).agg(F.max(score).alias("_x"), F.count(score).alias("_n"), F.count("*").alias("_all"))
-    z = df.join(s, group, "left")
-    total = z.groupBy(group).agg(F.sum(F.exp(F.col(score) - F.col("_x"))).alias("_s"))
-    out = z.join(total, group, "left")
-    return out.withColumn(output, F.when(F.col("_n") == F.col("_all"), F.col(score) - F.col("_x") - F.log("_s")).otherwise(0.0)).drop("_x", "_n", "_all", "_s")
+    """Add the log-softmax of a group's scores; a group with a null score gets 0.0 throughout.
+
+    Sums are merged from partial ones of each group and step of score, then
+    joined once; a group is never in one task, and scores of any size are safe."""
+    part = df.groupBy(F.col(group).alias("_g"), _bin(score).alias("bin")).agg(F.sum(F.exp(F.col(score) - _bin(score) * STEP)).alias("sum"), F.count_if(F.col(score).isNull()).alias("_none"))
+    sums = part.groupBy("_g").agg(F.collect_list(F.struct("bin", F.coalesce("sum", F.lit(0.0)).alias("sum"))).alias("_bins"), F.sum("_none").alias("_none"))
+    sums = sums.select("_g", F.when(F.col("_none") == 0, _log_sum(F.col("_bins"), "sum")).alias("_z"))
+    out = df.join(sums, F.col(group).eqNullSafe(F.col("_g")), "left")
+    return out.withColumn(output, F.coalesce(F.col(score) - F.col("_z"), F.lit(0.0))).drop("_g", "_z")
 
 
 def group_kl(df: DataFrame, group: str, score: str, reference: str) -> DataFrame:
-    """One row: sum of p (log p - log ref) per group, averaged over the groups with a reference."""
-    both = group_log_softmax(group_log_softmax(df, group, score, "_p"), group, reference, "_q")
-    per = both.groupBy(group).agg(F.sum(F.exp("_p") * (F.col("_p") - F.col("_q"))).alias("kl"), F.min(F.col(reference).isNotNull()).alias("has"))
-    return per.where("has").agg(F.coalesce(F.avg("kl"), F.lit(0.0)).alias("kl"), F.count("*").alias("groups"))
+    """One row: sum of p (log p - log ref) per group, averaged over the groups with a reference.
+
+    p and ref are softmaxes of scores and references. Per group the sum is the
+    mean under p of score - reference, less the log of the scores' sum of
+    exponentials, plus that of the references', so partial sums of each group
+    and step suffice: no row is joined. A group with a null score has log p = 0
+    for all rows, as in ``group_log_softmax``."""
+    s, q = F.col(score), F.col(reference)
+    weight = F.exp(s - _bin(score) * STEP)
+    part = df.groupBy(F.col(group).alias("_g"), _bin(score).alias("bin"), _bin(reference).alias("_q")).agg(
+        F.sum(weight).alias("p"), F.sum(weight * s).alias("ps"), F.sum(weight * q).alias("pq"), F.sum(F.exp(q - _bin(reference) * STEP)).alias("r"),
+        F.sum(q).alias("total"), F.count("*").alias("n"), F.count_if(s.isNull()).alias("no_p"), F.count_if(q.isNull()).alias("no_q"),
+    )
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    per = part.groupBy("_g").agg(
+        F.collect_list(F.struct("bin", zero("p"), zero("ps"), zero("pq"))).alias("_p"), F.collect_list(F.struct(F.col("_q").alias("bin"), zero("r"))).alias("_r"),
+        F.sum("total").alias("total"), F.sum("n").alias("n"), F.sum("no_p").alias("no_p"), F.sum("no_q").alias("no_q"),
+    )
+    top = F.array_max(F.transform(F.filter("_p", lambda x: x.p > 0), lambda x: x.bin))
+    mean = lambda c: F.aggregate("_p", F.lit(0.0), lambda a, x: a + x[c] * F.exp((x.bin - top).cast("double") * STEP)) / F.aggregate("_p", F.lit(0.0), lambda a, x: a + x.p * F.exp((x.bin - top).cast("double") * STEP))
+    soft = mean("ps") - mean("pq") - _log_sum(F.col("_p"), "p") + _log_sum(F.col("_r"), "r")
+    flat = F.col("n") * _log_sum(F.col("_r"), "r") - F.col("total")  # p = 1 for every row
+    kl = per.where("no_q = 0").select(F.when(F.col("no_p") == 0, soft).otherwise(flat).alias("kl"))
+    return kl.agg(F.coalesce(F.avg("kl"), F.lit(0.0)).alias("kl"), F.count("*").alias("groups"))

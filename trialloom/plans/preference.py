@@ -80,23 +80,28 @@ def converted_groups(spark, sf_dir):
     return nested.select("problem_id", F.transform("messages", lambda m: m.run_id).alias("runs"), "scores", "comparison")
 
 
-_BATCH = "SELECT l_partkey % 50 AS problem, l_orderkey AS msg, l_linenumber AS step FROM lineitem"
+#: Half of the table is one problem.
+_BATCH = """i AS (SELECT CASE WHEN l_partkey % 2 = 0 THEN 0 ELSE l_partkey % 50 END AS problem, l_orderkey AS msg, l_linenumber AS step FROM lineitem),
+  r AS (SELECT *, row_number() OVER (PARTITION BY problem, msg ORDER BY md5(concat_ws(':', 1, problem, msg, step)), step) AS round FROM i),
+  o AS (SELECT *, row_number() OVER (PARTITION BY problem ORDER BY round, md5(concat_ws(':', 2, problem, msg)), msg, step) - 1 AS rn, count(*) OVER (PARTITION BY problem) AS n FROM r),
+  b AS (SELECT problem, rn // 10 AS batch, rn % 10 AS slot, msg, step, false AS "repeat" FROM o
+    UNION ALL SELECT problem, (n + rn + k * n) // 10, (n + rn + k * n) % 10, msg, step, true FROM o, range(10) x(k) WHERE rn + k * n < (10 - n % 10) % 10)"""
 
 
 def _batches(spark, sf_dir):
-    items = read(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 50).alias("problem"), F.col("l_orderkey").alias("msg"), F.col("l_linenumber").alias("step"))
+    problem = F.when(F.col("l_partkey") % 2 == 0, 0).otherwise(F.col("l_partkey") % 50).alias("problem")
+    items = read(spark, sf_dir, "lineitem").select(problem, F.col("l_orderkey").alias("msg"), F.col("l_linenumber").alias("step"))
     return pr.balanced_batches(items, "problem", "msg", "step", 10, seed=1)
 
 
-@query(f"WITH i AS ({_BATCH}), p AS (SELECT problem, count(*) AS n FROM i GROUP BY 1) SELECT problem, ceil(n / 10)::BIGINT AS batches, n AS used, (10 * ceil(n / 10) - n)::BIGINT AS repeats, 10::BIGINT AS smallest, 10::BIGINT AS largest FROM p")
+@query(f"WITH {_BATCH} SELECT * FROM b")
 def balanced_batches(spark, sf_dir):
-    b = _batches(spark, sf_dir).groupBy("problem", "batch").agg(F.count("*").alias("n"), F.count_if(~F.col("repeat")).alias("fresh"))
-    return b.groupBy("problem").agg(F.count("*").alias("batches"), F.sum("fresh").alias("used"), F.sum(F.col("n") - F.col("fresh")).alias("repeats"), F.min("n").alias("smallest"), F.max("n").alias("largest"))
+    return _batches(spark, sf_dir)
 
 
-@query(f"""WITH i AS ({_BATCH}) SELECT problem, count(*) AS slots FROM (SELECT problem, ceil(count(*) / 10) AS b FROM i GROUP BY 1), generate_series(1, (10 * b)::BIGINT) GROUP BY 1""")
+@query(f"WITH {_BATCH} SELECT problem, batch, msg, list(slot ORDER BY slot) AS slots FROM b GROUP BY 1, 2, 3")
 def batch_groups(spark, sf_dir):
-    return pr.batch_groups(_batches(spark, sf_dir), "problem", "msg").groupBy("problem").agg(F.sum(F.size("slots")).alias("slots"))
+    return pr.batch_groups(_batches(spark, sf_dir), "problem", "msg")
 
 
 @query("SELECT split, n FROM (SELECT 'train' AS split, floor(count(*) * 0.9)::BIGINT AS n FROM orders UNION ALL SELECT 'test', count(*) - floor(count(*) * 0.9)::BIGINT FROM orders)")
