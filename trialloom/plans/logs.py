@@ -143,7 +143,7 @@ def _results(spark, sf_dir):
     """Result documents of a bounded number of trials each; a problem with many trials is in several."""
     e = read(spark, sf_dir, "events")
     parts = F.pmod(F.xxhash64("event_id"), F.lit(max(1, e.count() // 2000)))
-    t = F.struct(F.col("event_id").alias("trial"), F.concat(F.lit("r"), "event_id").alias("run_id"), F.round("value", 1).alias("score"))
+    t = F.struct(F.col("event_id").alias("trial"), F.concat(F.lit("r"), "event_id").alias("run_id"), F.round("value", 1).alias("score"), F.when(~F.col("event_type").isin("click", "view"), F.array(F.struct(F.lit(1).alias("step"), (F.col("event_id") % 50).alias("id"), F.concat(F.lit("text } of "), "event_type").alias("text")))).alias("knowledge_used"))
     no = F.col("event_type").isin("click", "view")
     d = e.groupBy(parts.alias("part"), F.col("user_id").cast("string").alias("id")).agg(F.collect_list(F.when(no, t)).alias("no_klg_trials"), F.collect_list(F.when(~no, t)).alias("klg_trials"))
     history = F.when(F.col("event_id") % 4 == 1, F.lit("text")).otherwise(F.lit("[]"))
@@ -171,6 +171,26 @@ def read_run_cache(spark, sf_dir):
     return _read_results(spark, sf_dir)[1].select("run_id", "entry_id", "run_name", "output")
 
 
+@query("SELECT user_id::VARCHAR AS problem_id, event_id::INTEGER AS trial, round(value, 1) AS score, 1 AS step, (event_id % 50)::VARCHAR AS knowledge_id, 'text } of ' || event_type AS text FROM events WHERE event_type NOT IN ('click', 'view')")
+def read_result_knowledge(spark, sf_dir):
+    """What the trials of result files used."""
+    path = scratch(spark, "results")
+    _results(spark, sf_dir).write.option("maxRecordsPerFile", 1).partitionBy("part").text(path)
+    return src.result_knowledge(src.read_result_objects(spark, path)).select("problem_id", "trial", "score", "step", "knowledge_id", "text")
+
+
+@query("SELECT 'r' || user_id AS run_id, count(*) AS tokens, floor(epoch(min(ts)))::BIGINT AS started, floor(epoch(max(ts)))::BIGINT AS ended FROM events GROUP BY user_id")
+def read_meta(spark, sf_dir):
+    """A document a run, in a folder of its own."""
+    path = scratch(spark, "meta")
+    runs = read(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b"))
+    seconds = lambda c: F.unix_seconds(F.col(c).cast("timestamp")).cast("double")
+    meta = F.struct(F.concat(F.lit("r"), "user_id").alias("run_id"), F.struct(seconds("a").alias("started_at"), seconds("b").alias("completed_at")).alias("timings"), F.create_map(F.lit("total_tokens"), "n").alias("usage"))
+    runs.repartition(8, (F.col("user_id") % 64)).select(F.to_json(meta).alias("value"), F.concat(F.lit("run-"), "user_id").alias("folder")).write.partitionBy("folder").text(path)
+    m = src.read_meta(spark, path, "folder=run-*/*.txt")
+    return m.select("run_id", F.col("usage")["total_tokens"].alias("tokens"), F.col("timings.started_at").cast("long").alias("started"), F.col("timings.completed_at").cast("long").alias("ended"))
+
+
 @query("SELECT 'train' AS split, count(*) AS n FROM orders WHERE o_orderkey % 10 <> 0 UNION ALL SELECT 'test', count(*) FROM orders WHERE o_orderkey % 10 = 0")
 def write_training_sets(spark, sf_dir):
     a, b = scratch(spark, "train"), scratch(spark, "test")

@@ -6,22 +6,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trialloom.functions.folders import scratch
+from trialloom.functions.numbering import number_within
 from trialloom.functions.text import filled, first_filled, int_text, strip
 from trialloom.operators.knowledge import parse_tags
+from trialloom.sources.ranges import json_elements, read_csv_ranges
 
 TEXT_KEYS = ("knowledge", "text", "content", "value")
 OWN_KEYS = ("agent", "name", *TEXT_KEYS, "tags", "id")
 STEP_SCHEMA = "step int, agent string, result string, time double, knowledge string, knowledge_id string"
 USAGE_SCHEMA = "timestamp long, model string, prompt_tokens long, completion_tokens long, total_tokens long"
 _MESSAGE = "struct<role:string, content:string, name:string, code:string, agent:string, knowledge:string, knowledge_id:string, log:string>"
-_TRIAL = "struct<trial:int, run_name:string, run_id:string, score:double, score_feedback:string, output:string>"
-RESULTS_SCHEMA = f"struct<detail:array<struct<id:string, problem:string, no_klg_trials:array<{_TRIAL}>, klg_trials:array<{_TRIAL}>>>, run_cache:map<string,struct<run_id:string, output:string, saved_at:string, msg_history:string>>>"
-
-
-def _numbered(df: DataFrame) -> DataFrame:
-    """Add file and the row's number in it. A multi-line file is read by one task, in order."""
-    at = df.withColumn("_file", F.col("_metadata.file_path")).withColumn("_at", F.monotonically_increasing_id())
-    return at.withColumn("row_index", F.row_number().over(Window.partitionBy("_file").orderBy("_at")))
+_TRIAL = "struct<trial:int, run_name:string, run_id:string, score:double, score_feedback:string, output:string, knowledge_used:array<struct<step:int, id:string, text:string>>>"
+_SCORES = ", ".join(f"{n}:double" for n in ("no_klg_mean_score", "klg_mean_score", "no_klg_max_score", "klg_max_score", "no_klg_min_score", "klg_min_score", "mean_score_improvement", "max_score_improvement", "min_score_improvement"))
+PROBLEM_SCHEMA = f"struct<id:string, problem:string, no_klg_trials:array<{_TRIAL}>, klg_trials:array<{_TRIAL}>, {_SCORES}>"
+CACHED_SCHEMA = "struct<run_id:string, output:string, saved_at:string, msg_history:string>"
 
 
 def _csv(spark: SparkSession, path: str) -> DataFrame:
@@ -42,17 +40,19 @@ def _entry(values: Column, row: Column, csv: bool) -> list[Column]:
 def read_knowledge(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Entries (id, agent, text, tags, meta) of csv, json or jsonl files; rows lacking agent or text go.
 
-    A csv row without id gets its 1-based number, counted before rows go."""
+    A csv row without id gets its 1-based number, counted before rows go. A json document is a list, or
+    has one under ``knowledge`` or ``entries``. Large csv and json files are read by many tasks."""
     if kind == "csv":
-        raw = _numbered(_csv(spark, path))
+        raw = read_csv_ranges(spark, path)
         fields = [c for c in raw.columns if not c.startswith("_") and c != "row_index"]
         values = F.map_from_arrays(F.array(*[F.lit(c) for c in fields]), F.array(*[F.col(f"`{c}`") for c in fields]))
         rows = raw.select(values.alias("v"), "row_index")
     elif kind == "json":
-        text = spark.read.text(path, wholetext=True)
-        inner = F.coalesce(F.get_json_object("value", "$.knowledge"), F.get_json_object("value", "$.entries"), F.col("value"))
-        items = F.from_json(F.when(strip(inner).startswith("["), inner), "array<map<string,string>>")
-        rows = text.select(F.posexplode(items).alias("_p", "v")).select("v", (F.col("_p") + 1).alias("row_index"))
+        found = json_elements(spark, path).where("section is null or (section in ('knowledge', 'entries') and key is null)")
+        # entries under "knowledge", if a document has both
+        has = found.groupBy(F.col("file").alias("_f")).agg(F.max(F.coalesce(F.col("section") == "knowledge", F.lit(False))).alias("_k"))
+        found = found.join(has, F.col("file") == F.col("_f")).where("section is null or not _k or section = 'knowledge'")
+        rows = found.select(F.from_json("value", "map<string,string>").alias("v"), F.lit(None).cast("int").alias("row_index")).where("v is not null")
     elif kind == "jsonl":
         rows = spark.read.text(path).select(F.from_json("value", "map<string,string>").alias("v"), F.lit(None).cast("int").alias("row_index")).where("v is not null")
     else:
@@ -62,7 +62,7 @@ def read_knowledge(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 def read_knowledge_pool(spark: SparkSession, path: str) -> DataFrame:
     """Entries (ord, id, agent, text, tags, step) of csv files, the strict way; step is an int or null."""
-    raw = _numbered(_csv(spark, path))
+    raw = read_csv_ranges(spark, path)
     have = lambda c: F.col(f"`{c}`") if c in raw.columns else F.lit(None).cast("string")
     tags = have("tags")
     head = F.substring(strip(tags), 1, 1)
@@ -74,7 +74,7 @@ def read_knowledge_pool(spark: SparkSession, path: str) -> DataFrame:
         "_file", "row_index", have("id").alias("id"), filled(have("agent")).alias("agent"), strip(F.coalesce(F.nullif(have("knowledge"), F.lit("")), have("text"))).alias("text"),
         F.coalesce(listed, other, single, parts).alias("tags"), int_text(have("step")).cast("int").alias("step"),
     ).where("agent is not null and text <> ''")
-    return out.withColumn("ord", F.row_number().over(Window.partitionBy("_file").orderBy("row_index"))).drop("_file", "row_index").select("ord", "id", "agent", "text", "tags", "step")
+    return number_within(out, "ord", ["_file"], "row_index").withColumn("ord", F.col("ord").cast("int")).select("ord", "id", "agent", "text", "tags", "step")
 
 
 def normalize_pool_ids(pool: DataFrame) -> DataFrame:
@@ -117,7 +117,9 @@ def append_to_knowledge(spark: SparkSession, path: str, new: DataFrame) -> None:
 
 def read_messages(spark: SparkSession, runs_dir: str) -> DataFrame:
     """Messages (run_id, seq, role, content, ...) of every run folder's messages.json; what is not an object goes, seq follows the rest."""
-    return parse_messages(spark.read.text(f"{runs_dir}/run-*/messages.json", wholetext=True).withColumn("run_id", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)))
+    found = json_elements(spark, f"{runs_dir}/run-*/messages.json").where("section is null")
+    placed = number_within(found, "seq", ["file"], "start", "n").select(F.element_at(F.split("file", "/"), -2).alias("run_id"), (F.col("seq") - 1).cast("int").alias("seq"), F.from_json("value", _MESSAGE).alias("m"))
+    return placed.select("run_id", "seq", "m.*")
 
 
 def parse_messages(files: DataFrame) -> DataFrame:
@@ -131,7 +133,8 @@ def read_steps(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STEP_SCHEMA).json(path, mode="DROPMALFORMED").withColumn("run_id", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
 
 
-DATASET_SCHEMA = f"schema_version int, run_id string, run_name string, input_messages array<{_MESSAGE}>, final_output string, steps array<struct<step:int, agent:string, result:string, time:double>>"
+_LIMIT = "struct<limit:bigint, consumed:bigint, hit:boolean, last_error:struct<limit:bigint, consumed:bigint>>"
+DATASET_SCHEMA = f"schema_version int, run_id string, run_name string, input_messages array<{_MESSAGE}>, final_output string, steps array<struct<step:int, agent:string, result:string, time:double>>, model_info struct<name:string>, timestamps struct<started:double, ended:double>, token_limit {_LIMIT}"
 
 
 def read_run_dataset(spark: SparkSession, path: str) -> DataFrame:
@@ -142,17 +145,62 @@ def read_run_dataset(spark: SparkSession, path: str) -> DataFrame:
 def read_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(trials, run_cache) of result files: a document with ``detail`` or a bare list of problems.
 
-    Of the cached runs of one id the first whose history is a list counts, by file, then place; blank ids do not."""
-    text = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
-    whole = F.when(strip("value").startswith("["), F.concat(F.lit('{"detail":'), "value", F.lit("}"))).otherwise(F.col("value"))
-    parsed = text.select("file", F.from_json(whole, RESULTS_SCHEMA).alias("r"))
-    detail = parsed.select(F.explode("r.detail").alias("d"))
-    arm = lambda c, name: detail.select(F.col("d.id").alias("problem_id"), F.lit(name).alias("arm"), F.explode(f"d.{c}").alias("t"))
-    trials = arm("no_klg_trials", "no_klg").unionByName(arm("klg_trials", "klg")).select("problem_id", "arm", "t.trial", "t.run_name", "t.run_id", "t.score", F.col("t.score_feedback").alias("feedback"), "t.output")
-    cache = parsed.select("file", F.posexplode("r.run_cache").alias("at", "key", "c")).select("file", "at", F.substring_index("key", "::", 1).alias("entry_id"), F.expr("substring(key, instr(key, '::') + 2)").alias("run_name"), "c.*")
+    Of the cached runs of one id the first whose history is a list counts, by file, then place; blank ids do not.
+    A document is cut into problems and cached runs once, by many tasks if it is large, and both tables are made of these."""
+    found = read_result_objects(spark, path)
+    return result_trials(found), result_cache(found)
+
+
+def read_result_objects(spark: SparkSession, path: str) -> DataFrame:
+    """Problems and cached runs of result files, as a written table (file, start, n, section, key, value)."""
+    held = scratch(spark, "results")
+    json_elements(spark, path).where("section is null or section in ('detail', 'run_cache')").write.parquet(held)
+    return spark.read.parquet(held)
+
+
+def _problems(found: DataFrame) -> DataFrame:
+    return found.where("coalesce(section, 'detail') = 'detail'").select(F.from_json("value", PROBLEM_SCHEMA).alias("d")).where("d is not null")
+
+
+def result_trials(found: DataFrame) -> DataFrame:
+    """Trials (problem_id, arm, trial, run_name, run_id, score, feedback, output, knowledge_used) of result objects."""
+    arms = F.array(*[F.struct(F.lit(name).alias("arm"), F.col(f"d.{c}").alias("trials")) for c, name in (("no_klg_trials", "no_klg"), ("klg_trials", "klg"))])
+    trials = _problems(found).select(F.col("d.id").alias("problem_id"), F.explode(arms).alias("a")).select("problem_id", "a.arm", F.explode("a.trials").alias("t"))
+    return trials.select("problem_id", "arm", "t.trial", "t.run_name", "t.run_id", "t.score", F.col("t.score_feedback").alias("feedback"), "t.output", "t.knowledge_used")
+
+
+def result_knowledge(found: DataFrame) -> DataFrame:
+    """What trials used: (problem_id, arm, trial, run_id, score, step, knowledge_id, text), an entry a row, in no order."""
+    used = result_trials(found).select("problem_id", "arm", "trial", "run_id", "score", F.explode("knowledge_used").alias("k"))
+    return used.select("problem_id", "arm", "trial", "run_id", "score", "k.step", F.col("k.id").alias("knowledge_id"), "k.text")
+
+
+def result_scores(found: DataFrame) -> DataFrame:
+    """The scores that result files give for each problem, as ``problem_scores`` makes them."""
+    names = [f"{a}_{s}" for s in ("mean", "max", "min") for a in ("no_klg", "klg")]
+    return _problems(found).select(F.col("d.id").alias("problem_id"), *[F.col(f"d.{n}_score").alias(n) for n in names], F.col("d.mean_score_improvement").alias("improvement"))
+
+
+def result_cache(found: DataFrame) -> DataFrame:
+    """Cached runs, the first with a list as history of each run id: (run_id, entry_id, run_name, output, saved_at, msg_history)."""
+    cache = found.where("section = 'run_cache'").select("file", "start", "n", "key", F.from_json("value", CACHED_SCHEMA).alias("c"))
+    cache = cache.select("file", "start", "n", F.substring_index("key", "::", 1).alias("entry_id"), F.expr("substring(key, instr(key, '::') + 2)").alias("run_name"), "c.*")
     listed = cache.withColumn("run_id", strip("run_id")).where((F.col("run_id") != "") & F.col("msg_history").startswith("["))
-    first = listed.groupBy("run_id").agg(F.min_by(F.struct("entry_id", "run_name", "output", "saved_at", "msg_history"), F.struct("file", "at")).alias("f")).select("run_id", "f.*")
-    return trials, first
+    return listed.groupBy("run_id").agg(F.min_by(F.struct("entry_id", "run_name", "output", "saved_at", "msg_history"), F.struct("file", "start", "n")).alias("f")).select("run_id", "f.*")
+
+
+_COUNTS = "struct<count:int, role_counts:map<string,bigint>>"
+META_SCHEMA = (
+    "struct<run_id:string, run_name:string, model:string, timings:struct<started_at:double, completed_at:double, total_sec:double>, usage:map<string,bigint>, max_steps:int, "
+    f"token_limit_hit:boolean, stop_reason:string, input_messages:{_COUNTS}, message_history:{_COUNTS}>"
+)
+
+
+def read_meta(spark: SparkSession, runs_dir: str, pattern: str = "run-*/meta.json") -> DataFrame:
+    """A row for each run folder's meta.json (small documents): (folder, modified, run_id, run_name, model, timings, usage, ...). Broken ones go."""
+    files = spark.read.text(f"{runs_dir}/{pattern}", wholetext=True).where(F.get_json_object("value", "$").isNotNull())
+    parsed = files.select(F.element_at(F.split("_metadata.file_path", "/"), -2).alias("folder"), F.col("_metadata.file_modification_time").alias("modified"), F.from_json("value", META_SCHEMA).alias("m"))
+    return parsed.select("folder", "modified", "m.*")
 
 
 def write_training_sets(df: DataFrame, train: str, test: str, split: str = "split") -> None:
