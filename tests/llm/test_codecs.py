@@ -241,3 +241,13 @@ def test_sharding_of_repeated_rows(spark, monkeypatch):
     mean = sum(size.values()) / 8
     assert len(size) == 8 and all(abs(x - mean) <= 0.001 * mean + 14 for x in size.values())
     assert sorted(r.h for r in rows) == list(range(len(docs)))
+
+
+@pytest.mark.parametrize(("rows", "equal"), [(800, 100), (800, 200), (1200, 400), (3000, 450), (3000, 500)])
+def test_sharding_cuts_few_repeated_rows(spark, rows, equal):
+    """Rows equal in id and text, too few for a deal of their own, are cut where they straddle a boundary."""
+    size = 100
+    df = spark.createDataFrame([(5, "x" * (size - 1)) if i < equal else (1000 + i, f"{i:099d}") for i in range(rows)], "doc_id long, text string")
+    got = shard_documents(df, shards=8).groupBy("shard").agg(F.sum("size").alias("size"), F.max("slot").alias("slot"), F.count("*").alias("n")).collect()
+    assert len(got) == 8 and sum(r.n for r in got) == rows
+    assert all(abs(r["size"] - rows * size / 8) <= size and r.slot == r.n - 1 for r in got)

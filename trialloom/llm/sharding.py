@@ -74,7 +74,7 @@ class Cell:
         return (*fixed, at, *[LEAST] * len(KEYS))[: len(KEYS)] if at < 2**63 else (2**63 - 1,) * len(KEYS)
 
 
-def find_splitters(rows: DataFrame, shards: int, tolerance: float) -> Splitters:
+def find_splitters(rows: DataFrame, shards: int, tolerance: float) -> tuple[Splitters, list[tuple[int, int]]]:
     """Probe key boundaries until every splitter meets the tolerance.
 
     A round cuts the open cell around each splitter into 2**12 equal cells of
@@ -83,11 +83,14 @@ def find_splitters(rows: DataFrame, shards: int, tolerance: float) -> Splitters:
     more than ``tolerance`` of a shard; then the cell it lies in is opened
     again. A single text hash too large for the tolerance is opened by the hash
     of the id, and one id's repeated text by its rows' ordinals. The driver sees
-    at most 4096 counts a splitter and round.
+    at most 4096 counts a splitter and round. Also returns the (text, id) hashes
+    whose rows straddle a splitter beyond the tolerance for want of ordinals, at
+    most one a splitter.
     """
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     slack = tolerance * total / shards
     found: dict[int, tuple[int, ...]] = {}
+    straddling: set[tuple[int, int]] = set()
     cells = {s: (Cell(), 0) for s in range(1, shards)}  # and the bytes below the cell
     while cells:
         opened = list(dict.fromkeys(c for c, _ in cells.values()))
@@ -109,6 +112,8 @@ def find_splitters(rows: DataFrame, shards: int, tolerance: float) -> Splitters:
                 # the target lies in this part of the cell
                 less, more = target - below, below + size - target
                 inner = c.within(edge) if min(less, more) > slack else None
+                if inner is None and min(less, more) > slack:
+                    straddling.add(c.fixed)
                 at = edge if less <= more else edge + (1 << c.step)
                 break
             if inner:
@@ -116,7 +121,7 @@ def find_splitters(rows: DataFrame, shards: int, tolerance: float) -> Splitters:
             else:
                 found[s] = c.boundary(at)
         cells = after
-    return Splitters([found[s] for s in range(1, shards)])
+    return Splitters([found[s] for s in range(1, shards)]), sorted(straddling)
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, tolerance: float = 0.001, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -131,9 +136,10 @@ def shard_documents(docs: DataFrame, shards: int = 8, tolerance: float = 0.001,
     the slices before it. Slices with many rows (a text with very many copies)
     are dealt to several tasks.
 
-    Rows equal in id and text that are too many for one task's deal get an
-    ordinal each, written with the row, as the last part of their key: they too
-    are cut at boundaries and dealt to tasks. A null text counts as empty; a null
+    Rows equal in id and text get an ordinal each, written with the row, as the
+    last part of their key, if they straddle a boundary beyond the tolerance,
+    however few they are, or are too many for one task's deal: they too are cut at
+    boundaries and dealt to tasks. A null text counts as empty; a null
     id is hashed as null. The result's own columns replace columns of these names
     in ``docs``. An empty table gives no rows.
     """
@@ -154,13 +160,21 @@ def shard_documents(docs: DataFrame, shards: int = 8, tolerance: float = 0.001,
     full = F.broadcast(sizes.where(F.col("n") > deal).select("slice"))
     # at most as many as deals in the table
     tied = scratch.table(narrow.join(full, coarse == F.col("slice"), "left_semi").groupBy("h", "g").agg(F.count("*").alias("n")).where(F.col("n") > deal).select("h", "g"), "tied")
+    ordinal = F.xxhash64(F.monotonically_increasing_id()).alias("u")
     if not tied.isEmpty():
         tied = F.broadcast(tied)
-        ordinal = F.xxhash64(F.monotonically_increasing_id())
-        again = scratch.table(hashed.join(tied, ["h", "g"], "left_semi").select("row", "size", "text_crc32", "h", "g", ordinal.alias("u")), "repeated")
+        again = scratch.table(hashed.join(tied, ["h", "g"], "left_semi").select("row", "size", "text_crc32", "h", "g", ordinal), "repeated")
         hashed = hashed.join(tied, ["h", "g"], "left_anti").select(again.columns).unionByName(again)
         narrow = scratch.table(narrow.join(tied, ["h", "g"], "left_anti").select(*KEYS, "size").unionByName(again.select(*KEYS, "size")), "keys")
-    cut = find_splitters(narrow, shards, tolerance)
+    cut, straddling = find_splitters(narrow, shards, tolerance)
+    if straddling:  # at most one group a splitter
+        equal = F.lit(False)
+        for h, g in straddling:
+            equal = equal | ((F.col("h") == h) & (F.col("g") == g))
+        again = scratch.table(hashed.where(equal).select("row", "size", "text_crc32", "h", "g", ordinal), "straddling")
+        hashed = hashed.where(~equal).select(again.columns).unionByName(again)
+        narrow = scratch.table(narrow.where(~equal).select(*KEYS, "size").unionByName(again.select(*KEYS, "size")), "keys")
+        cut, _ = find_splitters(narrow, shards, tolerance)
 
     sliced = lambda df: df.withColumn("shard", cut.shard()).withColumn("slice", coarse)
     counts = scratch.table(sliced(narrow).groupBy("shard", "slice").agg(F.count("*").alias("n")), "slices")
