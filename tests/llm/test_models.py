@@ -183,7 +183,10 @@ def brute_ratio(models, s):
     at = [sc.ALPHABET.index(c) for c in s]
     chain = lambda table: sum(table[x, y] for x, y in zip([sc.STATES, *at], at))
     size = sum(n for n, kind in ((26, str.isupper), (26, str.islower), (10, str.isdigit), (4, lambda c: not c.isalnum())) if any(kind(c) for c in s))
-    return np.logaddexp(chain(models.random), -len(s) * math.log(size)) - math.log(2) - chain(models.ordinary)
+    ordinary = chain(models.ordinary)
+    if models.further is not None:
+        ordinary = models.ordinary[sc.STATES, at[0]] + models.ordinary[at[0], at[1]] + sum(float(models.further[x, y, z]) for x, y, z in zip(at, at[1:], at[2:]))
+    return np.logaddexp(chain(models.random), -len(s) * math.log(size)) - math.log(2) - ordinary
 
 
 def brute_spans(models, text):
@@ -241,6 +244,18 @@ def test_planted_secrets(spark):
     assert other <= 2
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_no_word_of_prose_is_a_secret(spark, sf_dir, sf):
+    """The given documents hold no secrets but those of the patterns."""
+    import os
+
+    path = os.path.join(os.path.dirname(sf_dir.rstrip("/")), sf, "documents.parquet")
+    if not os.path.exists(path):
+        pytest.skip(f"no {path}")
+    found = sc.find_secrets(spark.read.parquet(path).select("doc_id", "text"))
+    assert found.where(F.exists("secret_spans", lambda s: s.kind == "random")).count() == 0
+
+
 def test_secret_edges(spark):
     rows = [(1, None, 5), (2, "", 5), (None, "key Zq8xK2vW9pLr7TnB3sD== end " * 3, 5), (3, "x" * 100_000, 5), (3, "x" * 100_000, 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, secret_spans int")

@@ -39,8 +39,12 @@ _CLASS = np.array([0] * 26 + [1] * 26 + [2] * 10 + [3] * 4)
 _CLASS_SIZE = np.array([26, 26, 10, 4])
 #: Bins of log-likelihood ratios, one nat each, in which held-out strings are counted.
 BINS = np.arange(-200, 201)
+#: Weight of what follows one character in what follows two.
+BACKOFF = 20.0
+#: Taken off each count after two characters, and given to what follows one.
+DISCOUNT = 1.0
 #: The least share of random runs that is reckoned with, and by how much a false find outweighs a miss.
-FEWEST, FALSE_COST = 1e-6, 10.0
+FEWEST, FALSE_COST = 1e-6, 1000.0
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -85,19 +89,36 @@ def transitions(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return counts
 
 
+def triples(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Counts of characters after two characters in byte spans of ALPHABET."""
+    inner = np.zeros(len(raw) + 1, np.int64)
+    long = ends - starts > 2
+    np.add.at(inner, starts[long], 1)
+    np.add.at(inner, ends[long] - 2, -1)
+    at = np.flatnonzero(np.cumsum(inner)[:-1] > 0)  # all but each span's last two characters
+    code = _CODE[raw]
+    return np.bincount((code[at] * STATES + code[at + 1]) * STATES + code[at + 2], minlength=STATES**3).reshape(STATES, STATES, STATES).astype(float)
+
+
 @dataclass(frozen=True)
 class MarkovModels:
-    """Log-probabilities of characters after characters (the last row: of first ones) in random and in ordinary strings."""
+    """Log-probabilities of characters after characters (the last row: of first ones) in random and in ordinary strings.
+
+    ``further`` are those of characters after two, in ordinary strings: two
+    characters tell the language that a word is of, so that words of a rarer one
+    are not judged by the others' letters. Without it ``ordinary`` holds throughout."""
 
     random: np.ndarray
     ordinary: np.ndarray
     threshold: float
+    further: np.ndarray | None = None
     recall: float | None = None
     found_share: float | None = None
 
     @staticmethod
-    def fit(random: np.ndarray, ordinary: np.ndarray, threshold: float) -> MarkovModels:
-        """From transition counts, each row smoothed towards the strings' own letters, and these towards all characters."""
+    def fit(random: np.ndarray, ordinary: np.ndarray, threshold: float, further: np.ndarray | None = None) -> MarkovModels:
+        """From transition counts, each row smoothed towards the strings' own letters, and these towards all characters;
+        counts after two characters are smoothed towards those after the second."""
 
         def log_p(counts: np.ndarray, weight: float) -> np.ndarray:
             letters = counts.sum(axis=0) + 1.0
@@ -105,7 +126,14 @@ class MarkovModels:
 
         if not random.sum() or not ordinary.sum():
             threshold = np.inf
-        return MarkovModels(log_p(random, 50.0), log_p(ordinary, 5.0), threshold)
+        first = log_p(ordinary, 5.0)
+        if further is not None:
+            backoff = np.exp(first[None, :STATES, :])
+            # what was seen once, as parts of a random string are, counts as unseen
+            seen = np.maximum(further - DISCOUNT, 0.0)
+            total = further.sum(axis=2, keepdims=True)
+            further = np.log((seen + (BACKOFF + total - seen.sum(axis=2, keepdims=True)) * backoff) / (total + BACKOFF)).astype(np.float32)
+        return MarkovModels(log_p(random, 50.0), first, threshold, further)
 
     def ratios(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Log-likelihood ratio, random over ordinary, of each span.
@@ -127,7 +155,13 @@ class MarkovModels:
             upto = np.concatenate([[0], np.cumsum(_CLASS[code] == k)])
             size += n * (upto[ends] > upto[starts])
         random = np.logaddexp(total(self.random), -(ends - starts) * np.log(size)) - np.log(2)
-        return random - total(self.ordinary)
+        if self.further is None:
+            return random - total(self.ordinary)
+        later = self.further[code[:-2], code[1:-1], code[2:]].astype(float) if len(code) > 2 else np.zeros(0)
+        upto = np.concatenate([[0.0], np.cumsum(later)])
+        second = np.minimum(starts + 1, ends - 1)
+        begun = self.ordinary[STATES, code[starts]] + np.where(ends - starts > 1, self.ordinary[code[starts], code[second]], 0.0)
+        return random - begun - (upto[np.maximum(ends - 2, starts)] - upto[starts])
 
 
 def random_spans(column: pa.Array, base: list[list[tuple[int, int, int]]], models: MarkovModels) -> dict[int, list[tuple[int, int, int]]]:
@@ -156,7 +190,8 @@ def fit_models(docs: DataFrame, sample_rows: int = 20_000, text_col: str = "text
     Labels come from the patterns: what they match is random; runs of 12 or more
     characters elsewhere in the same documents are ordinary. A quarter of the
     strings, by hash of string and text, is held out of the counts, in which
-    ordinary strings stand in capitals too. The threshold is the ratio at which a
+    ordinary strings stand in capitals too; for these a second-order chain is
+    learnt (at most STATES cubed counts). The threshold is the ratio at which a
     run is FALSE_COST times likelier random than not, given the share of random
     runs among the held-out ones, which expectation maximisation finds (FEWEST at
     least). ``recall`` and ``found_share`` of the models are the shares of
@@ -200,8 +235,16 @@ def fit_models(docs: DataFrame, sample_rows: int = 20_000, text_col: str = "text
             out.ravel()[r.i] = r.n
         return out
 
+    def count_triples(batches):
+        counts = np.zeros((STATES, STATES, STATES))
+        for label, raw, a, b, held in labelled(batches):
+            if label:
+                counts += triples(raw, a[~held], b[~held]) + triples(_UPPER[raw], a[~held], b[~held])
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_pydict({"i": pa.array(at, pa.int32()), "n": counts.ravel()[at]})
+
     counts = gather(count, (2, STATES + 1, STATES))
-    models = MarkovModels.fit(counts[0], counts[1], 0.0)
+    models = MarkovModels.fit(counts[0], counts[1], 0.0, gather(count_triples, (STATES, STATES, STATES)))
 
     def judge(batches):
         seen = np.zeros((2, len(BINS)))
