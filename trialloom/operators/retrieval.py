@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trialloom.functions.folders import scratch
+from trialloom.functions.numbering import number_within
 from trialloom.functions.pairing import BLOCK_ROWS, all_pairs
 from trialloom.functions.text import filled, seeded_uniform, strip
 from trialloom.operators.knowledge import matches_step, step_conditions
@@ -41,25 +43,34 @@ def linear_head_score(df: DataFrame, embedding: str, weight: list[float], bias:
     return df.mapInArrow(run, df.withColumn(output, F.lit(None).cast("double")).schema)
 
 
-def block_scores(queries: DataFrame, keys: DataFrame, k: int, query_id: str = "query_id", key_id: str = "key_id", vector: str = "vector") -> DataFrame:
-    """The k keys of the greatest inner product for each query: (query_id, key_id, relevance, rank), ties by key id.
+#: Keys whose vectors are centres of blocks, and by how much a bound is widened for rounding.
+CENTRES, BOUND_SLACK = 256, 1e-9
+
+
+def usable_vectors(df: DataFrame, id_col: str, vector: str) -> DataFrame:
+    """(id, v, n): vectors of doubles and their lengths; null and empty ones and those with null, infinite or undefined components go."""
+    v = F.transform(vector, lambda x: x.cast("double"))
+    whole = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return df.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.coalesce(whole, F.lit(False)) & (F.size("v") > 0)).withColumn("n", F.size("v"))
+
+
+def _matrix(t: pa.Table, column: str = "v") -> np.ndarray:
+    x = t[column].combine_chunks()
+    x = x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
+    return x.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(x), -1)
+
+
+_SCORED = {"query_id": pa.int64(), "key_id": pa.int64(), "relevance": pa.float64()}
 
-    Keys and queries meet block by block in numpy; each block sends on its k best only, and these are
-    ranked again. Both sides may grow: groups are pairs of blocks of bounded size."""
-    nq, nk = queries.count(), keys.count()
-    bq, bk = max(1, -(-nq // 1024)), max(1, -(-nk // BLOCK_ROWS))
-    q = queries.select(F.col(query_id).cast("long").alias("id"), F.col(vector).alias("v")).withColumn("bq", F.pmod(F.xxhash64("id"), F.lit(bq)).cast("int")).withColumn("bk", F.explode(F.sequence(F.lit(0), F.lit(bk - 1))))
-    c = keys.select(F.col(key_id).cast("long").alias("id"), F.col(vector).alias("v")).withColumn("bk", F.pmod(F.xxhash64("id"), F.lit(bk)).cast("int")).withColumn("bq", F.explode(F.sequence(F.lit(0), F.lit(bq - 1))))
 
-    def matrix(t: pa.Table) -> np.ndarray:
-        x = t["v"].combine_chunks()
-        return x.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(x), -1)
+def _best_of_blocks(k: int):
+    """The k best keys of each query among two blocks' vectors of one length; of ties the smaller ids."""
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
         if not (len(left) and len(right)):
-            return pa.table({"query_id": pa.array([], pa.int64()), "key_id": pa.array([], pa.int64()), "relevance": pa.array([], pa.float64())})
+            return pa.table({n: pa.array([], t) for n, t in _SCORED.items()})
         right = right.sort_by("id")
-        s = matrix(left) @ matrix(right).T
+        s = _matrix(left) @ _matrix(right).T
         ids = right["id"].to_numpy()
         if s.shape[1] > k:
             kth = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
@@ -70,10 +81,107 @@ def block_scores(queries: DataFrame, keys: DataFrame, k: int, query_id: str = "q
             r, i = np.nonzero(np.ones_like(s, bool))
         return pa.table({"query_id": left["id"].to_numpy()[r], "key_id": ids[i], "relevance": s[r, i]})
 
-    out = q.groupBy("bq", "bk").cogroup(c.groupBy("bq", "bk")).applyInArrow(best, "query_id long, key_id long, relevance double")
+    return best
+
+
+def block_scores(queries: DataFrame, keys: DataFrame, k: int, query_id: str = "query_id", key_id: str = "key_id", vector: str = "vector") -> DataFrame:
+    """The k keys of the greatest inner product for each query: (query_id, key_id, relevance, rank), ties by key id.
+
+    Keys and queries meet block by block in numpy; each block sends on its k best only, and these are
+    ranked again. Both sides may grow: groups are pairs of blocks of bounded size. Vectors that are null or
+    empty or hold null or non-finite components take no part, and vectors meet those of their own length only."""
+    queries, keys = usable_vectors(queries, query_id, vector), usable_vectors(keys, key_id, vector)
+    nq, nk = queries.count(), keys.count()
+    bq, bk = max(1, -(-nq // 1024)), max(1, -(-nk // BLOCK_ROWS))
+    q = queries.withColumn("bq", F.pmod(F.xxhash64("id"), F.lit(bq)).cast("int")).withColumn("bk", F.explode(F.sequence(F.lit(0), F.lit(bk - 1))))
+    c = keys.withColumn("bk", F.pmod(F.xxhash64("id"), F.lit(bk)).cast("int")).withColumn("bq", F.explode(F.sequence(F.lit(0), F.lit(bq - 1))))
+    out = q.groupBy("n", "bq", "bk").cogroup(c.groupBy("n", "bq", "bk")).applyInArrow(_best_of_blocks(k), "query_id long, key_id long, relevance double")
     return top_k_keys(out, k)
 
 
+def bounded_scores(queries: DataFrame, keys: DataFrame, k: int, query_id: str = "query_id", key_id: str = "key_id", vector: str = "vector", block_rows: int = 256) -> tuple[DataFrame, DataFrame]:
+    """(result of ``block_scores``, one row of what was skipped: queries, blocks, pairs, met, skipped_share).
+
+    Keys are put into blocks around at most CENTRES of them, chosen by hash, and
+    dealt on to blocks of some ``block_rows``. A block has a centre c, a radius r and a greatest norm m, so no
+    key in it scores more than q.c + |q| r, nor than |q| m (Cauchy and Schwarz).
+    Each query first meets the blocks of the highest bounds that hold k keys
+    together; then only those whose bound reaches the kth score that it has. What
+    is skipped depends on the data, the result does not."""
+    spark = queries.sparkSession
+    path = scratch(spark, "bounded")
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{path}/{name}")
+        return spark.read.parquet(f"{path}/{name}")
+
+    queries, keys = written(usable_vectors(queries, query_id, vector), "queries"), usable_vectors(keys, key_id, vector)
+    picked = [(r.id, r.n, r.v) for r in keys.orderBy(F.xxhash64("id"), "id").limit(CENTRES).collect()]
+    sizes = sorted({n for _, n, _ in picked})
+    centres = {n: np.array([v for _, m, v in picked if m == n], float) for n in sizes}
+    kind = "id long, v array<double>, n int, centre int, distance double, norm double"
+
+    def place(batches):
+        for b in batches:
+            v, n = b.column("v"), b.column("n").to_numpy()
+            centre, distance, norm = np.full(len(n), -1, np.int32), np.zeros(len(n)), np.zeros(len(n))
+            for size in np.unique(n):
+                at = np.flatnonzero(n == size)
+                x = v.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1)
+                norm[at] = np.sqrt((x * x).sum(axis=1))
+                c = centres.get(int(size))
+                if c is None:  # no centre of this length: the origin
+                    distance[at] = norm[at]
+                    continue
+                nearest = np.argmax(x @ c.T - (c * c).sum(axis=1) / 2, axis=1)
+                centre[at], distance[at] = nearest, np.sqrt(((x - c[nearest]) ** 2).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([b.column("id"), v, b.column("n"), pa.array(centre), pa.array(distance), pa.array(norm)], names=[c.split()[0] for c in kind.split(", ")])
+
+    placed = written(keys.select("id", "v", "n").mapInArrow(place, kind), "placed")
+    # parts of a centre are rings of distance, so that inner ones have a small radius
+    ranked = number_within(placed, "at", ["n", "centre"], "distance", "id").withColumn("part", F.floor((F.col("at") - 1) / block_rows)).drop("at")
+    members = written(ranked.withColumn("block", F.xxhash64("n", "centre", "part")), "members")
+    blocks = members.groupBy("n", "centre", "block").agg(F.count("*").alias("rows"), F.max("distance").alias("radius"), F.max("norm").alias("most"))
+
+    def bounds(left: pa.Table, right: pa.Table) -> pa.Table:
+        shape = pa.schema([("id", pa.int64()), ("block", pa.int64()), ("rows", pa.int64()), ("bound", pa.float64())])
+        if not (len(left) and len(right)):
+            return shape.empty_table()
+        q, size = _matrix(left), left["n"][0].as_py()
+        c = centres.get(size, np.zeros((1, size)))
+        norm = np.sqrt((q * q).sum(axis=1))[:, None]
+        near = (q @ c.T)[:, np.maximum(right["centre"].to_numpy(), 0)]
+        near = np.where(right["centre"].to_numpy() < 0, 0.0, near)
+        bound = np.minimum(near + norm * right["radius"].to_numpy(), norm * right["most"].to_numpy())
+        bound += BOUND_SLACK * (1 + np.abs(bound) + norm * right["most"].to_numpy())
+        m, n = bound.shape
+        return pa.table([np.repeat(left["id"].to_numpy(), n), np.tile(right["block"].to_numpy(), m), np.tile(right["rows"].to_numpy(), m), bound.ravel()], schema=shape)
+
+    blocks = written(blocks, "blocks")
+    bq, bk = max(1, -(-queries.count() // 1024)), max(1, -(-blocks.count() // BLOCK_ROWS))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = queries.withColumn("bq", F.pmod(F.xxhash64("id"), F.lit(bq)).cast("int")).withColumn("bk", spread(bk))
+    held = blocks.withColumn("bk", F.pmod("block", F.lit(bk)).cast("int")).withColumn("bq", spread(bq))
+    pairs = written(dealt.groupBy("n", "bq", "bk").cogroup(held.groupBy("n", "bq", "bk")).applyInArrow(bounds, "id long, block long, rows long, bound double"), "bounds")
+    before = Window.partitionBy("id").orderBy(F.desc("bound"), "block").rowsBetween(Window.unboundedPreceding, -1)
+    first = written(pairs.withColumn("_before", F.coalesce(F.sum("rows").over(before), F.lit(0))).where(F.col("_before") < k).select("id", "block"), "first")
+
+    def met(chosen: DataFrame) -> DataFrame:
+        """Scores of the chosen (query, block) pairs: a block meets its queries in groups of a bounded number."""
+        asked = chosen.join(queries, "id").withColumn("deal", F.pmod(F.xxhash64("id"), F.lit(bq)).cast("int"))
+        wanted = asked.select(F.col("block").alias("_block"), F.col("deal").alias("_deal")).distinct()
+        held = members.join(wanted, F.col("block") == F.col("_block")).select(F.col("id"), F.col("v"), "_block", "_deal")
+        return asked.groupBy("block", "deal").cogroup(held.groupBy("_block", "_deal")).applyInArrow(_best_of_blocks(k), "query_id long, key_id long, relevance double")
+
+    near = written(top_k_keys(met(first), k), "near")
+    kth = near.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("relevance").alias("kth"))
+    further = written(pairs.join(first, ["id", "block"], "left_anti").join(kth, "id", "left").where(F.col("kth").isNull() | (F.col("bound") >= F.col("kth"))).select("id", "block"), "further")
+    out = top_k_keys(near.drop("rank").unionByName(met(further)), k)
+    n_first, n_more = first.count(), further.count()
+    stats = pairs.agg(F.countDistinct("id").alias("queries"), F.countDistinct("block").alias("blocks"), F.count("*").alias("pairs")).withColumn("met", F.lit(n_first + n_more).cast("long"))
+    return out, stats.withColumn("skipped_share", F.coalesce(F.try_divide(F.col("pairs") - F.col("met"), F.col("pairs")), F.lit(0.0)))
+
+
 def top_k_keys(scored: DataFrame, k: int, query: str = "query_id", key: str = "key_id") -> DataFrame:
     """The k best keys of each query with their rank; ties go to the smaller key."""
     w = Window.partitionBy(query).orderBy(F.desc("relevance"), key)

@@ -175,8 +175,11 @@ def linear_head_score(spark, sf_dir):
     return rt.linear_head_score(e, "embedding", weight, 0.5).select("vec_id", F.round("score", 9).alias("score"))
 
 
-@query("""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS key_id, list_inner_product(list_transform(a.embedding, lambda x: x::DOUBLE), list_transform(b.embedding, lambda x: x::DOUBLE)) AS v FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
-  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY v DESC, key_id)::INTEGER AS rank FROM s) SELECT query_id, key_id, rank, round(v, 9) AS relevance FROM r WHERE rank <= 10""")
+_VECTORS = """WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS key_id, list_inner_product(list_transform(a.embedding, lambda x: x::DOUBLE), list_transform(b.embedding, lambda x: x::DOUBLE)) AS v FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
+  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY v DESC, key_id)::INTEGER AS rank FROM s) SELECT query_id, key_id, rank, round(v, 9) AS relevance FROM r WHERE rank <= 10"""
+
+
+@query(_VECTORS)
 def top_k_vectors(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "vector")
     # a vector is among its own 11 best, or 11 others tie with it or beat it
@@ -184,6 +187,14 @@ def top_k_vectors(spark, sf_dir):
     return rt.top_k_keys(top.drop("rank"), 10).select("query_id", "key_id", "rank", F.round("relevance", 9).alias("relevance"))
 
 
+@query(_VECTORS)
+def bounded_top_k(spark, sf_dir):
+    """The same by bounds of blocks: those that cannot reach a query's kth score are skipped."""
+    e = read(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "vector")
+    top, _ = rt.bounded_scores(e.where("vec_id % 20 = 0"), e, 11, "vec_id", "vec_id")
+    return rt.top_k_keys(top.where("query_id <> key_id").drop("rank"), 10).select("query_id", "key_id", "rank", F.round("relevance", 9).alias("relevance"))
+
+
 _TOP = f"{_SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, key_id)::INTEGER AS rank FROM s)"
 
 
