@@ -474,3 +474,10 @@ def test_pipeline(spark, sf_dir):
     assert {r.doc_id for r in packed.collect()} == set(kept)
     whole = packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0]
     assert whole <= 2048 and cp.run(spark, sf_dir).count() == packed.count()
+
+
+@pytest.mark.parametrize("x", [1e17, 5e8, -1e300])
+def test_top_k_refuses_scores_that_overflow(spark, x):
+    df = spark.createDataFrame([(0, [x, 1.0]), (1, [1.0, x])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError):
+        exact_top_k(df, df)

@@ -59,7 +59,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int =
     no part. Shorter vectors count as padded with zeros; empty ones score 0.
     Of rows with one id in ``queries`` that with the smallest vector is taken; in
     ``vectors`` repeated rows are candidates each. Other columns are ignored.
-    Scores must fit a 64-bit integer.
+    Vectors so long that a score need not fit a 64-bit integer are an error.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "top-k")
@@ -73,6 +73,8 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int =
     n, width, most = rows.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(0)), F.coalesce(F.max(norm), F.lit(0.0))).first()
     m, qwidth, qmost = asked.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(0)), F.coalesce(F.max(norm), F.lit(0.0))).first()
     width, most = max(width, qwidth), max(most, qmost)
+    if most >= 2.0**62:  # no score is beyond the greatest squared length
+        raise ValueError("scores may not fit a 64-bit integer")
     exact = most < 2.0**52
     parts, blocks = max(1, math.ceil(n / CANDIDATE_BLOCK)), max(1, math.ceil(m / QUERY_BLOCK))
     spread = lambda df, key, own, n_own, other, n_other: df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
