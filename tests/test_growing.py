@@ -120,3 +120,20 @@ def test_unseen_pages_for_any_split(spark, tmp_path, sizes):
     df = spark.createDataFrame(rows, "page_id long, url string, text string")
     marked = [tuple(r) for r in df.select("page_id", normalize_url("url"), content_signature(F.coalesce("text", F.lit("")))).collect()]
     assert got == one_pass(marked)
+
+
+def test_cache_merge_rewrites_its_buckets(spark, tmp_path):
+    from trialloom.sources import runs as src
+
+    schema = "k long, output string, saved_at long"
+    old = spark.range(400).selectExpr("id as k", "'o' as output", "id as saved_at")
+    store = src.run_cache_store(spark, str(tmp_path / "c"), ["k"], schema, 32)
+    src.merge_run_cache(store, old, ["output"])
+    before = store.manifest()
+    new = spark.createDataFrame([(5, "o", 1000), (6, "n", 1001), (7, "n", 1), (900, "n", 2)], schema)
+    touched = src.merge_run_cache(store, new, ["output"])
+    after = store.manifest()
+    assert {b for b in after if after[b] != before.get(b)} == set(touched) and len(touched) <= 4
+    got = {tuple(r) for r in store.read().collect()}
+    assert got == {tuple(r) for r in ev.run_cache_merge(old, new, ["k"], ["output"]).collect()}
+    assert (5, "o", 5) in got and (6, "n", 1001) in got and (7, "o", 7) in got

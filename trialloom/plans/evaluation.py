@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trialloom.functions.folders import scratch
 from trialloom.operators import evaluation as ev
 from trialloom.plans.base import query, read
+from trialloom.sources import runs as src
 
 
 def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,8 +98,11 @@ def first_records(spark, sf_dir):
     return ev.first_records(read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey")
 
 
-@query("""WITH a AS (SELECT o_custkey, o_orderpriority, max((o_orderdate, o_orderkey)) FILTER (o_orderkey % 2 = 0) AS old, max((o_orderdate, o_orderkey)) FILTER (o_orderkey % 2 = 1) AS new FROM orders GROUP BY ALL)
-  SELECT o_custkey, o_orderpriority, CASE WHEN old IS NULL OR new[1] >= old[1] THEN new[1] ELSE old[1] END AS saved_at FROM a""".replace("new[1]", "new.o_orderdate").replace("old[1]", "old.o_orderdate").replace("max((o_orderdate, o_orderkey))", "max({'o_orderdate': o_orderdate, 'o_orderkey': o_orderkey})"))
+_MERGED = """WITH a AS (SELECT o_custkey, o_orderpriority, max((o_orderdate, o_orderkey)) FILTER (o_orderkey % 2 = 0) AS old, max((o_orderdate, o_orderkey)) FILTER (o_orderkey % 2 = 1) AS new FROM orders GROUP BY ALL)
+  SELECT o_custkey, o_orderpriority, CASE WHEN old IS NULL OR new[1] >= old[1] THEN new[1] ELSE old[1] END AS saved_at FROM a""".replace("new[1]", "new.o_orderdate").replace("old[1]", "old.o_orderdate").replace("max((o_orderdate, o_orderkey))", "max({'o_orderdate': o_orderdate, 'o_orderkey': o_orderkey})")
+
+
+@query(_MERGED)
 def run_cache_merge(spark, sf_dir):
     o = read(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority", F.col("o_orderdate").alias("saved_at"), "o_totalprice", "o_orderkey")
     keys = ["o_custkey", "o_orderpriority"]
@@ -105,6 +110,18 @@ def run_cache_merge(spark, sf_dir):
     return merged.select(*keys, "saved_at")
 
 
+@query(_MERGED)
+def run_cache_store(spark, sf_dir):
+    """The same through a stored cache that is merged into."""
+    o = read(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority", F.col("o_orderdate").alias("saved_at"), "o_totalprice", "o_orderkey")
+    keys, payload = ["o_custkey", "o_orderpriority"], ["o_totalprice", "o_orderkey"]
+    schema = ", ".join(f"{c} {dict(o.dtypes)[c]}" for c in (*keys, *payload, "saved_at"))
+    store = src.run_cache_store(spark, scratch(spark, "cache"), keys, schema, 8)
+    for half in (0, 1):
+        src.merge_run_cache(store, o.where(F.col("o_orderkey") % 2 == half), payload)
+    return store.read().select(*keys, "saved_at")
+
+
 @query("""WITH d AS (SELECT 'run-' || strftime(o_orderdate, '%Y%m%d') || '-' || lpad(o_orderkey::VARCHAR, 8, '0') AS name, o_orderkey AS k FROM orders)
   SELECT k AS o_orderkey, CASE WHEN k % 5 < 3 THEN name ELSE lpad(k::VARCHAR, 8, 'x') || '-unknown' END AS run_dir FROM d""")
 def resolve_run_dir(spark, sf_dir):

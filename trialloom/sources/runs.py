@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from trialloom.functions.folders import scratch
 from trialloom.functions.numbering import number_within
 from trialloom.functions.text import filled, first_filled, int_text, strip
+from trialloom.operators.evaluation import run_cache_merge
 from trialloom.operators.knowledge import parse_tags
 from trialloom.sources.ranges import json_elements, read_csv_ranges
+from trialloom.sources.store import BucketStore
 
 TEXT_KEYS = ("knowledge", "text", "content", "value")
 OWN_KEYS = ("agent", "name", *TEXT_KEYS, "tags", "id")
@@ -203,6 +205,18 @@ def read_meta(spark: SparkSession, runs_dir: str, pattern: str = "run-*/meta.jso
     return parsed.select("folder", "modified", "m.*")
 
 
+def run_cache_store(spark: SparkSession, path: str, keys: list[str], schema: str, buckets: int = 64) -> BucketStore:
+    """The run cache as a table in buckets of its keys; ``merge_run_cache`` rewrites those that new runs touch."""
+    return BucketStore(spark, path, keys, schema, buckets)
+
+
+def merge_run_cache(store: BucketStore, new: DataFrame, payload: list[str], saved_at: str = "saved_at") -> list[int]:
+    """Merge new runs into the cache as ``run_cache_merge`` does; returns the buckets that were written anew."""
+    held = scratch(store.spark, "new-runs")
+    new.select(*store.keys, *payload, saved_at).write.parquet(held)
+    return store.merge(store.spark.read.parquet(held), lambda old, runs: run_cache_merge(old, runs, store.keys, payload, saved_at))
+
+
 def write_training_sets(df: DataFrame, train: str, test: str, split: str = "split") -> None:
     """Two JSON-lines outputs by the split column."""
     df.where(F.col(split) == "train").drop(split).write.json(train, mode="overwrite")
