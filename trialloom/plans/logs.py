@@ -297,8 +297,9 @@ def stream_runs(spark, sf_dir):
 
 @query("SELECT doc_id::VARCHAR AS id, lang AS agent, 'k' || doc_id AS text, ['a'] AS tags FROM documents")
 def read_knowledge_json(spark, sf_dir):
-    """Files with a list under ``knowledge``, one for each language."""
+    """Files with a list of some 1,000 entries under ``knowledge``."""
     path = scratch(spark, "knowledge-json")
-    d = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("name"), F.concat(F.lit("k"), "doc_id").alias("content"), F.array(F.lit("a")).alias("tags"))
-    d.groupBy(F.col("name").alias("f")).agg(F.to_json(F.struct(F.collect_list(F.struct("id", "name", "content", "tags")).alias("knowledge"))).alias("value")).write.partitionBy("f").text(path)
+    parts = max(1, read(spark, sf_dir, "documents").count() // 1000)
+    d = read(spark, sf_dir, "documents").select(F.pmod(F.xxhash64("doc_id"), F.lit(parts)).alias("f"), F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("name"), F.concat(F.lit("k"), "doc_id").alias("content"), F.array(F.lit("a")).alias("tags"))
+    d.groupBy("f").agg(F.to_json(F.struct(F.collect_list(F.struct("id", "name", "content", "tags")).alias("knowledge"))).alias("value")).write.partitionBy("f").text(path)
     return src.read_knowledge(spark, path, "json").drop("meta")

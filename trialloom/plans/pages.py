@@ -178,12 +178,12 @@ def touched_paths(spark, sf_dir):
     return ds.touched_paths(_patches(spark, sf_dir), "doc_id", "patch")
 
 
-_PLAN = "s AS (SELECT DISTINCT s_suppkey AS k FROM supplier), c AS (SELECT l_suppkey AS k, count(*) AS n FROM lineitem WHERE l_linenumber = 5 GROUP BY 1), t AS (SELECT k, coalesce(n, 0) AS recorded FROM s LEFT JOIN c USING (k) WHERE coalesce(n, 0) < 85)"
+_PLAN = "s AS (SELECT DISTINCT s_suppkey AS k FROM supplier), c AS (SELECT l_suppkey AS k, count(*) AS n FROM lineitem GROUP BY 1), t AS (SELECT k, coalesce(n, 0) AS recorded FROM s LEFT JOIN c USING (k) WHERE coalesce(n, 0) < 600)"
 
 
 def _plan(spark, sf_dir):
-    specs = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("file_path"), F.lit(85).alias("needed"))
-    return ds.plan_regeneration(specs, read(spark, sf_dir, "lineitem").where("l_linenumber = 5").select(F.col("l_suppkey").alias("file_path")))
+    specs = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("file_path"), F.lit(600).alias("needed"))
+    return ds.plan_regeneration(specs, read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("file_path")))
 
 
 @query(f"WITH {_PLAN} SELECT k AS file_path, recorded FROM t")
@@ -191,7 +191,7 @@ def plan_regeneration(spark, sf_dir):
     return _plan(spark, sf_dir)[0].select("file_path", "recorded")
 
 
-@query(f"WITH {_PLAN} SELECT l_suppkey AS file_path, count(*) AS n FROM lineitem WHERE l_linenumber = 5 AND l_suppkey NOT IN (SELECT k FROM t WHERE recorded > 0) GROUP BY 1")
+@query(f"WITH {_PLAN} SELECT l_suppkey AS file_path, count(*) AS n FROM lineitem WHERE l_suppkey NOT IN (SELECT k FROM t WHERE recorded > 0) GROUP BY 1")
 def kept_records(spark, sf_dir):
     return _plan(spark, sf_dir)[1].groupBy("file_path").agg(F.count("*").alias("n"))
 
