@@ -253,7 +253,7 @@ def _in_turn(df, path, by, parts=3):
 def stream_unseen_pages(spark, sf_dir):
     path, out = scratch(spark, "pages-in"), scratch(spark, "pages-out")
     _in_turn(read(spark, sf_dir, "pages").select("page_id", "url", F.col("html").alias("text")), path, "page_id")
-    st.start_unseen_pages(st.stream_json(spark, path, "page_id long, url string, text string", 1), f"{out}/t", f"{out}/h", f"{out}/c", ["page_id"], buckets=16).awaitTermination()
+    st.start_unseen_pages(st.stream_json(spark, path, "page_id long, url string, text string", 1), f"{out}/t", f"{out}/h", f"{out}/c", ["page_id"], buckets=8).awaitTermination()
     return spark.read.parquet(f"{out}/t").select("page_id", "norm_url", "signature")
 
 
@@ -265,7 +265,7 @@ def stream_summary(spark, sf_dir):
     t.where("trial % 2 = 0").withColumn("score", F.lit(10.0) - F.col("score")).withColumn("feedback", F.lit("early")).coalesce(1).write.json(path)
     _in_turn(t, path, "trial", 2)
     s = st.stream_json(spark, path, "problem_id long, arm string, trial long, score double, feedback string", 1)
-    st.start_summary(s, f"{out}/t", f"{out}/s", f"{out}/c", slices=4, buckets=16).awaitTermination()
+    st.start_summary(s, f"{out}/t", f"{out}/s", f"{out}/c", slices=2, buckets=8).awaitTermination()
     return st.latest_summary(spark, f"{out}/s")
 
 

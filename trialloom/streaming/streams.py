@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import pickle
 from collections.abc import Iterator
@@ -105,13 +106,14 @@ def trial_stats(stream: DataFrame, slices: int = 8, order: str | None = None) ->
             else:
                 held.pop(trial, None)
         state.update((pickle.dumps(held),))
-        row: dict = {"problem_id": [key[0]], "slice": [key[1]], "trials": [len(held)]}
+        row: dict = {"trials": len(held)}
         for arm in ARMS:
             scores = [s for a, s in held.values() if a == arm and s is not None]
-            row |= {f"{arm}_n": [len(scores)], f"{arm}_sum": [math.fsum(scores) if scores else None], f"{arm}_least": [min(scores, default=None)], f"{arm}_most": [max(scores, default=None)]}
-        yield pd.DataFrame(row)
+            row |= {f"{arm}_n": len(scores), f"{arm}_sum": math.fsum(scores) if scores else None, f"{arm}_least": min(scores, default=None), f"{arm}_most": max(scores, default=None)}
+        yield pd.DataFrame({"problem_id": [key[0]], "slice": [key[1]], "stats": [json.dumps(row)]})  # one text: a frame's columns cost more than the row
 
-    return rows.groupBy("problem_id", "slice").applyInPandasWithState(update, f"problem_id {kind}, slice int, trials long, {STATS}", _STATE, "update", GroupStateTimeout.NoTimeout)
+    found = rows.groupBy("problem_id", "slice").applyInPandasWithState(update, f"problem_id {kind}, slice int, stats string", _STATE, "update", GroupStateTimeout.NoTimeout)
+    return found.select("problem_id", "slice", F.from_json("stats", f"trials long, {STATS}").alias("s")).select("problem_id", "slice", "s.*")
 
 
 def start_summary(stream: DataFrame, state: str, summary_table: str, checkpoint: str, slices: int = 8, order: str | None = None, buckets: int = 64):
