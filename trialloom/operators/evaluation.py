@@ -226,15 +226,16 @@ def iteration_report(samples: DataFrame, key: str, iteration: str, passed: str,
     return out.withColumns({"pass_at_1": F.col("correct") / F.col("samples"), "pass_all": F.col("solved") / F.col("tried"), "already_solved": total - F.col("tried")})
 
 
-def flatten_attempts(nodes: DataFrame, levels: int = 100, node: str = "node", parent: str = "parent") -> DataFrame:
+def flatten_attempts(nodes: DataFrame, levels: int | None = None, node: str = "node", parent: str = "parent") -> DataFrame:
     """Leaves of a forest given as rows (node, parent): (root, leaf, path). Roots have a null parent.
 
     Pointers are doubled: round k joins each node's ancestor 2^k steps up with
     its own, and gives each leaf the ancestors twice as far up, so rounds grow
     with the logarithm of the depth, and each reads only the tables that the
-    round before has written. Rows are at most those of all paths. A tree deeper
-    than ``levels`` steps, a circle, and a node with two parents are errors;
-    leaves whose line ends at a parent that is no node are left out."""
+    round before has written. Rows are at most those of all paths. Trees may be
+    of any depth, unless ``levels`` is given: then one deeper than so many steps
+    is an error, as a circle and a node with two parents always are; leaves
+    whose line ends at a parent that is no node are left out."""
     spark = nodes.sparkSession
     path = scratch(spark, "attempts")
 
@@ -247,17 +248,21 @@ def flatten_attempts(nodes: DataFrame, levels: int = 100, node: str = "node", pa
         raise ValueError("a node has several rows")
     jump = every.where("up is not null")
     at = every.join(jump.select(F.col("up").alias("node")).distinct(), "node", "left_anti").select(F.col("node").alias("leaf"), F.lit(0).cast("long").alias("d"), "node")
-    step, k = 1, 0
-    while not jump.isEmpty():
-        if step > levels:
+    step, k, far = 1, 0, jump.count()
+    while far:
+        if levels is not None and step > levels:
             raise ValueError(f"the tree is deeper than {levels} levels, or has a circle")
         above = at.join(jump, "node").select("leaf", (F.col("d") + step).alias("d"), F.col("up").alias("node"))
         at = written(at.unionByName(above), f"lines-{k}")
         over = jump.select(F.col("node").alias("up"), F.col("up").alias("_over"))
         jump = written(jump.join(over, "up").select("node", F.col("_over").alias("up")), f"jump-{k}")
+        before, far = far, jump.count()
+        # the deepest line has nodes whose jump leaves the tree this time; only lines into circles have none
+        if far == before:
+            raise ValueError("the tree has a circle")
         step, k = step * 2, k + 1
     depth = at.agg(F.max("d")).first()[0]
-    if depth is not None and depth > levels:
+    if levels is not None and depth is not None and depth > levels:
         raise ValueError(f"the tree is deeper than {levels} levels")
     lines = at.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("d")).alias("d"), "node"))), lambda x: x.node).alias("path"))
     return lines.join(every.where("up is null").select(F.col("node").alias("root")), F.col("path")[0] == F.col("root")).select("root", "leaf", "path")

@@ -194,7 +194,7 @@ _TREE = "n AS (SELECT event_id AS node, CASE WHEN event_id > 20 THEN event_id //
   SELECT root, leaf, depth FROM t WHERE leaf NOT IN (SELECT parent FROM n WHERE parent IS NOT NULL)""")
 def flatten_attempts(spark, sf_dir):
     n = read(spark, sf_dir, "events").select(F.col("event_id").alias("node"), F.when(F.col("event_id") > 20, F.floor(F.col("event_id") / 8)).alias("parent"))
-    return ev.flatten_attempts(n, 6).select("root", "leaf", F.size("path").alias("depth"))
+    return ev.flatten_attempts(n).select("root", "leaf", F.size("path").alias("depth"))
 
 
 @query("SELECT l_partkey, count(*) AS samples FROM lineitem GROUP BY l_partkey HAVING NOT bool_or(l_quantity > 45)")
