@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tests.compare import TABLES, duck, rows_of, sql_rows
 from trialloom.operators import evaluation as ev
 from trialloom.operators import knowledge as kn
+from trialloom.operators import retrieval as rt
 from trialloom.plans import registry
 
 
@@ -52,3 +53,24 @@ def test_ids_and_ties_past_a_million(spark):
     assert [r.entry_id for r in ev.entry_id(e, "idx").orderBy("idx").collect()] == ["idx_99999", "idx_100000", "idx_1000002"]
     tries = spark.createDataFrame([(1, 10, "a", 5000, "t"), (1, 2_000_000, "b", 5001, "t"), (1, 3_000_000, "c", 5001, "t")], "p long, i long, run_id string, score long, text string")
     assert kn.best_knowledge(tries, "p", "i").first().run_id == "b"
+
+
+def test_pairs_cost_what_their_parts_do(spark, monkeypatch):
+    """Scores by parts are those of whole prompts, and no text meets another."""
+    q = spark.createDataFrame([(i, t) for i, t in enumerate(["", None, " q\u00e9 ", "<query>x</query>", "\n"])], "query_id long, query string")
+    k = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate([("k", ["a", " "]), (None, ["a"]), (" ", None), ("<key>y</key>", ["b"]), ("z" * 900, [])])], "key_id long, key string, tags array<string>")
+    score = lambda n: (n * 7 % 13).cast("double")
+    whole = rt.score_pairs(q, k, lambda prompt: score(F.char_length(prompt)))
+    met, pairs = [], rt.all_pairs
+    monkeypatch.setattr(rt, "all_pairs", lambda a, b: met.append((dict(a.dtypes)["_q"], dict(b.dtypes)["_k"])) or pairs(a, b))
+    parts = rt.score_pairs(q, k, lambda a, b: score(rt.prompt_chars(a, b)), part=F.char_length)
+    assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, whole.collect())) and whole.count() == 25
+    assert met == [("int", "int")]
+
+
+def test_nearest_unseen_joins_once(spark):
+    s = spark.createDataFrame([(1, 1, 9.0), (1, 2, 8.0), (1, 3, 7.0), (1, 4, 7.0), (2, 1, 1.0), (3, 1, None), (4, 5, 2.0)], "query_id long, key_id long, relevance double")
+    gone, kept = s.where("query_id = 1 and key_id < 2 or query_id = 2"), s.where("query_id = 1 and key_id <= 2")
+    out = rt.nearest_unseen(s, gone.union(gone), kept)
+    assert sorted(map(tuple, out.collect())) == [(1, 3, 7.0), (3, 1, None), (4, 5, 2.0)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LeftAnti") == 1
