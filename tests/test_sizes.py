@@ -9,7 +9,8 @@ from tests.compare import TABLES, duck, rows_of, sql_rows
 from trialloom.operators import evaluation as ev
 from trialloom.operators import knowledge as kn
 from trialloom.operators import retrieval as rt
-from trialloom.plans import registry
+from trialloom.plans import logs, registry
+from trialloom.sources import runs as src
 
 
 def folder_with(sf_dir, path, **tables):
@@ -74,3 +75,18 @@ def test_nearest_unseen_joins_once(spark):
     out = rt.nearest_unseen(s, gone.union(gone), kept)
     assert sorted(map(tuple, out.collect())) == [(1, 3, 7.0), (3, 1, None), (4, 5, 2.0)]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("LeftAnti") == 1
+
+
+def test_meta_of_many_runs_is_few_files(spark, sf_dir, tmp_path, monkeypatch):
+    """Files and folders do not grow with the runs; documents in folders give the same rows."""
+    made = []
+    monkeypatch.setattr(logs, "scratch", lambda spark, name: made.append(str(tmp_path / name)) or made[-1])
+    rows = registry.QUERIES["read_meta"](spark, sf_dir).count()
+    files = [f for _, _, names in os.walk(made[0]) for f in names if f.endswith(".parquet")]
+    assert rows > 10 > len(files)
+    docs = ['{"run_id": "a", "usage": {"total_tokens": 3}}', "{broken", '{"timings": {"started_at": 1.5}}']
+    for i, d in enumerate(docs):
+        (tmp_path / f"run-{i}").mkdir()
+        (tmp_path / f"run-{i}" / "meta.json").write_text(d)
+    kept = src.parse_meta(spark.createDataFrame([(f"run-{i}", None, d) for i, d in enumerate(docs)], "folder string, modified timestamp, value string"))
+    assert sorted(map(str, kept.drop("modified").collect())) == sorted(map(str, src.read_meta(spark, str(tmp_path)).drop("modified").collect()))

@@ -200,9 +200,14 @@ META_SCHEMA = (
 
 def read_meta(spark: SparkSession, runs_dir: str, pattern: str = "run-*/meta.json") -> DataFrame:
     """A row for each run folder's meta.json (small documents): (folder, modified, run_id, run_name, model, timings, usage, ...). Broken ones go."""
-    files = spark.read.text(f"{runs_dir}/{pattern}", wholetext=True).where(F.get_json_object("value", "$").isNotNull())
-    parsed = files.select(F.element_at(F.split("_metadata.file_path", "/"), -2).alias("folder"), F.col("_metadata.file_modification_time").alias("modified"), F.from_json("value", META_SCHEMA).alias("m"))
-    return parsed.select("folder", "modified", "m.*")
+    files = spark.read.text(f"{runs_dir}/{pattern}", wholetext=True)
+    return parse_meta(files.select(F.element_at(F.split("_metadata.file_path", "/"), -2).alias("folder"), F.col("_metadata.file_modification_time").alias("modified"), "value"))
+
+
+def parse_meta(files: DataFrame) -> DataFrame:
+    """Metadata of run documents (folder, modified, value), as ``read_meta`` gives it; for logs kept many runs a file."""
+    whole = files.where(F.get_json_object("value", "$").isNotNull())
+    return whole.select("folder", "modified", F.from_json("value", META_SCHEMA).alias("m")).select("folder", "modified", "m.*")
 
 
 def run_cache_store(spark: SparkSession, path: str, keys: list[str], schema: str, buckets: int = 64) -> BucketStore:
