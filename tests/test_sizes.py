@@ -10,6 +10,7 @@ from trialloom.operators import evaluation as ev
 from trialloom.operators import knowledge as kn
 from trialloom.operators import retrieval as rt
 from trialloom.plans import logs, registry
+from trialloom.sources import ranges
 from trialloom.sources import runs as src
 
 
@@ -90,3 +91,12 @@ def test_meta_of_many_runs_is_few_files(spark, sf_dir, tmp_path, monkeypatch):
         (tmp_path / f"run-{i}" / "meta.json").write_text(d)
     kept = src.parse_meta(spark.createDataFrame([(f"run-{i}", None, d) for i, d in enumerate(docs)], "folder string, modified timestamp, value string"))
     assert sorted(map(str, kept.drop("modified").collect())) == sorted(map(str, src.read_meta(spark, str(tmp_path)).drop("modified").collect()))
+
+
+def test_whole_files_are_read_once(spark, tmp_path):
+    """A file that is one range has no state to be summed up before it is cut."""
+    (tmp_path / "a.json").write_text(' \n[{"a": "}"}, {"b": {"c": 1}}]')
+    (tmp_path / "b.json").write_text('{"detail": [{"a": 1}], "run_cache": {"k": {"b": 2}}}')
+    assert ranges._range_states(ranges._pieces(spark, str(tmp_path), "}"), lambda start, texts: {}).count() == 0
+    got = sorted((r.section or "", r.key or "", r.value) for r in ranges.json_elements(spark, str(tmp_path)).collect())
+    assert got == [("", "", '{"a": "}"}'), ("", "", '{"b": {"c": 1}}'), ("detail", "", '{"a": 1}'), ("run_cache", "k", '{"b": 2}')]

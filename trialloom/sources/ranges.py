@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -25,8 +26,9 @@ _SUM = [("file", pa.string()), ("start", pa.int64()), ("end0", pa.bool_()), ("en
 
 
 def _pieces(spark: SparkSession, path: str, separator: str) -> DataFrame:
-    """Texts between separators with their file and the start of their byte range, in order within a range."""
-    return spark.read.option("lineSep", separator).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
+    """Texts between separators with their file, the start of their byte range and whether that is the whole file, in order within a range."""
+    whole = F.col("_metadata.file_block_length") >= F.col("_metadata.file_size")
+    return spark.read.option("lineSep", separator).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), whole.alias("whole"), "value")
 
 
 def _by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, Iterator[str]]]:
@@ -50,13 +52,15 @@ def _by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, Iterat
 
 
 def _range_states(pieces: DataFrame, summarise: Callable[[int, Iterator[str]], dict]) -> DataFrame:
-    """(file, start, inside, before, head) of each range: its true state, the sum over earlier ranges, the file's first character."""
+    """(file, start, inside, before, head) of each range: its true state, the sum over earlier ranges, the file's first character.
+
+    A range that is a whole file begins outside quotes, after nothing; it is left out."""
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (file, start), texts in _by_range(batches):
             yield pa.RecordBatch.from_pylist([{"file": file, "start": start, **summarise(start, texts)}], pa.schema(_SUM))
 
-    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shape = pa.schema([("file", pa.string()), ("start", pa.int64()), ("inside", pa.bool_()), ("before", pa.int64()), ("head", pa.string())])
         file, inside, before, head = None, False, 0, None
         for batch in batches:
@@ -68,8 +72,8 @@ def _range_states(pieces: DataFrame, summarise: Callable[[int, Iterator[str]], d
                 inside, before = (r["end1"], before + r["sum1"]) if inside else (r["end0"], before + r["sum0"])
             yield pa.RecordBatch.from_pylist(out, shape)
 
-    sums = pieces.mapInArrow(first, "file string, start long, end0 boolean, end1 boolean, sum0 long, sum1 long, head string")
-    states = sums.repartition("file").sortWithinPartitions("file", "start").mapInArrow(chain, "file string, start long, inside boolean, before long, head string")
+    sums = pieces.where("not whole").drop("whole").mapInArrow(first, "file string, start long, end0 boolean, end1 boolean, sum0 long, sum1 long, head string")
+    states = sums.repartition("file").sortWithinPartitions("file", "start").mapInArrow(in_order, "file string, start long, inside boolean, before long, head string")
     return _written(states, "ranges")
 
 
@@ -79,10 +83,10 @@ BROADCAST_RANGES = 200_000
 
 def _with_states(pieces: DataFrame, states: DataFrame) -> DataFrame:
     """Pieces (file, start, inside, before, head, value) with their range's state, in the order that they were read in."""
-    columns = ["file", "start", "inside", "before", "head", "value"]
+    columns = ["file", "start", F.coalesce("inside", F.lit(False)).alias("inside"), F.coalesce("before", F.lit(0)).alias("before"), "head", "value"]
     if states.count() <= BROADCAST_RANGES:
-        return pieces.join(F.broadcast(states), ["file", "start"]).select(*columns)
-    placed = pieces.withColumn("_at", F.monotonically_increasing_id()).join(states.hint("shuffle_hash"), ["file", "start"])
+        return pieces.join(F.broadcast(states), ["file", "start"], "left").select(*columns)
+    placed = pieces.withColumn("_at", F.monotonically_increasing_id()).join(states.hint("shuffle_hash"), ["file", "start"], "left")
     return placed.repartition("file", "start").sortWithinPartitions("file", "start", "_at").select(*columns)
 
 
@@ -274,6 +278,17 @@ _PART = [("file", pa.string()), ("start", pa.int64()), ("n", pa.int64()), ("kind
 _PART_DDL = "file string, start long, n long, kind string, depth long, base long, section string, key string, value string"
 
 
+def _head(texts: Iterator[str]) -> tuple[str | None, Iterator[str]]:
+    """The first character that is no white space, and the texts from the first on."""
+    held: list[str] = []
+    for t in texts:
+        held.append(t)
+        first = t.lstrip("\ufeff \t\r\n")[:1]
+        if first:
+            return first, chain(held, texts)
+    return None, iter(held)
+
+
 def json_elements(spark: SparkSession, path: str) -> DataFrame:
     """(file, start, n, section, key, value): the objects in JSON documents, in order of (start, n) within a file.
 
@@ -297,6 +312,8 @@ def json_elements(spark: SparkSession, path: str) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (file, start, inside, before, head), texts in _by_range(batches):
+            if head is None and start == 0:
+                head, texts = _head(texts)
             base = 1 if head == "[" else 2
             cutter = JsonCutter(inside, before, base)
             row = {"file": file, "start": start, "base": base}
