@@ -22,7 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: that with the smallest id.
 
-    Documents are near-duplicates whose sets of five-word shingles have a Jaccard similarity of 0.8 or more."""
+    Documents are near-duplicates whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Candidates come
+    from op9's trees over fingerprints first, what they cannot reach from shared shingles."""
     return drop_similar(docs, width=5, similarity=0.8)
 
 

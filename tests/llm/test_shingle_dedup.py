@@ -80,3 +80,18 @@ def test_components_equal_all_pairs(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     label, _ = brute([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
     assert {r.doc_id: r.component_id for r in shingle_components(docs).collect()} == label
+
+
+def test_near_fingerprints_are_candidates(spark):
+    """Sets with fingerprints at most 4 bits apart are joined by candidate pairs, others by none."""
+    from trialloom.llm.common import Scratch
+    from trialloom.llm.shingle_dedup import fingerprint_pairs
+
+    far = 0x0F0F_3355_6699_AA00
+    rows = [(1, 0), (2, 0), (3, 0b1111), (4, 0b11110000), (5, 0b111111111 << 30), (6, far), (7, far ^ 1), (8, far ^ 0b111110)]
+    pairs = {(r.a, r.b) for r in fingerprint_pairs(spark.createDataFrame(rows, "sig long, fp long"), Scratch(spark, "t")).collect()}
+    label = {s: s for s, _ in rows}
+    for a, b in sorted(pairs):
+        assert a < b
+        label = {n: min(label[a], label[b]) if c in (label[a], label[b]) else c for n, c in label.items()}
+    assert label == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 6, 7: 6, 8: 8}

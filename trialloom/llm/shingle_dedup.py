@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from trialloom.llm.common import Scratch, mix64, span_hashes, text_parts
 from trialloom.llm.components import connected_components
-from trialloom.llm.simhash import BROADCAST_IDS, first_of_groups, joined_words, texts_of
+from trialloom.llm.simhash import BROADCAST_IDS, fingerprints_of, first_of_groups, joined_words, link_fingerprints, texts_of
 
 #: The order of shingles is fitted to so many documents and knows so many frequent shingles.
 SAMPLE_DOCS = 20_000
@@ -20,6 +20,8 @@ FREQUENT = 200_000
 MARGIN = 1e-9
 #: A pair is left to an earlier shared shingle if that is among so many before this one in both sets.
 LOOK_BACK = 32
+#: Fingerprints at most so far apart make first candidates.
+BITS = 4
 #: Counts of a set's shingles by hash, which bound what two sets share.
 CELLS = 512
 
@@ -158,6 +160,15 @@ def promising(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFram
     return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y", "x_size", "y_size").mapInArrow(run, "a long, b long, bound double")
 
 
+def fingerprint_pairs(known: DataFrame, scratch: Scratch, bits: int = BITS) -> DataFrame:
+    """Rows (a, b) of signatures: pairs that span the sets of ``known`` (sig, fp) whose SimHash fingerprints are at most ``bits``
+    apart, from the vantage-point trees of ``link_fingerprints``; equal fingerprints pair with their least signature."""
+    groups = scratch.table(known.groupBy("fp").agg(F.min("sig").alias("rep")), "fingerprints")
+    equal = known.join(groups, "fp").where("sig <> rep").select("sig", "rep")
+    found = equal.union(link_fingerprints(groups, bits, scratch).select("rep", "root").toDF("sig", "rep"))
+    return found.select(F.least("sig", "rep").alias("a"), F.greatest("sig", "rep").alias("b")).distinct()
+
+
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, similarity: float, scratch: Scratch) -> DataFrame:
     """Those of the pairs (a, b) of signatures whose sets are similar enough."""
     ids = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(reps, "sig").select(F.col("rep").alias("doc_id")).distinct(), "asked")
@@ -184,7 +195,9 @@ def shingle_components(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     is lost and none is made by less similar texts, but for collisions of 64-bit
     hashes. Equal sets are one node; texts without words have equal, empty sets.
 
-    Similar sets share one of their first shingles in any common order
+    First candidates are texts whose SimHash fingerprints lie near each other
+    (``fingerprint_pairs``). Fingerprints of similar sets may lie farther apart, so an exact way follows for the rest:
+    similar sets share one of their first shingles in any common order
     (``prefix_length``), and rare shingles come first. Of the documents that
     share such a shingle each is first paired with one, another for each
     shingle, and compared with the most promising of them; then all are compared
@@ -196,12 +209,13 @@ def shingle_components(docs: DataFrame, width: int = 5, similarity: float = 0.8,
 
     def sign(batches):
         for part, h, bounds in _parts(batches, width):
-            own = [pa.array(signatures(h, bounds)), pa.array(np.diff(bounds).astype(np.int32)), pa.array(sketches(h, bounds), pa.binary())]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), *own], names=["doc_id", "text_hash", "sig", "size", "sketch"])
+            prints = fingerprints_of(part.column("text"), width).view(np.int64)
+            own = [pa.array(signatures(h, bounds)), pa.array(np.diff(bounds).astype(np.int32)), pa.array(sketches(h, bounds), pa.binary()), pa.array(prints)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), *own], names=["doc_id", "text_hash", "sig", "size", "sketch", "fp"])
 
-    signed = scratch.table(docs.mapInArrow(sign, "doc_id long, text_hash long, sig long, size int, sketch binary"), "signed")
-    # equal sets have equal sizes and sketches
-    known = scratch.table(signed.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.min("size").alias("size"), F.min("sketch").alias("sketch")), "known")
+    signed = scratch.table(docs.mapInArrow(sign, "doc_id long, text_hash long, sig long, size int, sketch binary, fp long"), "signed")
+    # equal sets have equal sizes and sketches; of their fingerprints, which count repeats, one will do
+    known = scratch.table(signed.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.min("size").alias("size"), F.min("sketch").alias("sketch"), F.min("fp").alias("fp")), "known")
     reps = known.select("sig", "rep")
     named = signed.select("doc_id", "sig").join(reps, "sig")
     # ids that only repeat the set of a smaller one
@@ -219,7 +233,8 @@ def shingle_components(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     starred = _pairs(_side(shared, "a").join(hubs, "shingle").where("a_sig <> b_sig"), similarity)
     starred = scratch.table(promising(starred, known, similarity), "starred")
     best = starred.select(F.explode(F.array("a", "b")).alias("sig"), "a", "b", "bound").groupBy("sig").agg(F.max_by(F.struct("a", "b"), F.struct("bound", "a", "b")).alias("p"))
-    tried = scratch.table(best.select("p.*").distinct(), "tried")
+    near = promising(fingerprint_pairs(known.select("sig", "fp"), scratch), known, similarity).select("a", "b")
+    tried = scratch.table(best.select("p.*").union(near).distinct(), "tried")
     links = scratch.table(verified(tried, reps, docs, width, similarity, scratch), "links")
 
     parts = connected_components(links, "a", "b", scratch)
