@@ -95,6 +95,26 @@ def test_work_of_a_batch_follows_its_problems(spark, tmp_path):
     assert (got.total_problems, got.mean_win, got.mean_loss) == (300, 297, 3)
 
 
+def test_trials_are_held_in_buckets(spark, tmp_path):
+    """A batch of one trial rewrites one bucket of trials; taken back, the trial goes. No problem takes a Python call of its own."""
+    put(str(tmp_path / "in"), 0, [(p, "klg", t, 5.0, "a") for p in range(2000) for t in range(2)])
+
+    def run():
+        query = st.start_summary(st.stream_json(spark, str(tmp_path / "in"), TRIAL, 1), str(tmp_path / "state"), str(tmp_path / "sum"), str(tmp_path / "c"), slices=2, buckets=32)
+        query.awaitTermination()
+        return query.lastProgress
+
+    assert not run()["stateOperators"]
+    store = BucketStore(spark, str(tmp_path / "state" / "trials"), ["problem_id", "slice"], "problem_id long, slice int, arm string, trial long, score double", 32)
+    before = store.manifest()
+    put(str(tmp_path / "in"), 1, [(7, "klg", 0, 0.0, " ")])
+    run()
+    after = store.manifest()
+    assert sum(after[b] != before.get(b) for b in after) == 1
+    assert store.read().count() == 3999 and [r.trial for r in store.read().where("problem_id = 7").collect()] == [1]
+    assert st.latest_summary(spark, str(tmp_path / "sum")).first().total_problems == 2000
+
+
 def one_pass(rows):
     urls, contents, kept = set(), set(), []
     for page, url, signature in sorted(rows):

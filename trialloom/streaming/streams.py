@@ -2,17 +2,11 @@
 
 from __future__ import annotations
 
-import json
-import math
-import pickle
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from trialloom.functions.folders import delete, scratch
+from trialloom.functions.numbering import same_keys
 from trialloom.operators.evaluation import ARMS, merge_stats, scores_of_stats, summary_of_sums, summary_sums
 from trialloom.operators.pages import content_signature, normalize_url
 from trialloom.sources.runs import STEP_SCHEMA
@@ -71,62 +65,55 @@ def start_unseen_pages(stream: DataFrame, pages_table: str, history: str, checkp
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-#: Statistics of a slice of a problem's trials, and what a slice's state holds.
+#: Statistics of a slice of a problem's trials.
 STATS = ", ".join(f"{a}_n long, {a}_sum double, {a}_least double, {a}_most double" for a in ARMS)
-_STATE = "trials binary"
-
-
-def trial_stats(stream: DataFrame, slices: int = 8, order: str | None = None) -> DataFrame:
-    """A stream of (problem_id, slice, trials, statistics of each arm): a row for each slice whose trials changed.
-
-    Trials are (problem_id, arm, trial, score, feedback). A problem's trials are
-    dealt to ``slices`` keys by hash, so a problem of any size is spread. The
-    state of a key is its valid trials; a trial that comes again replaces its old
-    score, and goes if it is no longer valid (score 0 and no feedback). Of
-    several rows of a trial in one batch the last by ``order`` counts, then the
-    greatest score (null is least) and feedback."""
-    kind = dict(stream.dtypes)["problem_id"]
-    valid = ~((F.col("score") == 0) & F.nullif(F.trim(F.coalesce("feedback", F.lit(""))), F.lit("")).isNull()) | F.col("score").isNull()
-    rows = stream.select(
-        "problem_id", F.pmod(F.xxhash64("arm", "trial"), F.lit(slices)).cast("int").alias("slice"), F.to_json(F.struct("arm", "trial")).alias("trial"), "arm",
-        F.col("score").cast("double").alias("score"), F.coalesce("feedback", F.lit("")).alias("feedback"), valid.alias("valid"), (F.col(order) if order else F.lit(0)).alias("place"),
-    )
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = pickle.loads(state.get[0]) if state.exists else {}
-        came: dict[str, tuple] = {}
-        for b in batches:
-            for trial, arm, score, feedback, ok, place in zip(b["trial"], b["arm"], b["score"], b["feedback"], b["valid"], b["place"]):
-                score = None if score is None or math.isnan(score) else float(score)
-                version = (place, score is not None, score or 0.0, feedback, arm, bool(ok))
-                came[trial] = max(came.get(trial, version), version)
-        for trial, (_, known, score, _, arm, ok) in came.items():
-            if ok:
-                held[trial] = (arm, score if known else None)
-            else:
-                held.pop(trial, None)
-        state.update((pickle.dumps(held),))
-        row: dict = {"trials": len(held)}
-        for arm in ARMS:
-            scores = [s for a, s in held.values() if a == arm and s is not None]
-            row |= {f"{arm}_n": len(scores), f"{arm}_sum": math.fsum(scores) if scores else None, f"{arm}_least": min(scores, default=None), f"{arm}_most": max(scores, default=None)}
-        yield pd.DataFrame({"problem_id": [key[0]], "slice": [key[1]], "stats": [json.dumps(row)]})  # one text: a frame's columns cost more than the row
-
-    found = rows.groupBy("problem_id", "slice").applyInPandasWithState(update, f"problem_id {kind}, slice int, stats string", _STATE, "update", GroupStateTimeout.NoTimeout)
-    return found.select("problem_id", "slice", F.from_json("stats", f"trials long, {STATS}").alias("s")).select("problem_id", "slice", "s.*")
+_SLICE = ["problem_id", "slice"]
+
+
+def last_trials(rows: DataFrame, slices: int, order: str | None = None) -> DataFrame:
+    """Rows (problem_id, slice, arm, trial, score, valid): one for each trial of ``rows``.
+
+    A problem's trials are dealt to ``slices`` by hash. Of several rows of a trial
+    the last by ``order`` counts, then the greatest score (null is least) and
+    feedback. A trial of score 0 without feedback is not valid."""
+    score = F.when(~F.isnan(F.col("score").cast("double")), F.col("score").cast("double"))
+    feedback = F.coalesce("feedback", F.lit(""))
+    valid = ~((F.col("score") == 0) & (F.trim(feedback) == "")) | F.col("score").isNull()
+    rank = F.struct((F.col(order) if order else F.lit(0)).alias("place"), score.isNotNull().alias("known"), F.coalesce(score, F.lit(0.0)).alias("score"), feedback.alias("feedback"), valid.alias("valid"))
+    last = rows.groupBy("problem_id", "arm", "trial").agg(F.max(rank).alias("r"))
+    return last.select("problem_id", F.pmod(F.xxhash64("arm", "trial"), F.lit(slices)).cast("int").alias("slice"), "arm", "trial", F.when(F.col("r.known"), F.col("r.score")).alias("score"), F.col("r.valid").alias("valid"))
+
+
+def slice_stats(trials: DataFrame) -> DataFrame:
+    """The statistics of each slice's trials."""
+    out = [F.count("*").alias("trials")]
+    for a in ARMS:
+        own = F.when(F.col("arm") == a, F.col("score"))
+        out += [F.count(own).alias(f"{a}_n"), F.sum(own).alias(f"{a}_sum"), F.min(own).alias(f"{a}_least"), F.max(own).alias(f"{a}_most")]
+    return trials.groupBy(*_SLICE).agg(*out)
+
+
+def _same(old: DataFrame, new: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """A join on equal or both null keys."""
+    names = [F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)]
+    return old.join(new.select(*names, *[c for c in new.columns if c not in keys]), same_keys(old, "_k", keys), how).drop(*[f"_k{n}" for n in range(len(keys))])
 
 
 def start_summary(stream: DataFrame, state: str, summary_table: str, checkpoint: str, slices: int = 8, order: str | None = None, buckets: int = 64):
     """Keep the evaluation summary of all trials seen so far; ``summary_table`` gets one row a batch, with its ``batch``.
 
-    Trials live in the keyed state of ``trial_stats``. Statistics of slices are a
-    table in buckets of problems; a batch reads and rewrites the buckets of its
-    own problems. The summary is a row of sums over problems: what the batch's
-    problems gave before is taken off, what they give now is added. So the work
-    of a batch follows its own problems. A batch that runs again starts from the
-    version before it."""
+    Trials are (problem_id, arm, trial, score, feedback); a trial that comes again
+    replaces its old score, and goes if it is no longer valid (``last_trials``).
+    Valid trials are a table in buckets of slices, and so a problem of any size is
+    spread; statistics of slices are a table in buckets of problems. A batch
+    reads and rewrites the buckets of its own slices and problems. The summary is
+    a row of sums over problems: what the batch's problems gave before is taken
+    off, what they give now is added. So the work of a batch follows the buckets
+    that it touches. A batch that runs again starts from the version before it."""
     spark = stream.sparkSession
-    kind = dict(stream.dtypes)["problem_id"]
+    kinds = dict(stream.dtypes)
+    kind = kinds["problem_id"]
+    held = BucketStore(spark, f"{state}/trials", _SLICE, f"problem_id {kind}, slice int, arm {kinds['arm']}, trial {kinds['trial']}, score double", buckets)
     table = BucketStore(spark, f"{state}/slices", ["problem_id"], f"problem_id {kind}, slice int, trials long, {STATS}", buckets)
 
     def sums(stats: DataFrame) -> DataFrame:
@@ -134,17 +121,19 @@ def start_summary(stream: DataFrame, state: str, summary_table: str, checkpoint:
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         path = scratch(spark, "slices")
-        batch.write.parquet(path)
-        changes = spark.read.schema(table.schema).parquet(path)
+        last_trials(batch, slices, order).write.parquet(f"{path}/trials")
+        came = spark.read.parquet(f"{path}/trials")
+        every = [*_SLICE, "arm", "trial"]
+        touched = held.merge(came, lambda old, new: _same(old, new.select(*every), every, "left_anti").unionByName(new.where("valid").drop("valid")), batch_id)
+        keys = came.select(*_SLICE).distinct()
+        now = slice_stats(_same(held.read(batch_id, touched), keys, _SLICE, "left_semi"))
+        none = {c: 0 for c in ["trials", *[f"{a}_n" for a in ARMS]]}
+        _same(keys, now, _SLICE, "left").fillna(none).write.parquet(f"{path}/slices")
+        changes = spark.read.schema(table.schema).parquet(f"{path}/slices")
         before = [v for v in table.versions() if v < batch_id]
-        problems = changes.select(F.col("problem_id").alias("_problem")).distinct()
-        own = lambda stats: stats.join(problems, F.col("problem_id").eqNullSafe(F.col("_problem")), "left_semi")
-
-        def replace(old: DataFrame, new: DataFrame) -> DataFrame:
-            keys = new.select(F.col("problem_id").alias("_problem"), F.col("slice").alias("_slice"))
-            return old.join(keys, F.col("problem_id").eqNullSafe(F.col("_problem")) & (F.col("slice") == F.col("_slice")), "left_anti").unionByName(new)
-
-        touched = table.merge(changes, replace, batch_id)
+        problems = changes.select("problem_id").distinct()
+        own = lambda stats: _same(stats, problems, ["problem_id"], "left_semi")
+        touched = table.merge(changes, lambda old, new: _same(old, new.select(*_SLICE), _SLICE, "left_anti").unionByName(new), batch_id)
         old = sums(own(table.read(before[-1], touched)) if before else spark.createDataFrame([], table.schema))
         new = sums(own(table.read(batch_id, touched)))
         names = new.columns
@@ -158,7 +147,7 @@ def start_summary(stream: DataFrame, state: str, summary_table: str, checkpoint:
         summary_of_sums(spark.read.parquet(f"{state}/sums/batch={batch_id}")).coalesce(1).write.mode("overwrite").parquet(f"{summary_table}/batch={batch_id}")
         delete(spark, path)
 
-    return trial_stats(stream, slices, order).writeStream.foreachBatch(merge).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest_summary(spark: SparkSession, summary_table: str) -> DataFrame:
