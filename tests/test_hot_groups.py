@@ -153,3 +153,13 @@ def test_trees_double_pointers(spark):
         with pytest.raises(ValueError):
             ev.flatten_attempts(spark.createDataFrame(bad, "node long, parent long"))
     assert ev.flatten_attempts(df.limit(0)).count() == 0
+
+
+def test_small_groups_are_numbered_by_a_window(spark):
+    """Groups on either side of the limit get the numbers of a plain count, null keys too."""
+    from trialloom.functions.numbering import number_within_small
+
+    rows = [(g, o) for g, n in ((None, 30), (1, 3), (2, 10), (3, 11)) for o in range(n)]
+    df = spark.createDataFrame(rows, "g int, o int").repartition(3)
+    for most in (10, 1000):
+        assert sorted((r.g or 0, r.o, r.n) for r in number_within_small(df, "n", ["g"], F.desc("o"), most=most).collect()) == sorted((g or 0, o, {None: 30, 1: 3, 2: 10, 3: 11}[g] - o) for g, o in rows)
