@@ -481,3 +481,28 @@ def test_top_k_refuses_scores_that_overflow(spark, x):
     df = spark.createDataFrame([(0, [x, 1.0]), (1, [1.0, x])], "vec_id long, embedding array<double>")
     with pytest.raises(ValueError):
         exact_top_k(df, df)
+
+
+def test_whole_previous_words_are_contexts(spark):
+    """300 words that end alike are each followed by a word of their own; a context shared with others would not tell which."""
+    from trialloom.llm import pitman_yor as py
+
+    texts = {i: " ".join([f"q{i}zz follow{i}"] * 20) for i in range(300)}
+    asked = {1000 + i: f"q{i}zz follow{i}" for i in range(300)} | {2000 + i: f"q{i}zz follow{(i + 1) % 300}" for i in range(300)}
+    df = spark.createDataFrame([*texts.items(), *asked.items()], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in score_texts(df, F.col("doc_id") < 1000).collect()}
+    assert min(got[1000 + i] - got[2000 + i] for i in range(300)) > 2
+    # numbers tell all words apart, and each context's customers are what follows the word
+    docs = df.withColumn("train", F.col("doc_id") < 1000)
+    layout = py.Layout(12, np.zeros(0, np.int64), 8, 8)
+    scratch = Scratch(spark, "t")
+    blocks = scratch.table(py.make_blocks(docs, 8).withColumn("part", F.when(F.col("bucket") < 0, "body").otherwise("words")), "blocks", "part")
+    names = scratch.table(py.number_words(blocks, layout, 8), "names")
+    frequent, trained = py.frequent_words(names)
+    assert trained == 300 * 41 and len(frequent) <= 1 / py.FREQUENT_SHARE
+    held = collections.Counter()
+    for row in py.merge_counts(py.ask(blocks, names, layout, 8), layout, 8).collect():
+        s = py.Seating(row.asDict(), layout)
+        for c, n in zip(s.contexts.tolist(), s.customers.tolist()):
+            held[c] += n
+    assert sorted(held.values()) == [20] * 600 + [300]

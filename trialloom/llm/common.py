@@ -27,9 +27,9 @@ class Scratch:
         self.count += 1
         return f"{self.root}/{self.count:03d}-{tag}"
 
-    def table(self, df: DataFrame, tag: str) -> DataFrame:
+    def table(self, df: DataFrame, tag: str, *parts: str) -> DataFrame:
         path = self.path(tag)
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").partitionBy(*parts).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -38,6 +38,10 @@ class Scratch:
         for t in tables:
             delete(self.spark, t._scratch_path)
 
+    def drop_part(self, table: DataFrame, part: str) -> None:
+        """Remove the rows of one part (``column=value``) of a table, which nothing reads any more."""
+        delete(self.spark, f"{table._scratch_path}/{part}")
+
 
 def crc_of_id(col: Column) -> Column:
     """CRC-32 of an id written as text."""
